@@ -1,10 +1,13 @@
 """The subpackage's queries and oracles, by name."""
 
-from noteweave.llm import chat, quality, urls
+from noteweave.llm import bpe, chat, decontam, langid, quality, urls
 
 QUERIES = {
     "op2_chat_format": chat.query,
     "op4_quality_rules": quality.query,
+    "op6_decontamination": decontam.query,
+    "op7_language_id": langid.query,
+    "op8_byte_bpe": bpe.query,
     "op10_url_filter": urls.query,
 }
 ORACLES = {
