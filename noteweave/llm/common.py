@@ -85,7 +85,6 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POW = _powers(_R, 1 << 12)
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -108,34 +107,28 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
+_TABLES: list[np.ndarray] = []
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word: a polynomial with a random coefficient for each
-    byte value, from prefix sums over the whole array. Words of any length count whole."""
-    n = len(data)
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    coef = _BYTE[data]
-    # powers go up to the longest word only when it is measured from its own start
-    power = _POW if len(_POW) > n else _powers(_R, n + 1)
-    coef *= power[:n]
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(coef, out=total[1:])
-    h = total[ends] - total[starts]
-    inverse = _INV if len(_INV) > n else _powers(_RINV, n + 1)
-    h *= inverse[starts]
-    h ^= (ends - starts).astype(np.uint64) << _U(48)
-    return mix(h)
-
-
-_INV = _powers(_RINV, 1 << 12)
-
-
-def grow_powers(n: int) -> None:
-    """Keep power tables of at least this length in the worker."""
-    global _POW, _INV
-    if len(_POW) <= n:
-        size = max(n + 1, 2 * len(_POW))
-        _POW, _INV = _powers(_R, size), _powers(_RINV, size)
+    """A 64-bit hash of the bytes of each word (or other span, in order of start): a polynomial with a
+    random coefficient for each byte value, from prefix sums over blocks of words. Spans of any length
+    count whole."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(starts, base + _BLOCK)))
+        end = int(ends[at:to].max())
+        if not _TABLES or len(_TABLES[0]) < end - base + 1:
+            _TABLES[:] = [_powers(_R, end - base + _BLOCK), _powers(_RINV, end - base + _BLOCK)]
+        total = np.zeros(end - base + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[data[base:end]] * _TABLES[0][: end - base], out=total[1:])
+        a, b = starts[at:to] - base, ends[at:to] - base
+        out[at:to] = (total[b] - total[a]) * _TABLES[1][a]
+        at = to
+    out ^= (ends - starts).astype(np.uint64) << _U(40)
+    return mix(out)
 
 
 def gram_hashes(h: np.ndarray, n: int, seed: int = 1) -> np.ndarray:

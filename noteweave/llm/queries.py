@@ -1,9 +1,10 @@
 """The subpackage's queries and oracles, by name."""
 
-from noteweave.llm import bpe, chat, decontam, langid, quality, urls
+from noteweave.llm import bpe, chat, decontam, langid, quality, substring, urls
 
 QUERIES = {
     "op2_chat_format": chat.query,
+    "op3_substring_dedup": substring.query,
     "op4_quality_rules": quality.query,
     "op6_decontamination": decontam.query,
     "op7_language_id": langid.query,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_chat_format": chat.oracle(),
+    "op3_substring_dedup": substring.oracle(),
     "op4_quality_rules": quality.oracle(),
     "op10_url_filter": urls.oracle(),
 }
