@@ -1,6 +1,6 @@
 """The subpackage's queries and oracles, by name."""
 
-from noteweave.llm import bpe, chat, decontam, langid, quality, substring, urls
+from noteweave.llm import bpe, chat, decontam, langid, quality, substring, suffix, urls
 
 QUERIES = {
     "op2_chat_format": chat.query,
@@ -9,11 +9,13 @@ QUERIES = {
     "op6_decontamination": decontam.query,
     "op7_language_id": langid.query,
     "op8_byte_bpe": bpe.query,
+    "op9_suffix_array": suffix.query,
     "op10_url_filter": urls.query,
 }
 ORACLES = {
     "op2_chat_format": chat.oracle(),
     "op3_substring_dedup": substring.oracle(),
     "op4_quality_rules": quality.oracle(),
+    "op9_suffix_array": suffix.oracle(),
     "op10_url_filter": urls.oracle(),
 }
