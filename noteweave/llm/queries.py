@@ -1,8 +1,9 @@
 """The subpackage's queries and oracles, by name."""
 
-from noteweave.llm import bpe, chat, decontam, langid, quality, substring, suffix, urls
+from noteweave.llm import bpe, chat, decontam, langid, neardup, quality, substring, suffix, urls
 
 QUERIES = {
+    "op1_minhash_dedup": neardup.query,
     "op2_chat_format": chat.query,
     "op3_substring_dedup": substring.query,
     "op4_quality_rules": quality.query,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_url_filter": urls.query,
 }
 ORACLES = {
+    "op1_minhash_dedup": neardup.oracle(),
     "op2_chat_format": chat.oracle(),
     "op3_substring_dedup": substring.oracle(),
     "op4_quality_rules": quality.oracle(),
