@@ -1,12 +1,13 @@
 """The subpackage's queries and oracles, by name."""
 
-from noteweave.llm import bpe, chat, decontam, langid, neardup, quality, substring, suffix, urls
+from noteweave.llm import bpe, chat, decontam, langid, neardup, pii, quality, substring, suffix, urls
 
 QUERIES = {
     "op1_minhash_dedup": neardup.query,
     "op2_chat_format": chat.query,
     "op3_substring_dedup": substring.query,
     "op4_quality_rules": quality.query,
+    "op5_pii_surrogates": pii.query,
     "op6_decontamination": decontam.query,
     "op7_language_id": langid.query,
     "op8_byte_bpe": bpe.query,
