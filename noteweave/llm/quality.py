@@ -61,24 +61,37 @@ def normal_line(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, host: str, text: str) -> DataFrame:
-    """Each row's lines: the text by two hashes, the line's place, its hash and its words."""
+    """For each host, distinct text (by two hashes) and distinct normalised line of it: the words of all
+    such lines in the text. Copies of a text fold before the shuffle as far as they meet there."""
     t = F.coalesce(F.col(text), F.lit(""))
     line = F.transform(F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))), lambda x: let(normal_line(x), lambda y: F.struct(F.xxhash64(y).alias("line"), (F.length(y) - F.length(F.replace(y, F.lit(" "), F.lit(""))) + 1).alias("n"))))
-    return docs.select(F.col(host).alias("host"), F.xxhash64(t).alias("t1"), F.hash(t).alias("t2"), F.posexplode(line).alias("at", "l")).select("host", "t1", "t2", "at", "l.line", "l.n")
+
+    def runs(s: Column) -> Column:  # s: the lines by hash; equal lines have equally many words
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i - 1)["line"] != F.get(s, i)["line"]))
+        return let(first, lambda p: F.zip_with(p, F.concat(F.slice(p, F.lit(2), F.size(p)), F.array(F.size(s))), lambda a, b: F.struct(F.get(s, a)["line"].alias("line"), (F.get(s, a)["n"] * (b - a)).alias("n"))))
+
+    folded = let(F.sort_array(line), lambda s: F.when(F.size(s) > 0, runs(s)))
+    each = docs.select(F.col(host).alias("host"), F.xxhash64(t).alias("t1"), F.hash(t).alias("t2"), F.explode(folded).alias("l"))
+    return each.select("host", "t1", "t2", "l.line", "l.n").groupBy("host", "t1", "t2", "line").agg(F.max("n").alias("n"))
+
+
+def _often(lines: DataFrame, max_docs: int) -> DataFrame:
+    # the words are named here too so that both uses of the lines have one shuffle
+    counted = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.max("n").alias("n_words"))
+    return counted.filter((F.col("n_docs") > max_docs) & (F.col("n_words") > 0))
 
 
 def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = MAX_LINE_DOCS) -> DataFrame:
     """``host``, ``line`` (hash of the normalised line) and ``n_docs`` of the lines that more than
     ``max_docs`` distinct documents of the host hold. A null host is a host."""
-    each = _lines(docs, host, text).groupBy("host", "line", "t1", "t2").agg(F.lit(1).alias("one"))
-    return each.groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > max_docs)
+    return _often(_lines(docs, host, text), max_docs).select("host", "line", "n_docs")
 
 
 def lost_words(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = MAX_LINE_DOCS) -> DataFrame:
     """For each distinct host and text that holds frequent lines: ``host, t1, t2``, the hashes of those
     lines, and the number of words in them."""
-    lines = _lines(docs, host, text).groupBy("host", "t1", "t2", "at", "line").agg(F.max("n").alias("n"))
-    often = frequent_lines(docs, host, text, max_docs).select(F.col("host").alias("h"), F.col("line").alias("l"))
+    lines = _lines(docs, host, text)
+    often = _often(lines, max_docs).select(F.col("host").alias("h"), F.col("line").alias("l"))
     hit = lines.join(often, lines["host"].eqNullSafe(often["h"]) & (lines["line"] == often["l"]), "left_semi")
     return hit.groupBy("host", "t1", "t2").agg(F.collect_set("line").alias("lines"), F.sum("n").alias("lost"))
 
