@@ -22,13 +22,14 @@ _U = np.uint64
 
 
 def bits(spark: SparkSession) -> int:
-    """Buckets as a power of two: some for each shuffle partition, so that partitions are even."""
-    return max(2, math.ceil(math.log2(4 * n_parts(spark))))
+    """Buckets as a power of two, not more than shuffle partitions: the messages are as many as chunks
+    times buckets, so neither number is larger than memory asks for."""
+    return max(2, math.floor(math.log2(n_parts(spark))))
 
 
 def chunked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``chunk``, ``doc_id``, ``text`` of the documents with an id; its shuffle is used by every round."""
-    n = 4 * n_parts(docs.sparkSession)
+    n = 2 * n_parts(docs.sparkSession)  # some for each partition, so that partitions are even
     key = F.col(doc_id).cast("bigint")
     return docs.filter(F.col(doc_id).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("chunk"), key.alias("doc_id"), F.col(text).alias("text"))
 
