@@ -46,7 +46,7 @@ SYLLABLES = {
 def has_entities(text: Column) -> Column:
     """Whether a text can hold an entity: a few fast looks before the expression itself."""
     t = F.coalesce(text, F.lit(""))
-    quick = F.contains(t, F.lit("@")) | F.rlike(t, F.lit("[0-9]{2}")) | F.rlike(t, F.lit(rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"))
+    quick = F.contains(t, F.lit("@")) | F.rlike(t, F.lit(r"[0-9]{2}|[0-9]\.[0-9]")) | F.rlike(t, F.lit(rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"))
     for name in _SECRET_NAMES:
         quick = quick | F.contains(t, F.lit(name))
     return quick & F.rlike(t, F.lit(ENTITY))
@@ -194,10 +194,10 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     drawn = surrogates(entities, key)
     put = entities.join(drawn.withColumnsRenamed({"kind": "k2", "norm": "n2"}), (F.col("kind") == F.col("k2")) & (F.col("norm") == F.col("n2")))
     put = put.withColumn("new", written_as(F.col("kind"), F.col("entity"), F.col("sur"))).groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("_put"))
-    rebuilt = F.array_join(F.flatten(F.zip_with(F.split(t, ENTITY, -1), F.transform("_put", lambda x: x["new"]), lambda gap, new: F.array(gap, F.coalesce(new, F.lit(""))))), "")
+    rebuilt = F.array_join(F.flatten(F.zip_with(F.split("_text", ENTITY, -1), F.transform("_put", lambda x: x["new"]), lambda gap, new: F.array(gap, F.coalesce(new, F.lit(""))))), "")
     clean = docs.filter(~has_entities(t)).withColumn("n_entities", F.lit(0).cast("bigint"))
-    dirty = docs.filter(has_entities(t)).withColumn("_tid", _text_id(t)).join(put, F.col("_tid") == F.col("tid"))
-    dirty = dirty.select(*[rebuilt.alias(c) if c == text else F.col(c) for c in names], F.size("_put").cast("bigint").alias("n_entities"))
+    dirty = docs.filter(has_entities(t)).select(F.struct(*[docs[c] for c in names]).alias("_row"), t.alias("_text"), _text_id(t).alias("_tid")).join(put, F.col("_tid") == F.col("tid"))
+    dirty = dirty.select(*[rebuilt.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in names], F.size("_put").cast("bigint").alias("n_entities"))
     return clean.unionByName(dirty)
 
 

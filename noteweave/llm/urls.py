@@ -105,17 +105,17 @@ def filter_urls(urls: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] =
     keys = F.array(*map(F.lit, sorted(under)))
     out = urls.withColumns({"host": host, "path": path})
     candidates = F.flatten(F.transform(F.array_intersect(F.coalesce(_tokens(F.col(url_col)), F.array().cast("array<string>")), keys), lambda t: index[t]))
-    out = out.withColumn("_candidates", candidates)
+    out = out.withColumn("_urls_candidates", candidates)
     site, url = F.concat("host", "path"), ascii_lower(F.col(url_col))
-    fit = F.filter("_candidates", lambda c: F.when(c["site"], F.rlike(site, c["pattern"])).otherwise(F.rlike(url, c["pattern"])))
+    fit = F.filter("_urls_candidates", lambda c: F.when(c["site"], F.rlike(site, c["pattern"])).otherwise(F.rlike(url, c["pattern"])))
     best = F.array_max(F.transform(fit, lambda c: F.struct(c["site"].alias("site"), c["size"].alias("size"), c["name"].alias("name"), c["verdict"].alias("verdict"))))
-    out = out.withColumn("_best", best)
+    out = out.withColumn("_urls_best", best)
     return out.withColumns({
-        "rule": F.col("_best.name"),
-        "rule_on": F.when(F.col("_best.site"), F.lit("site")).when(F.col("_best").isNotNull(), F.lit("url")),
-        "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default)),
-        "n_candidates": F.size("_candidates"),
-    }).drop("_candidates", "_best")
+        "rule": F.col("_urls_best.name"),
+        "rule_on": F.when(F.col("_urls_best.site"), F.lit("site")).when(F.col("_urls_best").isNotNull(), F.lit("url")),
+        "verdict": F.coalesce(F.col("_urls_best.verdict"), F.lit(default)),
+        "n_candidates": F.size("_urls_candidates"),
+    }).drop("_urls_candidates", "_urls_best")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
