@@ -16,7 +16,7 @@ def rule_label(text: Column, pack: Pack) -> Column:
     for _, (name, _, patterns) in ranked:
         hit = None
         for p in patterns:
-            one = F.rlike(text, F.lit(p))
+            one = F.rlike(text, F.lit(pack.flags + p))
             hit = one if hit is None else hit | one
         out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     return out if out is not None else F.lit(None).cast("string")

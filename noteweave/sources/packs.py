@@ -39,6 +39,8 @@ class Pack:
     subject: str = ""
     negation: dict = field(default_factory=dict)
     default_chunk_type: str = "clinical_state"
+    #: Put before section expressions: classes such as digits in every script, say.
+    flags: str = ""
 
     def sentence_pattern(self) -> str:
         """Tiles a text: sentences with their closing marks (and a rarer line end), line ends by themselves.
@@ -98,6 +100,7 @@ GENERIC = Pack(
 # They must equal those of the notes' rule files for right results.
 ZH_CLINICAL = Pack(
     name="zh_clinical",
+    flags="(?U)",
     terminators="。！？!?",
     sections=(
         ("patient_profile", 50, (r"^患者[,，]\s*(男|女)[,，]\s*\d+\s*岁", r"一般健康状况[：:]", r"(职业|文化程度|婚姻|籍贯)[：:]")),
@@ -169,7 +172,7 @@ GENERIC_EDGES = {
 
 
 def section_rules(spark: SparkSession, pack: Pack) -> DataFrame:
-    rows = [(s, p, i, r) for i, (s, p, rs) in enumerate(pack.sections) for r in rs]
+    rows = [(s, p, i, pack.flags + r) for i, (s, p, rs) in enumerate(pack.sections) for r in rs]
     return spark.createDataFrame(rows, "section_id string, priority int, rule_order int, regex string")
 
 
