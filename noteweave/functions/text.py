@@ -19,6 +19,11 @@ def quote(literal: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", literal)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
 
