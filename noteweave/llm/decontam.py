@@ -30,7 +30,7 @@ MIN_BYTES = 20
 #: Bytes of items in a block.
 BLOCK_BYTES = 8_000_000
 #: Bytes of text that are held in numpy at once (a longer text is taken whole).
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 _BITS = 22
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
