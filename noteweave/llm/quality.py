@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteweave.llm.common import SPACE_CLASS, let, read, words
+from noteweave.llm.common import SPACE_CLASS, let, read, words, written
 
 #: A line that more than this many documents of a host hold is boilerplate.
 MAX_LINE_DOCS = 50
@@ -96,21 +96,22 @@ def lost_words(docs: DataFrame, host: str = "source", text: str = "text", max_do
     return hit.groupBy("host", "t1", "t2").agg(F.collect_set("line").alias("lines"), F.sum("n").alias("lost"))
 
 
-def judge(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = MAX_LINE_DOCS, max_lost: tuple[int, int] = MAX_LOST, keep_text: bool = True) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = MAX_LINE_DOCS, max_lost: tuple[int, int] = MAX_LOST, keep_text: bool = True, keys: bool = False) -> DataFrame:
     """The rows (their columns but for those named as results) with ``n_words``, ``word_chars``,
     ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed``, ``n_lost_words`` (words in
     frequent lines), ``kept``, and ``_lines``, the hashes of the frequent lines.
 
     Empty and null texts have no words, so they fail the base rules. Repeated rows and copies are one
     document in the counts and are judged alike. An empty table gives an empty result. Without
-    ``keep_text`` the text isn't carried through the join.
+    ``keep_text`` the text isn't carried through the join; with ``keys`` the document's host and two hashes
+    of its text stay as ``_host``, ``_t1``, ``_t2``.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumns({"_m": base_metrics(F.col(text)), "_host": F.col(host), "_t1": F.xxhash64(t), "_t2": F.hash(t)})
     lost = lost_words(docs, host, text, max_docs).select(F.col("host").alias("_h"), F.col("t1").alias("_l1"), F.col("t2").alias("_l2"), F.col("lines").alias("_lines"), F.col("lost").alias("_lost"))
     if not keep_text:
         out = out.drop(text)
-    out = out.join(lost, out["_host"].eqNullSafe(lost["_h"]) & (out["_t1"] == lost["_l1"]) & (out["_t2"] == lost["_l2"]), "left").drop("_h", "_l1", "_l2", "_t1", "_t2", "_host")
+    out = out.join(lost, out["_host"].eqNullSafe(lost["_h"]) & (out["_t1"] == lost["_l1"]) & (out["_t2"] == lost["_l2"]), "left").drop("_h", "_l1", "_l2", *(() if keys else ("_t1", "_t2", "_host")))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     out = out.withColumns({n: F.col(f"_m.{n}") for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}).drop("_m")
     out = out.withColumns({"base_failed": failed, "n_lost_words": F.coalesce("_lost", F.lit(0)).cast("bigint")}).drop("_lost")
@@ -120,11 +121,16 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", max_docs: i
 def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = MAX_LINE_DOCS, max_lost: tuple[int, int] = MAX_LOST) -> DataFrame:
     """The documents that the rules keep, with their columns, their frequent lines removed from the
     text. What is left of a text keeps its other lines as they were, joined by line ends."""
-    names = docs.columns
-    out = judge(docs.select(*[F.col(c) for c in names], F.col(text).alias("_text")), host, "_text", max_docs, max_lost).filter("kept")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[host].alias("_source"), docs[text].alias("_text"))
+    # the verdicts are written without the texts, for a filter on figures in one plan would compute them twice
+    verdict = judge(rows.select("_source", "_text"), "_source", "_text", max_docs, max_lost, keep_text=False, keys=True)
+    kept = written(verdict.select("_host", "_t1", "_t2", "_lines", "kept"), "verdicts").filter("kept").dropDuplicates(["_host", "_t1", "_t2"])
+    t = F.coalesce("_text", F.lit(""))
+    rows = rows.withColumns({"_a": F.xxhash64(t), "_b": F.hash(t)})
+    out = rows.join(kept, rows["_source"].eqNullSafe(kept["_host"]) & (rows["_a"] == kept["_t1"]) & (rows["_b"] == kept["_t2"]))
     stay = F.array_join(F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains(F.col("_lines"), F.xxhash64(normal_line(x)))), "\n")
     cleaned = F.when(F.col("_lines").isNull(), F.col("_text")).otherwise(stay)
-    return out.withColumn("_clean", cleaned).select(*[F.col("_clean").alias(c) if c == text else F.col(c) for c in names])
+    return out.select("_row", cleaned.alias("_clean")).select(*[F.col("_clean").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
