@@ -4,15 +4,20 @@ A document's set is its distinct shingles of five words. In each of several inde
 goes to the children of its node that its selected tokens name: those whose hash, seeded by the path so
 far, is under 1 / (BRANCH * set size), so 1 / BRANCH of them on average. Two similar sets select the same
 tokens and stay together in some branch; unlike ones part. Small nodes are compared exhaustively; the
-documents of larger nodes branch on, and are compared with the node's leaders meanwhile. Every link is
-confirmed on the full sets.
+documents of larger nodes are compared with the node's leaders, and if that doesn't make the node one
+component, all documents of such nodes are joined exactly, by a prefix filter. Every link is confirmed on
+the full sets.
 
 A pair at the threshold shares a node at depth three of one tree with a probability of 0.42 at least
-(0.5 where the sets are as large), so TREES = 20 miss it with one of 2e-5 at most.
+(0.5 where the sets are as large), so TREES = 20 miss it with one of 2e-5 at most, however large its nodes.
+
+The exact join orders a set's elements by the number of components that hold them, rarest first. Two similar
+sets share one of their first n - ceil(0.75 n) + 1, and what is left behind their first shared one suffices
+for a link. It runs twice: with one document for each element and component, so that most components grow
+together, and then with all pairs of documents whose components still differ.
 
 At scale: documents with equal sets are one class from the start, so copies neither branch nor pair. Nodes
-are counted before anything is gathered, and only small ones are gathered; large ones give a bounded number
-of pairs for each member. Sets are built again only for classes that have candidates, and meet by joins
+are counted before anything is gathered, and only small ones are gathered. Sets are built again only for classes that have candidates, and meet by joins
 whose hot partitions Spark splits. Components come from label propagation with pointer jumping on tables in
 the shared folder.
 """
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteweave.llm.common import _LOWER, gram_hashes, join_texts, mix, read, word_hashes, word_spans, written
@@ -34,16 +39,11 @@ SIMILAR = 75
 TREES = 20
 BRANCH = 0.7
 DEPTH = 3
-#: Times that the documents of large nodes branch on, by DEPTH levels each.
-MORE_LEVELS = 2
 #: Nodes of up to so many classes are compared exhaustively.
 SMALL = 32
 #: Classes of a large node that all its members are compared with: by an order of all classes, and by an
 #: order of the node's own.
 LEADERS = 2
-#: A large node where at least one in so many members is linked to the first leader is a dense group of near copies.
-#: Its members stay together however far they branch, so only the others branch on.
-DENSE = 10
 _U = np.uint64
 _CHUNK = 1_000_000
 
@@ -128,11 +128,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(body, pa.binary())], names=["rep", "body"])
 
 
-def _deepen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rep, n, body, paths in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "body", "paths")), strict=True):
-            got = branch(np.frombuffer(body, dtype=np.uint64), np.array(paths, dtype=np.int64).view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"rep": pa.array([rep] * len(got), pa.int64()), "n": pa.array([n] * len(got), pa.int64()), "path": pa.array(got)})
+        for i in range(0, batch.num_rows, 500):
+            part = batch.slice(i, 500)
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in part.column("body")]
+            rep, lab = (np.repeat(part.column(c).to_numpy(), [len(s) for s in sets]) for c in ("rep", "lab"))
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(lab), pa.array(np.concatenate(sets))], names=["rep", "lab", "e"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,13 +169,11 @@ def _nodes(placed: DataFrame) -> DataFrame:
     return placed.join(size, "path")
 
 
-def _stars(nodes: DataFrame, only: int | None = None) -> DataFrame:
-    """``path, rep, size, a, b``: members of large nodes with their leaders (or one of them)."""
-    if only is None:
-        return _stars(nodes, 0).unionByName(_stars(nodes, 1))
-    star = nodes.filter(F.col("size") > SMALL).select("path", "size", "rep", "n", F.get("leaders", F.lit(only)).alias("l"))
+def _stars(nodes: DataFrame) -> DataFrame:
+    """``a, b``: members of large nodes with their first leader."""
+    star = nodes.filter(F.col("size") > SMALL).select("rep", "n", F.get("leaders", F.lit(0)).alias("l"))
     star = star.filter((F.col("rep") != F.col("l.rep")) & _sizes_fit(F.col("n"), F.col("l.n")))
-    return star.select("path", "rep", "size", F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b"))
+    return star.select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b")).distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -183,11 +183,44 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_b.select("a", "b", "body_a", "body_b").mapInArrow(_confirm, "a bigint, b bigint").distinct()
 
 
-def _sparse(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of large nodes that aren't dense groups."""
-    linked = _stars(nodes, 0).join(links, ["a", "b"], "left_semi").groupBy("path", "size").agg(F.count_distinct("rep").alias("linked"))
-    dense = linked.filter(F.col("linked") * DENSE >= F.col("size")).select("path")
-    return nodes.filter(F.col("size") > SMALL).join(dense, "path", "left_anti")
+def _mixed(nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """``rep, n, lab`` of the classes in large nodes that are not one component."""
+    own = nodes.filter(F.col("size") > SMALL).join(label, nodes["rep"] == label["v"], "left").select("path", "rep", "n", F.coalesce("label", "rep").alias("lab"))
+    mixed = own.groupBy("path").agg(F.min("lab").alias("low"), F.max("lab").alias("high")).filter("low < high").select("path")
+    return own.join(mixed, "path", "left_semi").select("rep", "n", "lab").distinct()
+
+
+def _prefixes(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rep, n, lab, e, pos``: the first elements of each set that several components hold. Their places
+    count from 1, rarest first; those that one component holds come before them."""
+    each = written(classes.select("rep", "lab").join(sets, "rep").mapInArrow(_elements, "rep bigint, lab bigint, e bigint"), "elements")
+    held = each.groupBy("e", "lab").agg(F.lit(1).alias("one")).groupBy("e").agg(F.count("*").alias("held")).filter("held > 1")
+    own = Window.partitionBy("rep")
+    shared = each.join(held, "e").join(classes.select("rep", "n"), "rep")
+    placed = shared.withColumn("pos", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "e")))
+    return placed.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1).select("rep", "n", "lab", "e", "pos")
+
+
+def _meeting(prefixes: DataFrame) -> DataFrame:
+    """Pairs (a < b) of different components that share an element and can be similar enough."""
+    x, y = (prefixes.select("e", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "lab", "pos")]) for s in "ab")
+    rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) + 1
+    fits = _sizes_fit(F.col("n_a"), F.col("n_b")) & (rest * (100 + SIMILAR) >= (F.col("n_a") + F.col("n_b")) * SIMILAR)
+    same = x.join(y, (x["e"] == y["e"]) & (F.col("rep_a") < F.col("rep_b")) & (F.col("lab_a") != F.col("lab_b")) & fits)
+    return same.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
+def _exactly(nodes: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """The links, and those between different components among the classes of large nodes."""
+    classes = written(_mixed(nodes, components(links)), "mixed")
+    if classes.isEmpty():
+        return links
+    prefixes = written(_prefixes(classes, sets), "prefixes")
+    first = prefixes.groupBy("e", "lab").agg(F.min(F.struct("pos", "rep", "n")).alias("m")).select("m.rep", "m.n", "lab", "e", "m.pos")
+    links = written(links.unionByName(_linked(written(_meeting(first), "pairs"), sets)).distinct(), "links")
+    label = components(links)
+    now = prefixes.drop("lab").join(label, prefixes["rep"] == label["v"], "left").select("rep", "n", F.coalesce("label", "rep").alias("lab"), "e", "pos")
+    return links.unionByName(_linked(written(_meeting(now), "pairs"), sets))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -219,16 +252,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     nodes = written(_nodes(classes.select("rep", "n", F.explode("paths").alias("path"))), "nodes")
     wanted = nodes.select("rep").distinct()
     sets = written(rows.join(wanted, rows["doc_id"] == wanted["rep"], "left_semi").mapInArrow(_sets, "rep bigint, body binary"), "sets")
-    links = written(_linked(_stars(nodes, 0).select("a", "b").distinct(), sets), "links")
+    links = written(_linked(_stars(nodes), sets), "links")
     rest = written(_level(nodes, links), "pairs")
     links = written(links.unionByName(_linked(rest, sets)).distinct(), "links")
-    for _ in range(MORE_LEVELS):
-        on = written(_sparse(nodes, links).groupBy("rep", "n").agg(F.collect_set("path").alias("paths")), "large")
-        if on.isEmpty():
-            break
-        nodes = written(_nodes(on.join(sets, "rep").mapInArrow(_deepen, "rep bigint, n bigint, path bigint")), "nodes")
-        pairs = written(_level(nodes, links), "pairs")
-        links = written(links.unionByName(_linked(pairs, sets)), "links")
+    links = written(_exactly(nodes, sets, links), "links")
     label = components(links)
     known = classes.join(label, classes["rep"] == label["v"], "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("label", "rep").alias("component"))
     out = sketch.select("doc_id", "n", "s1", "s2")

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from noteweave.llm import neardup, substring, suffix
 
@@ -86,6 +87,23 @@ def test_near_duplicates_of_large_nodes(spark):
     assert sorted(got) == sorted(near_truth(rows))
 
 
+def test_near_duplicates_linked_to_one_member_of_a_large_node(spark):
+    rng = random.Random(6)
+    base = [f"t{k}" for k in range(200)]
+
+    def edited(words, n, name):
+        return [f"{name}-{k}" if k in at else w for at in [set(rng.sample(range(5, 195), n))] for k, w in enumerate(words)]
+
+    # the smallest hash leads every large node: the leader has copies, but most members are similar to the base alone
+    ids = [r.i for r in spark.range(300).selectExpr("id AS i").orderBy(F.xxhash64("i")).collect()]
+    leader = edited(base, 4, "lead")
+    texts = [leader, *[edited(leader, 1, f"copy{i}") for i in range(29)], *[edited(base, 4, f"own{i}") for i in range(90)], base, *[edited(base, 4, f"own{i}") for i in range(90, 150)]]
+    texts += [[f"s{k}" for k in range(140)] + [f"d{i}-{k}" for k in range(30)] for i in range(80)]  # one template, unlike otherwise
+    rows = [(i, " ".join(w)) for i, w in zip(ids, texts, strict=False)]
+    got = [tuple(r) for r in neardup.near_duplicates(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted(near_truth(rows))
+
+
 def removed_words(rows, n=13):
     words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
     first = {}
