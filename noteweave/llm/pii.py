@@ -25,7 +25,7 @@ _SECRET_NAMES = ("password", "passwd", "token", "secret", "api_key", "apikey")
 PATTERNS = (
     ("email", r"(?<![\w.+-])[\w.+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     ("key", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
-    ("secret", rf"(?<=(?:{'|'.join(_SECRET_NAMES)})[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?)[A-Za-z0-9_+/-]{{8,200}}"),
+    ("secret", rf"(?<=(?i:{'|'.join(_SECRET_NAMES)})[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?)[A-Za-z0-9_+/-]{{8,200}}"),
     ("ip", r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)"),
     ("card", r"(?<![\d-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?!\d)"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -47,8 +47,7 @@ def has_entities(text: Column) -> Column:
     """Whether a text can hold an entity: a few fast looks before the expression itself."""
     t = F.coalesce(text, F.lit(""))
     quick = F.contains(t, F.lit("@")) | F.rlike(t, F.lit(r"[0-9]{2}|[0-9]\.[0-9]")) | F.rlike(t, F.lit(rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"))
-    for name in _SECRET_NAMES:
-        quick = quick | F.contains(t, F.lit(name))
+    quick = quick | F.rlike(t, F.lit(f"(?i:{'|'.join(_SECRET_NAMES)})"))
     return quick & F.rlike(t, F.lit(ENTITY))
 
 

@@ -109,6 +109,13 @@ def test_pii_surrogates_stay_distinct(spark):
     assert len({r.text for r in out}) == len(rows) and not {r.text for r in out} & {t for _, t in rows}
 
 
+@pytest.mark.parametrize("line", ["TOKEN = \"{}\"", "PASSWORD: {}", "API_KEY={}", "Secret={}", "ApiKey = '{}'", "passwd={}"])
+def test_pii_secrets_behind_names_in_any_case(spark, line):
+    secret = "QBERECFZCSBXFESGLKBPBXBOCLEPHDLB"
+    r = pii.replace_pii(spark.createDataFrame([(line.format(secret),)], "text string"), "k").collect()[0]
+    assert r.n_entities == 1 and secret not in r.text and re.fullmatch(re.escape(line).replace(r"\{\}", "[A-Z]{32}"), r.text)
+
+
 def test_pii_luhn_state_is_kept(spark):
     r = spark.sql("select '4539578763621486' a").select(pii.luhn(F.col("a")).alias("x"), pii.luhn(pii.surrogate(F.lit("card"), F.col("a"), F.lit(0), "k")).alias("y")).collect()[0]
     assert r.x == 0 and r.y == 0
