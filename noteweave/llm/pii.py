@@ -46,7 +46,7 @@ SYLLABLES = {
 def has_entities(text: Column) -> Column:
     """Whether a text can hold an entity: a few fast looks before the expression itself."""
     t = F.coalesce(text, F.lit(""))
-    quick = F.contains(t, F.lit("@")) | F.rlike(t, F.lit(r"[0-9]{2}|[0-9]\.[0-9]")) | F.rlike(t, F.lit(rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"))
+    quick = F.contains(t, F.lit("@")) | F.contains(t, F.lit("AKIA")) | F.rlike(t, F.lit(r"[0-9]{2}|[0-9]\.[0-9]")) | F.rlike(t, F.lit(rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"))
     quick = quick | F.rlike(t, F.lit(f"(?i:{'|'.join(_SECRET_NAMES)})"))
     return quick & F.rlike(t, F.lit(ENTITY))
 
