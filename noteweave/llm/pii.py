@@ -101,19 +101,20 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda s, i: s + F.when(i % 2 == 1, d(i)).otherwise(F.when(d(i) * 2 > 9, d(i) * 2 - 9).otherwise(d(i) * 2))) % 10
 
 
-def _name(word: Column, digest: Column, at: int, script: str, end: Column) -> Column:
+def _name(digest: Column, at: int, script: str, end: Column, attempt: Column) -> Column:
+    """Three syllables and the end; one syllable more for each further attempt, so names never run out."""
     syllables = F.array(*map(F.lit, SYLLABLES[script][0]))
-    made = F.concat(*[F.get(syllables, _byte(digest, F.lit(at + j)) % 16) for j in range(3)], end)
-    return F.initcap(made)
+    made = F.transform(F.sequence(F.lit(at), F.lit(at + 2) + attempt), lambda j: F.get(syllables, _byte(digest, j) % 16))
+    return F.initcap(F.concat(F.array_join(made, ""), end))
 
 
-def _person(norm: Column, digest: Column) -> Column:
+def _person(norm: Column, digest: Column, attempt: Column) -> Column:
     gender, name = F.substring(norm, F.lit(1), F.lit(1)), F.substring(norm, F.lit(3), F.length(norm))
     def of(script: str) -> Column:
         ends = SYLLABLES[script][1]
         end = F.when(gender == "f", ends["f"]).when(gender == "m", ends["m"]).otherwise(ends["n"])
-        two = F.concat(_name(name, digest, 0, script, end), F.lit(" "), _name(name, digest, 8, script, F.lit("")))
-        return F.when(F.contains(name, F.lit(" ")), two).otherwise(_name(name, digest, 0, script, end))
+        two = F.concat(_name(digest, 0, script, end, attempt), F.lit(" "), _name(digest, 8, script, F.lit(""), attempt))
+        return F.when(F.contains(name, F.lit(" ")), two).otherwise(_name(digest, 0, script, end, attempt))
     return F.when(F.rlike(name, F.lit(r"\p{IsCyrillic}")), of("cyrillic")).when(F.rlike(name, F.lit(r"\p{IsGreek}")), of("greek")).otherwise(of("latin"))
 
 
@@ -128,7 +129,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
         phone = F.concat(_draw("23456789", _byte(d, F.lit(63))), F.substring(_recast(norm, d), F.lit(2), F.length(norm)))
         iban = F.concat(F.substring(norm, F.lit(1), F.lit(2)), F.substring(_recast(norm, d), F.lit(3), F.length(norm)))
         return (F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind == "key", aws)
-                .when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "person", _person(norm, d)).otherwise(_recast(norm, d)))
+                .when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "person", _person(norm, d, attempt)).otherwise(_recast(norm, d)))
     return let(_digest(key, kind, norm, attempt.cast("string")), drawn)
 
 
