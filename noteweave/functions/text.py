@@ -66,10 +66,44 @@ def _index(i: Column) -> Column:
     return F.when(i >= 1, i).otherwise(F.raise_error(F.concat(F.lit("index must be 1 or more: "), F.coalesce(i.cast("string"), F.lit("null")))).cast("int"))
 
 
+#: Items that a scan gathers at once, and characters of a block of text.
+BLOCK = 256
+TEXT_BLOCK = 2048
+
+
+def scan(items: Column, state: Column, step, emit) -> tuple[Column, Column]:
+    """A left fold that also gives a value for each item: ``emit(state, item)``, with the state before it, and
+    ``step(state, item)``, the state after it. The values are gathered block by block: appending to one array would
+    copy it once for each item. Returns the last state and the values."""
+    def inner(a: Column, x: Column) -> Column:
+        return F.struct(step(a["s"], x).alias("s"), F.array_append(a["out"], emit(a["s"], x)).alias("out"))
+
+    def outer(a: Column, block: Column) -> Column:
+        return let(F.aggregate(block, F.struct(a["s"].alias("s"), none.alias("out")), inner), lambda r: F.struct(r["s"].alias("s"), F.array_append(a["out"], r["out"]).alias("out")))
+
+    none = F.filter(F.array(emit(state, F.get(items, F.lit(0)))), lambda x: F.lit(False))
+    count = F.size(items)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(count - 1, F.lit(0)) / BLOCK).cast("int")), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
+    done = F.aggregate(blocks, F.struct(state.alias("s"), F.filter(F.array(none), lambda x: F.lit(False)).alias("out")), outer)
+    return done["s"], F.flatten(done["out"])
+
+
 def _fold(pieces: Column) -> Column:
     """Each piece's start, if the pieces make up the text."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(pieces, empty, lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.array_append(a["out"], a["at"]).alias("out")))["out"]
+    return scan(pieces, F.lit(0), lambda at, p: at + F.length(p), lambda at, p: at)[1]
+
+
+def slices(text: Column, spans: Column) -> Column:
+    """The text of each span (``start``, ``end``). The text is cut into blocks first, for a substring of a long
+    text is counted from its beginning."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / TEXT_BLOCK).cast("int")), lambda i: F.substring(text, i * TEXT_BLOCK + 1, F.lit(TEXT_BLOCK)))
+
+    def cut(b: Column, s: Column) -> Column:
+        first = F.floor(s["start"] / TEXT_BLOCK).cast("int")
+        several = F.slice(b, first + 1, F.floor(F.greatest(s["end"] - 1, s["start"]) / TEXT_BLOCK).cast("int") - first + 1)
+        return F.substring(F.array_join(several, ""), s["start"] - first * TEXT_BLOCK + 1, s["end"] - s["start"])
+
+    return let(blocks, lambda b: F.transform(spans, lambda s: cut(b, s)))
 
 
 def matches(text: Column, pattern: str) -> Column:

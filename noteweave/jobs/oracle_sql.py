@@ -24,7 +24,7 @@ cases AS (SELECT sha256(text) AS text_hash, 'case_' || substr(sha256(text), 1, 1
           FROM documents WHERE {FULL('text')} GROUP BY text)"""
 
 SENTENCES = CASES + f""",
-tiled AS (SELECT text_hash, case_id, regexp_extract_all(raw_text, '{q(GENERIC.sentence_pattern())}') AS ps FROM cases),
+tiled AS (SELECT text_hash, case_id, regexp_extract_all(raw_text, '{q(GENERIC.sentence_pattern(possessive=False))}') AS ps FROM cases),
 tile AS (SELECT text_hash, case_id, i, ps[i] AS p FROM tiled, LATERAL (SELECT unnest(range(1, len(ps) + 1)) AS i)),
 placed AS (SELECT *, CAST(sum(length(p)) OVER (PARTITION BY text_hash ORDER BY i) AS INTEGER) AS e FROM tile),
 sent AS (SELECT text_hash, case_id, CAST(row_number() OVER (PARTITION BY text_hash ORDER BY i) AS INTEGER) AS "index",

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteweave.functions.text import scan, slices
 from noteweave.llm.common import read
 
 CONTROL = r"(<)(/?s>|\|)|(\[)(/?INST\])"
@@ -27,8 +28,16 @@ UNIT_TOKENS = {"image": 256, "audio": 25, "document": 1024}
 PARTS = "array<struct<type:string,text:string,ref:string,units:bigint>>"
 
 
+def _backslashes(text: Column) -> Column:
+    return F.replace(text, F.lit("\\"), F.lit("\\b"))
+
+
+def _controls(text: Column) -> Column:
+    return F.regexp_replace(text, CONTROL, r"$1$3\\-$2$4")
+
+
 def escape(text: Column) -> Column:
-    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\b")), CONTROL, r"$1$3\\-$2$4")
+    return _controls(_backslashes(text))
 
 
 def unescape(text: Column) -> Column:
@@ -38,37 +47,36 @@ def unescape(text: Column) -> Column:
 def visit_parts(parts: Column, unit_tokens: dict[str, int] = UNIT_TOKENS) -> tuple[Column, Column]:
     """The body of a turn, and its attachments in order: ``array<struct<slot, type, ref, tokens>>``.
 
-    A part of an unknown or null type counts as text; null text is empty; null units are one.
+    A part of an unknown or null type counts as text; null text is empty; null units are one. The control
+    strings are escaped in what the text parts between two attachments make together, so that no
+    string is put together from several parts: while the parts are joined, a placeholder is a backslash string
+    that no escaped text can hold.
     """
     tokens = F.create_map(*[F.lit(x) for kv in sorted(unit_tokens.items()) for x in kv])
     kinds = list(unit_tokens)
-    held = F.filter(parts, lambda p: p["type"].isin(kinds))
-    attachments = F.transform(held, lambda p, i: F.struct(
+    is_attached = lambda p: F.coalesce(p["type"].isin(kinds), F.lit(False))
+    attachments = F.transform(F.filter(parts, is_attached), lambda p, i: F.struct(
         (i + 1).alias("slot"), p["type"].alias("type"), p["ref"].alias("ref"),
         (F.coalesce(p["units"], F.lit(1)) * tokens[p["type"]]).cast("bigint").alias("tokens")))
-    # a placeholder's number is the count of attachments up to it
-    body = F.array_join(F.transform(parts, lambda p, i: F.when(
-        p["type"].isin(kinds),
-        F.concat(F.lit("<|"), p["type"], F.lit(":"), F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda q: q["type"].isin(kinds))).cast("string"), F.lit("|>")),
-    ).otherwise(escape(F.coalesce(p["text"], F.lit(""))))), "")
-    return body, attachments
+    pieces = scan(
+        parts, F.lit(0), lambda n, p: n + F.when(is_attached(p), 1).otherwise(0),
+        lambda n, p: F.when(is_attached(p), F.concat(F.lit("\\p"), p["type"], F.lit(":"), (n + 1).cast("string"), F.lit(";"))).otherwise(_backslashes(F.coalesce(p["text"], F.lit("")))))[1]
+    body = F.regexp_replace(_controls(F.array_join(pieces, "")), r"\\p([^:;]+):([0-9]+);", "<|$1:$2|>")
+    return F.coalesce(body, F.lit("")), attachments
 
 
 def format_chat(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", parts: str | None = None, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row for each conversation: ``formatted``, ``loss_turns`` (for each turn, whether its body
-    bears loss), ``loss_spans`` (start and length, in code points of ``formatted``, of the bodies that
-    bear loss), ``attachments`` (all turns', with the turn's place) and ``expanded_tokens``.
+    bears loss), ``loss_spans`` (``start`` and ``end`` in code points of ``formatted``, 0-based, end exclusive, of the
+    bodies that bear loss), ``attachments`` (all turns', with the turn's place) and ``expanded_tokens``. A turn is
+    its ``parts``, or without that column its text as one text part; either goes through the visitor.
 
     Turns go by ``order``, then role, then text, nulls first, so ties have one result. A null text is
     empty, a null role is an empty role, a null key is a conversation of its own; repeated rows are
     repeated turns. An empty table gives an empty result. Other columns of the input are ignored.
     """
-    if parts:
-        body, attached = visit_parts(F.coalesce(F.col(parts), F.array().cast(PARTS)))
-    else:
-        one = F.array(F.struct(F.lit("text").alias("type"), F.col(text).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("units")))
-        body, attached = escape(F.coalesce(F.col(text), F.lit(""))), F.filter(one.cast(PARTS), lambda p: F.lit(False))
-        attached = F.transform(attached, lambda p: F.struct(F.lit(0).alias("slot"), p["type"].alias("type"), p["ref"].alias("ref"), p["units"].alias("tokens")))
+    one = F.array(F.struct(F.lit("text").alias("type"), F.col(text).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("units"))) if not parts else F.col(parts)
+    body, attached = visit_parts(F.coalesce(one, F.array()).cast(PARTS))
     who = F.coalesce(F.col(role), F.lit(""))
     turn = F.struct(
         F.col(order).alias("order"), who.alias("role"), F.col(text).alias("text") if not parts else F.to_json(F.col(parts)).alias("text"),
@@ -76,24 +84,26 @@ def format_chat(turns: DataFrame, key: str = "conv_id", order: str = "turn", rol
         who.isin(list(loss_roles)).alias("loss"), attached.alias("attached"))
     tail = " [/INST]</s>"
     ordered = turns.select(F.col(key).alias(key), turn.alias("t")).groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    spans = scan(F.col("ts"), F.lit(0), lambda at, t: at + F.length(t["head"]) + F.length(t["body"]) + len(tail),
+                 lambda at, t: F.when(t["loss"], F.struct((at + F.length(t["head"])).alias("start"), (at + F.length(t["head"]) + F.length(t["body"])).alias("end"))))[1]
     return ordered.select(
         key,
         F.array_join(F.transform("ts", lambda t: F.concat(t["head"], t["body"], F.lit(tail))), "").alias("formatted"),
         F.transform("ts", lambda t: t["loss"]).alias("loss_turns"),
-        F.transform("ts", lambda t: F.struct(F.length(t["head"]).alias("head"), F.length(t["body"]).alias("body"), F.lit(len(tail)).alias("tail"), t["loss"].alias("loss"))).alias("lengths"),
+        F.array_compact(spans).alias("loss_spans"),
         F.flatten(F.transform("ts", lambda t, i: F.transform(t["attached"], lambda a: F.struct((i + 1).alias("turn_no"), a["slot"].alias("slot"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens"))))).alias("attachments"),
         F.aggregate(F.flatten(F.transform("ts", lambda t: t["attached"])), F.lit(0).cast("bigint"), lambda n, a: n + F.coalesce(a["tokens"], F.lit(0))).alias("expanded_tokens"),
     )
 
 
 def loss_spans(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
-    """The spans under the loss mask, one row each: key, ``start`` and ``end`` in code points of
-    ``formatted`` (0-based, end exclusive), from the recorded lengths."""
-    from pyspark.sql import Window
+    """The spans under the loss mask, one row each: key, ``start`` and ``end``."""
+    return formatted.select(key, F.explode("loss_spans").alias("s")).select(key, "s.*")
+
 
-    each = formatted.select(key, F.posexplode("lengths").alias("turn_no", "l")).select(key, "turn_no", "l.*")
-    before = F.coalesce(F.sum(F.expr("head + body + tail")).over(Window.partitionBy(key).orderBy("turn_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return each.withColumn("before", before).filter("loss").select(key, (F.col("before") + F.col("head")).alias("start"), (F.col("before") + F.col("head") + F.col("body")).alias("end"))
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """All text under the loss mask, unescaped, nothing between."""
+    return F.array_join(F.transform(slices(formatted, spans), unescape), "")
 
 
 def read_back(formatted: Column) -> Column:
@@ -115,15 +125,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(EXTRA_ID).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA_TEXT).alias("text"))
     turns = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text").unionByName(extra)
-    out = format_chat(turns)
-    back = out.select("conv_id", "formatted", "loss_turns", "expanded_tokens", read_back(F.col("formatted")).alias("back"))
-    lost = F.array_join(F.transform(F.filter(F.arrays_zip("back", "loss_turns"), lambda z: z["loss_turns"]), lambda z: z["back"]["text"]), "")
+    out = format_chat(turns).select("conv_id", "formatted", "expanded_tokens", loss_text(F.col("formatted"), F.col("loss_spans")).alias("lost"), read_back(F.col("formatted")).alias("back"))
     said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select("conv_id", "formatted", "back", lost.alias("lost"), said.alias("said")).select(
+    return out.select(
         "conv_id", F.size("back").cast("bigint").alias("n_turns"),
-        F.sha2("said", 256).alias("turns_sha256"),
+        F.sha2(said, 256).alias("turns_sha256"),
         F.length("lost").cast("bigint").alias("loss_chars"), F.sha2("lost", 256).alias("loss_sha256"),
-        F.length("formatted").cast("bigint").alias("formatted_chars"))
+        F.length("formatted").cast("bigint").alias("formatted_chars"), "expanded_tokens")
 
 
 def oracle() -> str:
@@ -137,5 +145,5 @@ def oracle() -> str:
            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, raw NULLS FIRST)) AS turns_sha256,
            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, raw NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
-           CAST(sum(length({esc('role')}) + length({esc('text')}) + {len('<s>[INST]  [/INST]</s>')}) AS BIGINT) AS formatted_chars
+           CAST(sum(length({esc('role')}) + length({esc('text')}) + {len('<s>[INST]  [/INST]</s>')}) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS expanded_tokens
     FROM t GROUP BY conv_id"""

@@ -16,10 +16,11 @@ sets share one of their first n - ceil(0.75 n) + 1, and what is left behind thei
 for a link. It runs twice: with one document for each element and component, so that most components grow
 together, and then with all pairs of documents whose components still differ.
 
-At scale: documents with equal sets are one class from the start, so copies neither branch nor pair. Nodes
-are counted before anything is gathered, and only small ones are gathered. Sets are built again only for classes that have candidates, and meet by joins
-whose hot partitions Spark splits. Components come from label propagation with pointer jumping on tables in
-the shared folder.
+At scale: documents with equal sets are one class from the start, so copies neither branch nor pair. A class
+is known by its set's 128 bits, never by a document's id, and has a number of its own. Nodes are counted before
+anything is gathered, and only small ones are gathered. Sets are built again only for classes that have
+candidates, and meet by joins whose hot partitions Spark splits. Components come from label propagation with
+pointer jumping on tables in the shared folder; links that come later only join the labels there are.
 """
 
 from __future__ import annotations
@@ -122,10 +123,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc_id``, ``z1``, ``z2`` (the set's identity) and ``body``, its elements."""
     for whole in batches:
         for batch in _pieces(whole, "text"):
-            body = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(body, pa.binary())], names=["rep", "body"])
+            made = shingle_sets(batch.column("text").to_pylist())
+            who = [identity(s) for s in made]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in who], pa.int64()), pa.array([x for _, x in who], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["doc_id", "z1", "z2", "body"])
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,17 +213,16 @@ def _meeting(prefixes: DataFrame) -> DataFrame:
     return same.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
-def _exactly(nodes: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """The links, and those between different components among the classes of large nodes."""
-    classes = written(_mixed(nodes, components(links)), "mixed")
+def _exactly(nodes: DataFrame, sets: DataFrame, label: DataFrame) -> DataFrame:
+    """The labels with all links among the classes of large nodes."""
+    classes = written(_mixed(nodes, label), "mixed")
     if classes.isEmpty():
-        return links
+        return label
     prefixes = written(_prefixes(classes, sets), "prefixes")
     first = prefixes.groupBy("e", "lab").agg(F.min(F.struct("pos", "rep", "n")).alias("m")).select("m.rep", "m.n", "lab", "e", "m.pos")
-    links = written(links.unionByName(_linked(written(_meeting(first), "pairs"), sets)).distinct(), "links")
-    label = components(links)
+    label = joined(label, _linked(written(_meeting(first), "pairs"), sets))
     now = prefixes.drop("lab").join(label, prefixes["rep"] == label["v"], "left").select("rep", "n", F.coalesce("label", "rep").alias("lab"), "e", "pos")
-    return links.unionByName(_linked(written(_meeting(now), "pairs"), sets))
+    return joined(label, _linked(written(_meeting(now), "pairs"), sets))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -237,37 +239,54 @@ def components(links: DataFrame) -> DataFrame:
         label = nxt.select("v", "label")
 
 
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links: only links between different labels count, and they join whole
+    components, so what is known is not worked out again."""
+    of = lambda c: label.select(F.col("v").alias(c), F.col("label").alias(f"l{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    between = written(between.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    if between.isEmpty():
+        return label
+    now = components(between).select(F.col("v").alias("was"), F.col("label").alias("now"))
+    moved = label.join(now, label["label"] == now["was"], "left").select("v", F.coalesce("now", "label").alias("label"))
+    alone = now.join(label, now["was"] == label["v"], "left_anti").select(F.col("was").alias("v"), F.col("now").alias("label"))
+    return written(moved.unionByName(alone), "labels")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of the documents: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id
     of its group of linked documents), ``kept`` (whether that is its own).
 
     Null texts and texts without words have empty sets and are linked with nothing, so they are kept. A row
     without an id is linked with nothing either; its component is null and it is kept. Rows of one id are
-    each judged by their text. An empty table gives an empty result.
+    each judged by their text: two texts of one id are linked only if they are similar. An empty table gives
+    an empty result.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     sketch = written(rows.mapInArrow(_sketch, "doc_id bigint, n bigint, s1 bigint, s2 bigint, paths array<bigint>"), "sketch")
     real = sketch.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = written(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.any_value("paths", F.lit(True)).alias("paths")), "classes")
+    classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.any_value("paths", F.lit(True)).alias("paths"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # numbers that the table keeps
     nodes = written(_nodes(classes.select("rep", "n", F.explode("paths").alias("path"))), "nodes")
-    wanted = nodes.select("rep").distinct()
-    sets = written(rows.join(wanted, rows["doc_id"] == wanted["rep"], "left_semi").mapInArrow(_sets, "rep bigint, body binary"), "sets")
-    links = written(_linked(_stars(nodes), sets), "links")
-    rest = written(_level(nodes, links), "pairs")
-    links = written(links.unionByName(_linked(rest, sets)).distinct(), "links")
-    links = written(_exactly(nodes, sets, links), "links")
-    label = components(links)
-    known = classes.join(label, classes["rep"] == label["v"], "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("label", "rep").alias("component"))
+    wanted = classes.join(nodes.select("rep").distinct(), "rep", "left_semi").select("rep", "least", "s1", "s2")
+    bodies = rows.join(wanted.select("least").distinct(), rows["doc_id"] == F.col("least"), "left_semi").mapInArrow(_sets, "doc_id bigint, z1 bigint, z2 bigint, body binary")
+    bodies = wanted.join(bodies, (F.col("least") == F.col("doc_id")) & (F.col("s1") == F.col("z1")) & (F.col("s2") == F.col("z2")))
+    sets = written(bodies.groupBy("rep").agg(F.any_value("body").alias("body")), "sets")
+    label = components(_linked(_stars(nodes), sets))
+    label = joined(label, _linked(written(_level(nodes, label), "pairs"), sets))
+    label = _exactly(nodes, sets, label)
+    known = classes.select("rep", "s1", "s2", "least").join(label, classes["rep"] == label["v"], "left").select("s1", "s2", "least", F.coalesce("label", "rep").alias("lab"))
+    least = known.groupBy("lab").agg(F.min("least").alias("component"))
+    known = known.join(least, "lab").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "component")
     out = sketch.select("doc_id", "n", "s1", "s2")
     out = out.join(known, (out["s1"] == known["c1"]) & (out["s2"] == known["c2"]) & out["doc_id"].isNotNull() & (out["n"] > 0), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _level(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _level(nodes: DataFrame, label: DataFrame) -> DataFrame:
     """The pairs of classes to compare: all in small nodes, members and leaders in large ones; but for those
     whose components the links so far make one, for they can't change anything."""
-    label = components(links)
     own = nodes.join(label, nodes["rep"] == label["v"], "left").withColumn("lab", F.coalesce("label", "rep")).drop("v", "label")
     own = written(own, "nodes")
     star = own.filter(F.col("size") > SMALL)

@@ -1,31 +1,49 @@
 """PII surrogates: detected entities get keyed replacements of the same type, script, gender and format.
 
 One expression finds e-mail addresses, IP addresses, keys, secrets, card numbers, IBANs, social security
-and phone numbers, and persons behind a form of address. Every distinct entity draws a surrogate from a
-keyed digest; equal entities in any form and any document have equal surrogates. Draws that collide with
-each other or with a real entity are made anew until none does, so distinct entities stay distinct.
+and phone numbers, and persons: names behind a form of address, or a known given name with a surname. An
+entity is made of units: an address of its local part and its host, a name of a given name and a surname,
+anything else of itself. Every distinct unit draws a surrogate from a keyed digest, so equal units in any form
+and any document have equal surrogates: "Mr John Smith", "Dr Smith" and "John Smith" share theirs. A name
+without a gender takes that of the same surname in its text, else in all texts, if there is only one. Where a
+text holds a person, the bare full name and surname are replaced in it too.
+
+Draws that collide with each other or with a real unit are made anew until none does, so distinct entities
+stay distinct. Only the losers draw again, and names and local parts grow with every further draw, so they
+never run out.
 
 Only DataFrame functions. Texts without entities pass in a projection. The texts that have some are
-shuffled once, by a digest of the text; the entities are folded to distinct ones before they meet, and
-all joins are ones whose hot partitions Spark splits.
+shuffled once, by a digest of the text; the units are folded to distinct ones before they meet, and all
+joins are ones whose hot partitions Spark splits.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteweave.llm.common import let, read, written
 
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Madame", "Señora", "Sra", "Госпожа"), "m": ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Господин"), "n": ("Dr", "Prof")}
-_TITLE = "|".join(t for g in ("f", "m", "n") for t in TITLES[g])
-_PERSON = rf"(?<![\p{{L}}\d])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?"
+#: Given names that tell a person without a title, by gender. Names that are common words too are left out.
+GIVEN = {
+    "f": ("Alice", "Andrea", "Anna", "Barbara", "Carmen", "Caroline", "Catherine", "Charlotte", "Claudia", "Elena", "Elizabeth", "Emily", "Emma", "Hannah", "Helen", "Isabel", "Jennifer", "Jessica", "Julia", "Karen", "Katharina", "Laura", "Lucia", "Margaret", "Maria", "Marie", "Martha", "Mary", "Monika", "Nicole", "Olga", "Patricia", "Rachel", "Sabine", "Sandra", "Sarah", "Sophie", "Susan", "Ursula", "Анна", "Елена", "Мария", "Ольга"),
+    "m": ("Alexander", "Andrew", "Antonio", "Benjamin", "Carlos", "Charles", "Christian", "Daniel", "David", "Edward", "Francisco", "François", "George", "Hans", "Henry", "Jacques", "James", "Javier", "Jean", "John", "Joseph", "José", "Juan", "Jürgen", "Klaus", "Louis", "Luis", "Manuel", "Martin", "Matthew", "Michael", "Miguel", "Nicolas", "Paul", "Peter", "Philippe", "Pierre", "Richard", "Robert", "Stefan", "Thomas", "Wolfgang", "William", "Дмитрий", "Иван", "Сергей"),
+}
+_BY_GENDER = {g: [x for t in ts for x in dict.fromkeys((t, t.upper()))] for g, ts in TITLES.items()}
+_TITLE = "|".join(t for g in ("f", "m", "n") for t in _BY_GENDER[g])
+_GIVEN = "|".join(sorted(n for names in GIVEN.values() for n in names))
+_NAME = r"\p{Lu}[\p{L}'’-]+"
+_PERSON = rf"(?=\p{{Lu}})(?<![\p{{L}}\d])(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME})?|(?:{_GIVEN}) {_NAME})"
 _SECRET_NAMES = ("password", "passwd", "token", "secret", "api_key", "apikey")
-#: In this order; where several could start at a place, the first does.
+#: In this order; where several could start at a place, the first does. A repeated group is possessive, for
+#: Java's matcher would recurse once for each repeat and end the executor on a long run.
 PATTERNS = (
-    ("email", r"(?<![\w.+-])[\w.+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("email", r"(?<![\w.+-])[\w.+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"),
     ("key", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
-    ("secret", rf"(?<=(?i:{'|'.join(_SECRET_NAMES)})[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?)[A-Za-z0-9_+/-]{{8,200}}"),
+    ("secret", rf"(?<=(?i:{'|'.join(_SECRET_NAMES)})[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?)[A-Za-z0-9_+/-]{{8,}}"),
     ("ip", r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)"),
     ("card", r"(?<![\d-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?!\d)"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -46,7 +64,7 @@ SYLLABLES = {
 def has_entities(text: Column) -> Column:
     """Whether a text can hold an entity: a few fast looks before the expression itself."""
     t = F.coalesce(text, F.lit(""))
-    quick = F.contains(t, F.lit("@")) | F.contains(t, F.lit("AKIA")) | F.rlike(t, F.lit(r"[0-9]{2}|[0-9]\.[0-9]")) | F.rlike(t, F.lit(rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"))
+    quick = F.contains(t, F.lit("@")) | F.contains(t, F.lit("AKIA")) | F.rlike(t, F.lit(r"[0-9]{2}|[0-9]\.[0-9]")) | F.rlike(t, F.lit(rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_TITLE})\.?|{_GIVEN}) \p{{Lu}}"))
     quick = quick | F.rlike(t, F.lit(f"(?i:{'|'.join(_SECRET_NAMES)})"))
     return quick & F.rlike(t, F.lit(ENTITY))
 
@@ -61,15 +79,23 @@ def kind_of(entity: Column) -> Column:
     return F.coalesce(whole, F.lit("secret"))
 
 
+def _name_parts(entity: Column) -> Column:
+    """``struct<gender, given, surname>`` of a person; a single name is a surname unless it is a known given one."""
+    title = F.regexp_extract(entity, rf"^({_TITLE})\.? ", 1)
+    of = lambda c, table: F.when(c.isin(list(table["f"])), "f").when(c.isin(list(table["m"])), "m")
+    parts = F.split(F.regexp_replace(entity, rf"^(?:{_TITLE})\.? ", ""), " ")
+    def known(ws: Column) -> Column:
+        alone = (F.size(ws) == 1) & of(ws[0], GIVEN).isNotNull()
+        given, surname = F.when((F.size(ws) == 2) | alone, ws[0]), F.when(F.size(ws) == 2, F.get(ws, F.lit(1))).when(~alone, ws[0])
+        return F.struct(F.coalesce(of(title, _BY_GENDER), of(given, GIVEN), F.lit("n")).alias("gender"), given.alias("given"), surname.alias("surname"))
+    return let(parts, known)
+
+
 def normal_form(kind: Column, entity: Column) -> Column:
-    """What equal entities have in common: e-mail addresses in lower case, numbers by their digits (phones
-    by the last ten), persons by gender and name in lower case."""
-    title = F.regexp_extract(entity, rf"^({_TITLE})", 1)
-    gender = F.when(title.isin(list(TITLES["f"])), "f").when(title.isin(list(TITLES["m"])), "m").otherwise("n")
-    name = F.regexp_replace(entity, rf"^(?:{_TITLE})\.? ", "")
+    """What equal entities (but persons) have in common: e-mail addresses in lower case, numbers by their
+    digits (phones by the last ten)."""
     return (F.when(kind == "email", F.lower(entity)).when(kind.isin("card", "ssn"), _digits(entity))
-            .when(kind == "phone", F.right(_digits(entity), F.lit(10))).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
-            .when(kind == "person", F.concat(gender, F.lit(":"), F.lower(name))).otherwise(entity))
+            .when(kind == "phone", F.right(_digits(entity), F.lit(10))).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).otherwise(entity))
 
 
 def _draw(alphabet: str, b: Column) -> Column:
@@ -101,70 +127,92 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda s, i: s + F.when(i % 2 == 1, d(i)).otherwise(F.when(d(i) * 2 > 9, d(i) * 2 - 9).otherwise(d(i) * 2))) % 10
 
 
-def _name(digest: Column, at: int, script: str, end: Column, attempt: Column) -> Column:
-    """Three syllables and the end; one syllable more for each further attempt, so names never run out."""
-    syllables = F.array(*map(F.lit, SYLLABLES[script][0]))
-    made = F.transform(F.sequence(F.lit(at), F.lit(at + 2) + attempt), lambda j: F.get(syllables, _byte(digest, j) % 16))
-    return F.initcap(F.concat(F.array_join(made, ""), end))
+def _mod97(value: Column) -> Column:
+    """The remainder of an IBAN's rearranged string, letters as 10 to 35."""
+    code = lambda c: F.when(F.rlike(c, F.lit("[0-9]")), c).otherwise((F.ascii(c) - 55).cast("string"))
+    digits = F.array_join(F.transform(F.split(value, ""), code), "")
+    return F.aggregate(F.split(digits, ""), F.lit(0), lambda r, c: (r * 10 + F.coalesce(c.cast("int"), F.lit(0))) % 97)
 
 
-def _person(norm: Column, digest: Column, attempt: Column) -> Column:
+def _name(digest: Column, syllables: list[str], count: Column) -> Column:
+    made = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.get(F.array(*map(F.lit, syllables)), _byte(digest, j) % 16))
+    return F.array_join(made, "")
+
+
+def _name_unit(kind: Column, norm: Column, digest: Column, count: Column) -> Column:
+    """A surname, or a given name with the end of its gender, in the script of the real one. Cyrillic surnames
+    have such ends too."""
     gender, name = F.substring(norm, F.lit(1), F.lit(1)), F.substring(norm, F.lit(3), F.length(norm))
     def of(script: str) -> Column:
-        ends = SYLLABLES[script][1]
+        syllables, ends = SYLLABLES[script]
         end = F.when(gender == "f", ends["f"]).when(gender == "m", ends["m"]).otherwise(ends["n"])
-        two = F.concat(_name(digest, 0, script, end, attempt), F.lit(" "), _name(digest, 8, script, F.lit(""), attempt))
-        return F.when(F.contains(name, F.lit(" ")), two).otherwise(_name(digest, 0, script, end, attempt))
-    return F.when(F.rlike(name, F.lit(r"\p{IsCyrillic}")), of("cyrillic")).when(F.rlike(name, F.lit(r"\p{IsGreek}")), of("greek")).otherwise(of("latin"))
+        return F.concat(_name(digest, syllables, count), F.when((kind == "given") | F.lit(script == "cyrillic"), end).otherwise(F.lit("")))
+    return F.initcap(F.when(F.rlike(name, F.lit(r"\p{IsCyrillic}")), of("cyrillic")).when(F.rlike(name, F.lit(r"\p{IsGreek}")), of("greek")).otherwise(of("latin")))
 
 
-def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """The keyed draw for an entity's type and normal form."""
+def surrogate(kind: Column, norm: Column, attempt: Column, key: str, syllables: Column | int = 3) -> Column:
+    """The keyed draw for a unit's type and normal form. ``local`` has its host behind an @, names their gender
+    before a colon. A name has as many syllables and one more for each further attempt; a local part gets
+    digits from the third attempt on."""
+    count = (F.lit(syllables) if isinstance(syllables, int) else syllables) + attempt
     def drawn(d: Column) -> Column:
-        host = F.regexp_extract(norm, r"@(.*)\.[^.]*$", 1)
-        email = F.concat(_recast(F.substring_index(norm, "@", 1), d), F.lit("@"), let(_digest(key, F.lit("host"), host), lambda h: _recast(host, h)), F.regexp_extract(norm, r"(\.[^.]*)$", 1))
+        more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt - 1, F.lit(1))), lambda j: _draw(_DIGITS, _byte(d, j + 40))), "")
+        local = F.concat(_recast(F.substring_index(norm, "@", 1), d), F.when(attempt >= 2, more).otherwise(F.lit("")), F.lit("@"), F.substring_index(norm, "@", -1))
+        host = F.concat(_recast(F.regexp_extract(norm, r"^(.*)\.[^.]*$", 1), d), F.when(attempt >= 2, more).otherwise(F.lit("")), F.regexp_extract(norm, r"(\.[^.]*)$", 1))
         card = let(F.concat(F.substring(norm, F.lit(1), F.lit(1)), F.substring(_recast(norm, d), F.lit(2), F.length(norm) - 2)), lambda c: F.concat(c, ((luhn(norm) - luhn(F.concat(c, F.lit("0"))) + 10) % 10).cast("string")))
         ip = F.concat_ws(".", (_byte(d, F.lit(0)) % 223 + 1).cast("string"), _byte(d, F.lit(1)).cast("string"), _byte(d, F.lit(2)).cast("string"), (_byte(d, F.lit(3)) % 254 + 1).cast("string"))
         aws = F.concat(F.lit("AKIA"), *[_draw(_UPPER + "234567", _byte(d, F.lit(i))) for i in range(16)])
         phone = F.concat(_draw("23456789", _byte(d, F.lit(63))), F.substring(_recast(norm, d), F.lit(2), F.length(norm)))
-        iban = F.concat(F.substring(norm, F.lit(1), F.lit(2)), F.substring(_recast(norm, d), F.lit(3), F.length(norm)))
-        return (F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind == "key", aws)
-                .when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "person", _person(norm, d, attempt)).otherwise(_recast(norm, d)))
+        land, account = F.substring(norm, F.lit(1), F.lit(2)), F.substring(_recast(norm, d), F.lit(5), F.length(norm))
+        iban = let(account, lambda b: F.concat(land, F.lpad((98 - _mod97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0"), b))
+        return (F.when(kind == "local", local).when(kind == "host", host).when(kind == "card", card).when(kind == "ip", ip).when(kind == "key", aws)
+                .when(kind == "phone", phone).when(kind == "iban", iban).when(kind.isin("given", "surname"), _name_unit(kind, norm, d, count)).otherwise(_recast(norm, d)))
     return let(_digest(key, kind, norm, attempt.cast("string")), drawn)
 
 
 def written_as(kind: Column, entity: Column, sur: Column) -> Column:
-    """A surrogate in the form of the entity: its separators, title, and capitals."""
+    """Surrogates of an entity's units (an array) in its form: its separators, title, and capitals."""
+    one = F.get(sur, F.lit(0))
     total = F.length(_digits(entity))
-    skip = total - F.length(sur)
-    filled = F.array_join(F.transform(F.split(entity, ""), lambda c, i: let(F.length(_digits(F.substring(entity, F.lit(1), i))), lambda before: F.when(F.rlike(c, F.lit("[0-9]")) & (before >= skip), F.substring(sur, before - skip + 1, F.lit(1))).otherwise(c))), "")
-    spaced = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(sur, F.length(F.replace(F.substring(entity, F.lit(1), i), F.lit(" "), F.lit(""))) + 1, F.lit(1)))), "")
+    skip = total - F.length(one)
+    filled = F.array_join(F.transform(F.split(entity, ""), lambda c, i: let(F.length(_digits(F.substring(entity, F.lit(1), i))), lambda before: F.when(F.rlike(c, F.lit("[0-9]")) & (before >= skip), F.substring(one, before - skip + 1, F.lit(1))).otherwise(c))), "")
+    spaced = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(one, F.length(F.replace(F.substring(entity, F.lit(1), i), F.lit(" "), F.lit(""))) + 1, F.lit(1)))), "")
     title = F.regexp_extract(entity, rf"^((?:{_TITLE})\.? )", 1)
-    name = F.regexp_replace(entity, rf"^(?:{_TITLE})\.? ", "")
-    loud = (F.upper(name) == name) & (F.length(name) > 1)
+    loud = lambda was, new: F.when((F.upper(was) == was) & (F.length(was) > 1), F.upper(new)).otherwise(new)
+    name = F.array_join(F.zip_with(F.split(F.regexp_replace(entity, rf"^(?:{_TITLE})\.? ", ""), " "), sur, loud), " ")
+    mail = F.concat(F.substring_index(one, "@", 1), F.lit("@"), F.get(sur, F.lit(1)))
     return (F.when(kind.isin("card", "ssn", "phone"), filled).when(kind == "iban", spaced)
-            .when(kind == "email", F.when(F.upper(entity) == entity, F.upper(sur)).otherwise(sur))
-            .when(kind == "person", F.concat(title, F.when(loud, F.upper(sur)).otherwise(sur))).otherwise(sur))
+            .when(kind == "email", F.when(F.upper(entity) == entity, F.upper(mail)).otherwise(mail))
+            .when(kind == "person", F.concat(title, name)).otherwise(one))
+
+
+def _real(kind: Column, norm: Column) -> Column:
+    """What a surrogate of the kind must not be: the real name without its gender, the real value. A local part
+    may be any, for its host is another one."""
+    return F.when(kind.isin("given", "surname"), F.lower(F.substring(norm, 3, 1_000_000))).when(kind != "local", F.lower(norm))
 
 
-def surrogates(entities: DataFrame, key: str) -> DataFrame:
+def surrogates(units: DataFrame, key: str) -> DataFrame:
     """``kind, norm, sur`` for distinct (kind, norm): no two of a kind share a surrogate, and none equals
-    a real entity. Each round redraws only what collides; what has settled stays."""
-    drawn = written(entities.select("kind", "norm").distinct().withColumn("round", F.lit(0)).withColumn("sur", surrogate(F.col("kind"), F.col("norm"), F.col("round"), key)), "surrogates")
-    bare = F.when(F.col("kind") == "person", F.lower(F.substring("norm", 3, 1000))).otherwise(F.col("norm"))
-    real = drawn.select(F.col("kind").alias("k"), bare.alias("real")).distinct()
-    for n in range(1, 100):
-        order = Window.partitionBy("kind", "_s").orderBy("round", "norm")
-        ranked = drawn.withColumn("_s", F.lower("sur")).withColumn("_rank", F.row_number().over(order))
-        ranked = ranked.join(real.withColumn("taken", F.lit(True)), (ranked["kind"] == real["k"]) & (ranked["_s"] == F.lower(real["real"])), "left").drop("k", "real")
-        lost = (F.col("_rank") > 1) | F.coalesce("taken", F.lit(False))
-        nxt = ranked.groupBy("kind", "norm", "round", "sur").agg(F.max(lost).alias("lost"))
-        nxt = written(nxt, "surrogates")
-        if nxt.filter("lost").isEmpty():
-            return nxt.select("kind", "norm", "sur")
-        again = surrogate(F.col("kind"), F.col("norm"), F.lit(n), key)
-        drawn = written(nxt.select("kind", "norm", F.when(F.col("lost"), F.lit(n)).otherwise(F.col("round")).alias("round"), F.when(F.col("lost"), again).otherwise(F.col("sur")).alias("sur")), "surrogates")
-    raise ValueError("surrogates still collide")
+    a real one. Each round draws only for those that have lost; the first length of names comes from the number of units,
+    so that few do."""
+    real = written(units.select("kind", "norm").distinct(), "units")
+    digits, n = 3, real.filter("kind IN ('given', 'surname')").count()
+    while 16 ** (digits - 1) < n:
+        digits += 1
+    taken = real.select("kind", _real(F.col("kind"), F.col("norm")).alias("s")).filter("s IS NOT NULL").distinct()
+    done: list[DataFrame] = []
+    left = real
+    for attempt in range(100):
+        drawn = written(left.withColumn("sur", surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key, digits)).withColumn("s", F.lower("sur")), "drawn")
+        first = drawn.withColumn("_rank", F.row_number().over(Window.partitionBy("kind", "s").orderBy("norm"))).filter("_rank = 1").drop("_rank")
+        used = reduce(DataFrame.unionByName, [taken, *[d.select("kind", "s") for d in done]])
+        won = written(first.join(used, ["kind", "s"], "left_anti"), "won")
+        done.append(won)
+        left = written(drawn.join(won.select("kind", "norm"), ["kind", "norm"], "left_anti").select("kind", "norm"), "lost")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done).select("kind", "norm", "sur")
+    raise ValueError("a kind of entity has no more values of its format")
 
 
 def _text_id(text: Column) -> Column:
@@ -172,16 +220,46 @@ def _text_id(text: Column) -> Column:
 
 
 def find_entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``tid`` (digest of the text), ``pos``, ``kind``, ``norm``, ``entity``: once for each distinct text."""
+    """``tid`` (digest of the text), ``pos``, ``kind``, ``entity``, ``name`` (a person's gender, given name and
+    surname): once for each distinct text."""
     t = F.col(text)
     found = docs.filter(has_entities(t)).select(_text_id(t).alias("tid"), F.posexplode(F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))).alias("pos", "entity"))
-    found = found.groupBy("tid", "pos").agg(F.max("entity").alias("entity"))
-    found = found.withColumn("kind", kind_of(F.col("entity")))
-    return found.withColumn("norm", normal_form(F.col("kind"), F.col("entity")))
+    found = found.groupBy("tid", "pos").agg(F.max("entity").alias("entity")).withColumn("kind", kind_of(F.col("entity")))
+    return found.withColumn("name", F.when(F.col("kind") == "person", _name_parts(F.col("entity"))))
+
+
+def entity_units(entities: DataFrame) -> DataFrame:
+    """``tid, pos, part, kind, norm``: the units of each entity, the genders of names resolved."""
+    names = entities.filter("kind = 'person'").select("tid", "pos", "name.*").withColumn("_key", F.lower(F.coalesce("surname", "given")))
+    sure = F.when(F.col("gender") != "n", F.col("gender"))
+    one = lambda w: F.when(F.min(sure).over(w) == F.max(sure).over(w), F.min(sure).over(w))
+    names = names.withColumn("_here", one(Window.partitionBy("tid", "_key")))
+    anywhere = names.groupBy("_key").agg(F.min(sure).alias("_a"), F.max(sure).alias("_b")).filter("_a = _b").select("_key", F.col("_a").alias("_anywhere"))
+    names = names.join(anywhere, "_key", "left").withColumn("_g", F.when(F.col("gender") != "n", F.col("gender")).otherwise(F.coalesce("_here", "_anywhere", F.lit("n"))))
+    unit = lambda kind, norm: F.when(norm.isNotNull(), F.struct(F.lit(kind).alias("kind"), norm.alias("norm")))
+    whole = lambda c: F.concat(F.col("_g"), F.lit(":"), F.lower(c))
+    named = names.select("tid", "pos", F.posexplode(F.array_compact(F.array(unit("given", whole("given")), unit("surname", whole("surname"))))).alias("part", "u"))
+    norm = normal_form(F.col("kind"), F.col("entity"))
+    mail = F.array(unit("local", norm), unit("host", F.substring_index(norm, "@", -1)))
+    other = entities.filter("kind <> 'person'").select("tid", "pos", F.posexplode(F.when(F.col("kind") == "email", mail).otherwise(F.array(F.struct("kind", norm.alias("norm"))))).alias("part", "u"))
+    return named.unionByName(other).select("tid", "pos", "part", "u.kind", "u.norm")
+
+
+def _bare(put: DataFrame) -> DataFrame:
+    """``tid, _bare``: for each text with persons, its full names and surnames with their surrogates, longer ones first."""
+    title = rf"^(?:{_TITLE})\.? "
+    was, new = F.split(F.regexp_replace("entity", title, ""), " "), F.split(F.regexp_replace("new", title, ""), " ")
+    pair = lambda a, b: F.struct(F.length(a).alias("size"), a.alias("was"), b.alias("new"))
+    full = F.when(F.size(was) == 2, pair(F.array_join(was, " "), F.array_join(new, " ")))
+    last = pair(F.element_at(was, -1), F.element_at(new, -1))
+    each = put.filter("kind = 'person'").select("tid", "pos", F.explode(F.array_compact(F.array(full, last))).alias("p"))
+    each = each.groupBy("tid", "p.size", "p.was").agg(F.min_by("p.new", "pos").alias("new"))
+    return each.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("size", "was", "new")), asc=False).alias("_bare"))
 
 
 def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """The rows with their columns, entities in the text replaced, and ``n_entities``.
+    """The rows with their columns, entities in the text replaced, and ``n_entities`` (bare names that
+    repeat a person of the text are replaced and not counted).
 
     Null texts stay null; texts without entities stay as they are. Repeated rows are treated alike. The
     same key gives the same surrogates for the same set of entities. A column ``n_entities`` of the input
@@ -191,10 +269,16 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     names = docs.columns
     t = F.col(text)
     entities = written(find_entities(docs, text), "entities")
-    drawn = surrogates(entities, key)
-    put = entities.join(drawn.withColumnsRenamed({"kind": "k2", "norm": "n2"}), (F.col("kind") == F.col("k2")) & (F.col("norm") == F.col("n2")))
-    put = put.withColumn("new", written_as(F.col("kind"), F.col("entity"), F.col("sur"))).groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("_put"))
-    rebuilt = F.array_join(F.flatten(F.zip_with(F.split("_text", ENTITY, -1), F.transform("_put", lambda x: x["new"]), lambda gap, new: F.array(gap, F.coalesce(new, F.lit(""))))), "")
+    units = written(entity_units(entities), "units")
+    drawn = surrogates(units, key)
+    sur = units.join(drawn, ["kind", "norm"]).groupBy("tid", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "sur"))), lambda x: x["sur"]).alias("sur"))
+    put = entities.join(sur, ["tid", "pos"]).select("tid", "pos", "kind", "entity", written_as(F.col("kind"), F.col("entity"), F.col("sur")).alias("new"))
+    put = written(put, "put")
+    bare = _bare(put)
+    put = put.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("_put")).join(bare, "tid", "left")
+    once = lambda g, p: F.call_function("regexp_replace", g, F.concat(F.lit(r"(?<![\p{L}\d])\Q"), p["was"], F.lit(r"\E(?![\p{L}\d])")), p["new"])
+    gap = lambda g: F.when(F.col("_bare").isNull(), g).otherwise(F.aggregate("_bare", g, once))
+    rebuilt = F.array_join(F.flatten(F.zip_with(F.split("_text", ENTITY, -1), F.transform("_put", lambda x: x["new"]), lambda g, new: F.array(gap(g), F.coalesce(new, F.lit(""))))), "")
     clean = docs.filter(~has_entities(t)).withColumn("n_entities", F.lit(0).cast("bigint"))
     dirty = docs.filter(has_entities(t)).select(F.struct(*[docs[c] for c in names]).alias("_row"), t.alias("_text"), _text_id(t).alias("_tid")).join(put, F.col("_tid") == F.col("tid"))
     dirty = dirty.select(*[rebuilt.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in names], F.size("_put").cast("bigint").alias("n_entities"))

@@ -48,6 +48,28 @@ def test_chat_parts_attachments_ties_and_empty(spark):
     assert chat.format_chat(df.filter("false"), parts="parts").collect() == []
 
 
+def test_chat_control_strings_cannot_be_put_together_from_parts(spark):
+    rng = random.Random(4)
+    bits = ["<", "/s>", "</", "s>", "[", "INST]", "[/", "/INST]", "|", "\\", "\\-", "\\b", "\\pimage:1;", "-", "p", "x", ""]
+    rows = [(1, 0, "user", [("text", "<", None, None), ("text", "/s> [INST] x", None, None)]), (1, 1, "user", [("text", "a" * 300_000, None, None)])]
+    for c in range(2, 60):
+        for t in range(rng.randint(1, 4)):
+            rows.append((c, t, rng.choice(["user", "assistant"]), [(rng.choice(["text", None, "image"]), rng.choice(bits), "r", None) for _ in range(rng.randint(0, 9))]))
+    df = spark.createDataFrame(rows, f"conv_id int, turn int, role string, parts {chat.PARTS}").selectExpr("*", "'x' AS formatted", "1 AS ts", "2 AS loss_spans")
+    out = chat.format_chat(df, parts="parts").select("conv_id", "formatted", "attachments", chat.read_back(F.col("formatted")).alias("b"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("lost")).collect()
+    for r in out:
+        own = sorted((x for x in rows if x[0] == r.conv_id), key=lambda x: x[1])
+        want = []
+        for _, _, role, parts in own:
+            n, text = 0, ""
+            for kind, t, _, _ in parts:
+                n += kind == "image"
+                text += f"<|image:{n}|>" if kind == "image" else t
+            want.append((role, text))
+        assert [(t.role, t.text) for t in r.b] == want
+        assert r.lost == "".join(t for role, t in want if role == "assistant") and len(r.attachments) == sum(p[0] == "image" for x in own for p in x[3])
+
+
 # ---------------------------------------------------------------- quality
 
 
@@ -98,8 +120,8 @@ def test_pii_replaces_all_types_consistently(spark):
     plain, spaced = re.search(r"card (\d{16}) = (\d{4} \d{4} \d{4} \d{4}),", new).groups()
     assert spaced.replace(" ", "") == plain and plain[0] == "4"
     assert re.search(r"call \+1 \(\d{3}\) \d{3}-\d{4},", new) and re.search(r"AKIA[A-Z2-7]{16} password=[0-9a-f]{18} token = \"[0-9a-f]{21}\"", new)
-    lady, sir, loud, russian = re.search(r"\. Mrs (\w+) met Mr\. (\w+); MRS SMITH; Mrs (\w+) and Госпожа (\w+)\.", new).groups() if "MRS SMITH" in new else (None,) * 4
-    assert lady != sir and loud == lady.upper() and re.fullmatch("[А-я]+", russian)
+    lady, sir, all_loud, loud, russian = re.search(r"\. Mrs (\w+) met Mr\. (\w+); MRS (\w+); Mrs (\w+) and Госпожа (\w+)\.", new).groups()
+    assert lady != sir and loud == all_loud == lady.upper() and re.fullmatch("[А-я]+", russian) and "SMITH" not in new
 
 
 def test_pii_surrogates_stay_distinct(spark):
@@ -116,6 +138,12 @@ def test_pii_secrets_behind_names_in_any_case(spark, line):
     assert r.n_entities == 1 and secret not in r.text and re.fullmatch(re.escape(line).replace(r"\{\}", "[A-Z]{32}"), r.text)
 
 
+def test_pii_survives_long_runs(spark):
+    rows = [(0, "a@b" + ".c" * 500_000), (1, "a@b.c" * 100_000), (2, "a" * 1_000_000), (3, " " * 1_000_000), (4, "1" * 1_000_000), (5, "token=" + "x" * 1_000_000), (6, "Mr A" + "a" * 500_000), (7, "1." * 500_000), (8, "DE44" + " ABCD" * 100_000)]
+    out = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id int, text string"), "k").collect()}
+    assert len(out) == len(rows) and out[2].text == rows[2][1] and out[3].text == rows[3][1] and "x" * 50 not in out[5].text and out[0].n_entities == 1 and out[0].text != rows[0][1]
+
+
 def test_pii_surrogates_of_more_names_than_three_syllables_make(spark):
     rows = [(i, "Mr N" + "".join(chr(97 + i // 26**k % 26) for k in range(3))) for i in range(10_000)]
     out = pii.replace_pii(spark.createDataFrame(rows, "doc_id int, text string"), "k").collect()
@@ -134,6 +162,51 @@ def test_pii_each_pattern_alone_in_a_text(spark):
         assert r.n_entities == 1 and r.text != r.was, r
 
 
+def test_pii_names_keep_their_coreference(spark):
+    texts = ["Mr John Smith met Mr Smith. Dr Smith left; John Smith stayed, and Smith's dog.", "Dr Smith came.", "John Smith wrote to Mary Smith.", "Mrs Mary Jones and Dr Jones, or Mr Jones?", "Dr Jones", "Smith and Smithson are words here.", "Иван Петров; господин Петров; Г-н Петров"]
+    out = [r.text for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "k").orderBy("doc_id").collect()]
+    full, last, doctor, bare, alone = re.fullmatch(r"Mr (\w+ \w+) met Mr (\w+)\. Dr (\w+) left; (\w+ \w+) stayed, and (\w+)'s dog\.", out[0]).groups()
+    assert full == bare and full.split()[1] == last == doctor == alone and full != "John Smith"
+    other = re.fullmatch(r"Dr (\w+) came\.", out[1])[1]
+    him, her = re.fullmatch(r"(\w+ \w+) wrote to (\w+ \w+)\.", out[2]).groups()
+    assert him == full and her.split()[1] != last and her.split()[0].endswith("na") and him.split()[0].endswith("ner") and other not in ("Smith", her)
+    she, unknown, he = re.fullmatch(r"Mrs \w+ (\w+) and Dr (\w+), or Mr (\w+)\?", out[3]).groups()
+    assert len({she, unknown, he}) == 3 and out[4] == f"Dr {unknown}"  # a Jones of either gender is here
+    assert out[5] == texts[5] and "Петров" not in out[6]
+
+
+def test_pii_iban_and_hosts(spark):
+    number = lambda s: int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+    rows = [(0, "GB82 WEST 1234 5698 7654 32"), (1, "pay GB82WEST12345698765432 now"), *[(10 + i, f"a@h{i}.org") for i in range(10)], *[(100 + i, f"{chr(97 + i)}@one.org") for i in range(26)]]
+    out = {r.doc_id: r.text for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id int, text string"), "k").collect()}
+    iban = out[1].split()[1]
+    assert number("GB82WEST12345698765432") == 1 == number(iban) and iban != "GB82WEST12345698765432" and out[0] == " ".join(iban[i : i + 4] for i in range(0, 22, 4))
+    mails = [v for k, v in out.items() if k >= 10]
+    assert len(set(mails)) == 36 and len({m.split("@")[1] for m in mails}) == 11 and not {m.split("@")[1] for m in mails} & {"one.org", *(f"h{i}.org" for i in range(10))}
+
+
+def test_pii_spans_equal_brute_force(spark):
+    """The entities that another matcher finds, and no character more, are replaced; the replacement is a function, and one to one."""
+    import regex
+
+    rng = random.Random(8)
+    entity = regex.compile(pii.ENTITY.replace(r"\k<gap>", r"(?P=gap)").replace("(?<gap>", "(?P<gap>"))
+    kinds = [lambda: f"u{rng.randrange(90)}.{rng.choice('ab')}@h{rng.randrange(9)}.example.com", lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), lambda: f"({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)}",
+             lambda: f"AKIA{''.join(rng.choice('ABCDEFG234') for _ in range(16))}", lambda: f"token={''.join(rng.choice('abcdef0123') for _ in range(20))}", lambda: f"{rng.randrange(100, 999)}-22-{rng.randrange(1000, 9999)}", lambda: f"{rng.randrange(10**15, 10**16)}"]
+    rows = [(i, " ".join(rng.choice([lambda: "word", lambda: "1.2.3", lambda: "@", lambda: "é,", rng.choice(kinds)])() for _ in range(rng.randint(0, 40)))) for i in range(400)]
+    out = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id int, text string"), "k").collect()}
+    to: dict[str, str] = {}
+    for i, t in rows:
+        at, new, found = 0, out[i].text, list(entity.finditer(t))
+        gaps = [t[a:b] for a, b in zip([0, *(m.end() for m in found)], [*(m.start() for m in found), len(t)], strict=True)]
+        assert out[i].n_entities == len(found)
+        made = regex.fullmatch("(.+?)".join(regex.escape(g) for g in gaps), new)
+        assert made, (t, new)
+        for m, s in zip(found, made.groups(), strict=True):
+            assert to.setdefault(m[0].lower(), s) == s and s != m[0]
+    assert len(set(to.values())) == len(to)
+
+
 def test_pii_luhn_state_is_kept(spark):
     r = spark.sql("select '4539578763621486' a").select(pii.luhn(F.col("a")).alias("x"), pii.luhn(pii.surrogate(F.lit("card"), F.col("a"), F.lit(0), "k")).alias("y")).collect()[0]
     assert r.x == 0 and r.y == 0
