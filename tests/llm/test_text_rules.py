@@ -270,8 +270,55 @@ def test_language_id_edges(spark):
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(rows, model).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[None][0] == "de" and got[5][0] == "en"
     assert langid.predict(rows.filter("false"), model).collect() == []
-    with pytest.raises(ValueError):
-        langid.fit(docs.filter("false"))
+    nothing = langid.fit(docs.filter("false"))
+    assert {(r.lang_pred, r.score) for r in langid.predict(rows, nothing).collect()} == {("und", 0.0)}
+    signs = spark.createDataFrame([(1, "² ½ ① Ⅷ"), (2, "x" * 2_000_000), (3, "\u0301")], "doc_id int, text string")
+    assert [r.lang_pred == "und" for r in langid.predict(signs, model).orderBy("doc_id").collect()] == [True, False, True]
+
+
+def test_language_id_sample_is_that_of_one_ranking(spark):
+    rows = [(i if i % 9 else None, "en" if i % 3 else "de") for i in range(3000)]
+    known = spark.createDataFrame(rows, "id int, lang string")
+    hashed = known.withColumn("h", F.xxhash64("id")).collect()
+    want = set()
+    for lang in ("en", "de"):
+        want |= {(r.id, lang) for r in sorted((r for r in hashed if r.lang == lang), key=lambda r: (r.h, r.id is not None, r.id or 0))[:70]}
+    assert {tuple(r) for r in langid.choose(known, 70, 8).collect()} == want
+    assert langid.buckets_for(4) == langid.BUCKETS and langid.buckets_for(8000) == 2048 and langid.buckets_for(1 << 30) == 1
+
+
+def test_language_id_equals_brute_force(spark):
+    import math
+
+    rng = random.Random(12)
+    words = {"aa": ["lo", "kana", "miré", "o"], "bb": ["strøm", "vik", "og", "日本"], "cc": ["the", "cat", "İs", "in"]}
+    rows = [(i, " ".join(rng.choice(words[g]) for _ in range(rng.randint(0, 30))) + rng.choice(["", "\n!", "7"]), g) for i, g in enumerate(rng.choice(list(words)) for _ in range(90))]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    got = {r.doc_id: r for r in langid.predict(df.drop("lang"), langid.fit(df)).collect()}
+
+    def grams(text):  # plain arithmetic on one text
+        chars = [ord(c) for c in text.lower()] + [10, 10, 10]
+        for i in range(len(chars) - 3):
+            h = 0
+            for c in chars[i : i + 3]:
+                h = (h ^ c) * 0x85EBCA6B % 2**32
+                h ^= h >> 15
+                yield (h * 0xC2B2AE35 % 2**32 >> 17) % langid.BUCKETS
+
+    counts = {g: {} for g in words}
+    for _, t, g in rows:
+        if any(c.isalpha() for c in t):
+            for b in grams(t):
+                counts[g][b] = counts[g].get(b, 0) + 1
+    total = {g: sum(c.values()) + langid.SMOOTHING * langid.BUCKETS for g, c in counts.items()}
+    for i, t, _ in rows:
+        if not any(c.isalpha() for c in t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        logs = {g: sum(math.log((counts[g].get(b, 0) + langid.SMOOTHING) / total[g]) for b in grams(t)) for g in words}
+        best = max(sorted(logs), key=logs.get)
+        share = 1 / sum(math.exp(x - logs[best]) for x in logs.values())
+        assert got[i].lang_pred == best and abs(got[i].score - share) < 1e-3
 
 
 # ---------------------------------------------------------------- BPE
