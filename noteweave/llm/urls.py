@@ -2,9 +2,11 @@
 
 A rule is a regular expression with the literal tokens (runs of a-z and 0-9) that every URL it
 matches must hold as whole tokens. The index has each rule under that one of its tokens which is
-rarest among the URLs at hand. A URL's own tokens fetch its candidate rules, and only those run
-their expressions. All of it is one projection over the URLs: no shuffle but the small count of
-the rules' tokens, nothing that grows with the data on the driver.
+rarest among the URLs at hand; rules without a token are candidates of every URL. A URL's own tokens
+fetch its candidate rules from a hash table, and only those run their expressions, each compiled once
+for a worker. Only the URL goes to Python; no shuffle but the small count of the rules' tokens, by a join
+with them, and nothing that grows with the URLs on the driver. Rules and index are the caller's list,
+broadcast.
 """
 
 from __future__ import annotations
@@ -12,14 +14,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteweave.llm.common import read
 
-#: The index is a constant of the plan, so the number of rules is bounded.
-MAX_RULES = 5_000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -76,46 +76,67 @@ def _tokens(url: Column) -> Column:
 
 
 def rarest_tokens(urls: DataFrame, url_col: str, rules: tuple[Rule, ...]) -> dict[str, str]:
-    """Each rule's literal token that the fewest URLs hold. Counts only the rules' own tokens."""
-    known = sorted({t for r in rules for t in r.tokens})
-    lists = F.array_intersect(_tokens(F.col(url_col)), F.array(*map(F.lit, known)))
-    counts = {r["token"]: r["n"] for r in urls.select(F.explode(lists).alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
-    return {r.name: min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t)) for r in rules}
+    """Each rule's literal token that the fewest URLs hold, by the rule's name. Counts only the rules' own
+    tokens, so what comes to the driver is no more than those."""
+    known = urls.sparkSession.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})], "token string")
+    held = urls.select(F.explode(_tokens(F.col(url_col))).alias("token")).join(known, "token")
+    counts = {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}
+    return {r.name: min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t)) for r in rules if r.tokens}
+
+
+class Index:
+    """Rules by their rarest token; expressions are compiled at their first use."""
+
+    def __init__(self, rules: tuple[Rule, ...], rarest: dict[str, str]):
+        self.rules = rules
+        self.under: dict[str, list[int]] = {}
+        for i, r in enumerate(rules):
+            self.under.setdefault(rarest.get(r.name, ""), []).append(i)
+        self.compiled: dict[int, re.Pattern] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "compiled": {}}
+
+    def judge(self, url: str, site: str) -> tuple[int, int]:
+        """The rule that decides (-1 for none), and how many expressions ran. ``url`` is lower-cased."""
+        found = [i for t in {"", *re.split("[^a-z0-9]+", url)} for i in self.under.get(t, ())]
+        best, at = None, -1
+        for i in found:
+            r = self.rules[i]
+            if i not in self.compiled:
+                self.compiled[i] = re.compile(r.pattern)
+            if self.compiled[i].search(site if r.on == "site" else url):
+                rank = r.on == "site", len(r.name), r.name
+                if best is None or rank > best:
+                    best, at = rank, i
+        return at, len(found)
 
 
 def filter_urls(urls: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = SITE_RULES + PATTERN_RULES, default: str = "allow") -> DataFrame:
     """The rows with ``host``, ``path``, ``rule`` (the name of the rule that decides, else null),
     ``rule_on``, ``verdict`` and ``n_candidates`` (rules whose expression ran).
 
-    A null URL, or one without ``://``, has empty host and path; site rules can't fit it. An empty
-    table gives an empty result; repeated rows are judged alike, each on its own. Columns of the
-    input with the names of results are replaced.
+    A null URL, or one without ``://``, has empty host and path; site rules can't fit it. Without rules
+    every verdict is the default. An empty table gives an empty result; repeated rows are judged alike, each
+    on its own; URLs of any length are judged whole. Columns of the input with the names of results are
+    replaced.
     """
-    if not rules or len(rules) > MAX_RULES:
-        raise ValueError(f"between 1 and {MAX_RULES} rules are needed")
-    if any(not r.tokens for r in rules):
-        raise ValueError("every rule needs a literal token")
-    under: dict[str, list[Rule]] = {}
-    rarest = rarest_tokens(urls, url_col, rules)
-    for r in rules:
-        under.setdefault(rarest[r.name], []).append(r)
-    entry = lambda r: F.struct(F.lit(r.on == "site").alias("site"), F.lit(len(r.name)).alias("size"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"))
-    index = F.create_map(*[x for t, rs in sorted(under.items()) for x in (F.lit(t), F.array(*map(entry, rs)))])
+    index = urls.sparkSession.sparkContext.broadcast(Index(tuple(rules), rarest_tokens(urls, url_col, tuple(rules)) if rules else {}))
+
+    @F.pandas_udf("rule string, rule_on string, verdict string, n_candidates int")
+    def judged(url: pd.Series, site: pd.Series) -> pd.DataFrame:
+        own, rows = index.value, []
+        for u, s in zip(url, site, strict=True):
+            i, n = own.judge(u, s)
+            r = own.rules[i] if i >= 0 else None
+            rows.append((r.name, r.on, r.verdict, n) if r else (None, None, default, n))
+        return pd.DataFrame(rows, columns=["rule", "rule_on", "verdict", "n_candidates"])
+
     host, path = host_and_path(F.col(url_col))
-    keys = F.array(*map(F.lit, sorted(under)))
-    out = urls.withColumns({"host": host, "path": path})
-    candidates = F.flatten(F.transform(F.array_intersect(F.coalesce(_tokens(F.col(url_col)), F.array().cast("array<string>")), keys), lambda t: index[t]))
-    out = out.withColumn("_urls_candidates", candidates)
-    site, url = F.concat("host", "path"), ascii_lower(F.col(url_col))
-    fit = F.filter("_urls_candidates", lambda c: F.when(c["site"], F.rlike(site, c["pattern"])).otherwise(F.rlike(url, c["pattern"])))
-    best = F.array_max(F.transform(fit, lambda c: F.struct(c["site"].alias("site"), c["size"].alias("size"), c["name"].alias("name"), c["verdict"].alias("verdict"))))
-    out = out.withColumn("_urls_best", best)
-    return out.withColumns({
-        "rule": F.col("_urls_best.name"),
-        "rule_on": F.when(F.col("_urls_best.site"), F.lit("site")).when(F.col("_urls_best").isNotNull(), F.lit("url")),
-        "verdict": F.coalesce(F.col("_urls_best.verdict"), F.lit(default)),
-        "n_candidates": F.size("_urls_candidates"),
-    }).drop("_urls_candidates", "_urls_best")
+    low = ascii_lower(F.coalesce(F.col(url_col), F.lit("")))
+    own = urls.drop(*({"host", "path", "rule", "rule_on", "verdict", "n_candidates", "_urls_best"} - {url_col}))
+    out = own.withColumns({"host": host, "path": path}).withColumn("_urls_best", judged(low, F.concat("host", "path")))
+    return out.withColumns({c: F.col(f"_urls_best.{c}") for c in ("rule", "rule_on", "verdict", "n_candidates")}).drop("_urls_best")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -366,6 +366,22 @@ def test_url_filter_equals_brute_force(spark):
         rule = r.rule if r.rule_on == "site" else None
         assert (r.host, r.path, rule, r.verdict) == judge(r.url), r
     assert urls.filter_urls(df.filter("false")).collect() == []
+    assert {r.verdict for r in urls.filter_urls(df, rules=()).collect()} == {"allow"}
+
+
+def test_url_filter_with_many_rules_and_long_urls(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(3))
+    rules = tuple(urls.Rule(f"r{i}", rng.choice(["block", "allow"]), rf"/{a}/(?:[a-e]+/)?{b}(?:[^a-z0-9]|$)", (a, b)) for i, (a, b) in enumerate((word(), word()) for _ in range(6000)))
+    rules += (urls.Rule("long", "block", r"/z{400}", ()), urls.site_rule("block", "x.org", "/a"))
+    rows = [(i, f"http://x{rng.choice(['.org', '.net'])}/" + "/".join(word() for _ in range(rng.randint(0, 6)))) for i in range(500)] + [(1000, "http://x.org/" + "abc/" * 10_000), (1001, "http://y/" + "z" * 40_000), (1002, None), (1003, "http://x.net/" + "z" * 399)]
+    df = spark.createDataFrame(rows, "page_id int, url string")
+    each = [(x, re.compile(x.pattern)) for x in rules]
+    for r in urls.filter_urls(df, rules=rules).collect():
+        site = r.host + r.path
+        fit = [x for x, p in each if p.search(site if x.on == "site" else r.url or "")]
+        best = max(fit, key=lambda x: (x.on == "site", len(x.name), x.name)) if fit else None
+        assert (r.rule, r.verdict) == ((best.name, best.verdict) if best else (None, "allow")) and r.n_candidates < 400
 
 
 # ---------------------------------------------------------------- pipeline
