@@ -25,6 +25,8 @@ from noteweave.llm.common import read
 
 #: Matches up to this many bytes are leaves of the tree.
 LEAF = 24
+#: Tokens up to this many are a leaf when decoding.
+DECODE_LEAF = 512
 #: Entries of a worker's cache of encoded matches; beyond it the cache starts anew.
 CACHE = 300_000
 
@@ -103,7 +105,10 @@ class Codec:
         return out
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        if len(ids) <= DECODE_LEAF:
+            return b"".join(map(self.tokens.__getitem__, ids))
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 _CODECS: dict[str, Codec] = {}

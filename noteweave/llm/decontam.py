@@ -3,14 +3,18 @@
 An item of m bytes that occurs in a text with at most k edits shares at least m + 1 - q(k + 1)
 q-grams with it, on diagonals that lie within k of each other. So the shared q-grams of each item are
 counted in overlapping bands of diagonals; the bands that reach the bound are verified by a banded
-alignment, and what is within the edit budget is a leak.
+alignment, and what is within the edit budget is a leak. An item shorter than a q-gram has none to share: it is
+looked for exactly, as a whole word.
 
 The benchmark is the query set: it is read in blocks of bounded size, each of them broadcast and held
-against all documents in one pass without a shuffle.
+against all documents in one pass without a shuffle. A text goes through in segments, and its hits in batches:
+what a worker holds is bounded by the block, a segment and a batch, however long or repetitive the texts are.
+Counts of bands that no later hit can reach are settled and dropped.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,12 +29,11 @@ from noteweave.llm.common import read
 Q = 10
 #: Edits allowed for each byte of an item.
 EDIT_RATE = 0.08
-#: Shorter items (in bytes) are too common as strings to tell a leak, and aren't looked for.
-MIN_BYTES = 20
 #: Bytes of items in a block.
 BLOCK_BYTES = 8_000_000
-#: Bytes of text that are held in numpy at once (a longer text is taken whole).
+#: Bytes of text whose q-grams are held at once, and pairs of a text's and an item's q-gram.
 CHUNK = 1_000_000
+HITS = 2_000_000
 _BITS = 22
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -72,22 +75,27 @@ class Items:
     item: np.ndarray
     offset: np.ndarray
     known: np.ndarray
+    short: dict[bytes, list[int]]  # ids of the items without a q-gram, by their text
 
 
 def index_items(rows: list[tuple[int, str]], rate: float = EDIT_RATE) -> Items:
-    rows = [(i, fold(t)) for i, t in rows if t is not None]
-    rows = [(i, t) for i, t in rows if len(t) >= MIN_BYTES]
+    folded = [(i, fold(t).strip()) for i, t in rows if t is not None]
+    rows = [(i, t) for i, t in folded if len(t) >= Q]
+    short: dict[bytes, list[int]] = {}
+    for i, t in folded:
+        if 0 < len(t) < Q:
+            short.setdefault(t, []).append(i)
     size = np.array([len(t) for _, t in rows], dtype=np.int64)
     # with that many edits the bound is still at least one
     edits = np.minimum((size * rate).astype(np.int64), (size - Q) // Q)
     grams = [gram_codes(np.frombuffer(t, dtype=np.uint8)) for _, t in rows]
     codes = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
-    item = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
-    offset = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, dtype=np.int64)
+    item = np.repeat(np.arange(len(rows), dtype=np.int32), [len(g) for g in grams])
+    offset = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if grams else np.zeros(0, dtype=np.int32)
     order = np.argsort(codes, kind="stable")
     known = np.zeros(1 << _BITS, dtype=bool)
     known[(codes >> _U(64 - _BITS)).astype(np.int64)] = True
-    return Items([i for i, _ in rows], [t for _, t in rows], edits, size + 1 - Q * (edits + 1), codes[order], item[order], offset[order], known)
+    return Items([i for i, _ in rows], [t for _, t in rows], edits, size + 1 - Q * (edits + 1), codes[order], item[order], offset[order], known, short)
 
 
 def align(item: bytes, text: bytes, k: int) -> tuple[int, int, int] | None:
@@ -111,39 +119,101 @@ def align(item: bytes, text: bytes, k: int) -> tuple[int, int, int] | None:
     return (edits, start, m + at) if edits <= k else None
 
 
+def _hits(data: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, first entry in the index and number of entries, for the text's q-grams that items have; in the
+    order of places, in batches of some HITS entries."""
+    for at in range(0, len(data) - Q + 1, CHUNK):
+        codes = gram_codes(data[at : at + CHUNK + Q - 1])
+        place = np.flatnonzero(items.known[(codes >> _U(64 - _BITS)).astype(np.int64)])
+        found = codes[place]
+        left, right = np.searchsorted(items.codes, found, "left"), np.searchsorted(items.codes, found, "right")
+        some = right > left
+        place, left, count = place[some] + at, left[some], (right - left)[some]
+        batch = np.cumsum(count) // HITS
+        cuts = [0, *(np.flatnonzero(np.diff(batch)) + 1).tolist(), len(place)] if len(place) else []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield place[a:b], left[a:b], count[a:b]
+
+
+def _distinct(key: np.ndarray, offset: np.ndarray, n_keys: int, n_offsets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, sorted: a q-gram of an item counts once for a band, however often a run in the text
+    repeats it."""
+    if n_keys * n_offsets < 2**62:
+        both = np.unique(key * n_offsets + offset)
+        return both // n_offsets, both % n_offsets
+    order = np.lexsort((offset, key))
+    key, offset = key[order], offset[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (offset[1:] != offset[:-1])))
+    return key[new], offset[new]
+
+
+def _bands(data: np.ndarray, items: Items) -> list[tuple[int, int]]:
+    """Item and band, for the bands in which as many of the item's q-grams have a hit as its bound asks for. Band b
+    of an item holds the diagonals of steps b and b + 1, a step being as wide as the edits allow, and one."""
+    if not len(items.texts):
+        return []
+    longest, out = max(map(len, items.texts)), []
+    # diagonals of a text of n bytes lie between -longest and n
+    low = -longest - 2
+    span = len(data) - low + 2
+    key, offset = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def settle(key: np.ndarray) -> None:
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else key
+        band, n = key[first], np.diff(np.append(first, len(key)))
+        band = band[n >= items.least[band // span]]
+        out.extend(zip((band // span).tolist(), (band % span + low).tolist(), strict=True))
+
+    for place, left, count in _hits(data, items):
+        # nothing more comes to the bands that end before this batch's first place
+        over = (key % span + low + 2) * (items.edits[key // span] + 1) + longest < int(place[0])
+        settle(key[over])
+        entry = np.repeat(left - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
+        item, at = items.item[entry].astype(np.int64), items.offset[entry].astype(np.int64)
+        new = item * span + (np.repeat(place, count) - at) // (items.edits[item] + 1) - low
+        key, offset = _distinct(np.concatenate((key[~over], new, new - 1)), np.concatenate((offset[~over], at, at)), len(items.texts) * span, longest)
+    settle(key)
+    return out
+
+
+def shared_grams(item: bytes, text: bytes, start: int, k: int) -> int:
+    """How many of the item's q-grams the text has on a diagonal within k of ``start``."""
+    own = gram_codes(np.frombuffer(item, dtype=np.uint8))
+    window = b"\xff" * max(0, k - start) + text[max(0, start - k) : start + k + len(item)]
+    codes = gram_codes(np.frombuffer(window + b"\xff" * (2 * k + len(item) - len(window)), dtype=np.uint8))
+    hit = np.zeros(len(own), dtype=bool)
+    for d in range(2 * k + 1):
+        hit |= codes[d : d + len(own)] == own
+    return int(hit.sum())
+
+
+def _short(text: bytes, items: Items) -> list[tuple[int, int, int, int, int]]:
+    """The first place of each short item that stands in the text as a whole word (between bytes that are neither
+    letters, digits nor beyond ASCII)."""
+    out = []
+    for t, ids in sorted(items.short.items()):
+        at = text.find(t)
+        while at >= 0 and (_WORD[text[at - 1]] if at and _WORD[t[0]] else False or (_WORD[text[at + len(t)]] if at + len(t) < len(text) and _WORD[t[-1]] else False)):
+            at = text.find(t, at + 1)
+        if at >= 0:
+            out += [(i, at, at + len(t), 0, 0) for i in ids]
+    return out
+
+
+_WORD = [bytes([c]).isalnum() or c >= 128 for c in range(256)]
+
+
 def leaks(texts: list[bytes], items: Items) -> list[list[tuple[int, int, int, int, int]]]:
-    """For each folded text the leaks: item id, start, end (bytes), edits, shared q-grams of the band."""
-    out: list[list] = [[] for _ in texts]
+    """For each folded text the leaks: item id, start, end (bytes), edits, shared q-grams."""
+    out: list[list] = [_short(t, items) if items.short else [] for t in texts]
     starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
     joined = b"\xff".join(texts) + b"\xff"
-    codes = gram_codes(np.frombuffer(joined, dtype=np.uint8))
-    hits = np.flatnonzero(items.known[(codes >> _U(64 - _BITS)).astype(np.int64)])
-    found = codes[hits]
-    left, right = np.searchsorted(items.codes, found, "left"), np.searchsorted(items.codes, found, "right")
-    count = right - left
-    hits, left, count = hits[count > 0], left[count > 0], count[count > 0]
-    if not len(hits):
-        return out
-    total = int(count.sum())
-    entry = np.repeat(left - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(total)
-    item = items.item[entry]
-    diagonal = np.repeat(hits, count) - items.offset[entry]
-    step = items.edits[item] + 1
-    band = diagonal // step
-    span = int(band.max()) + 4 - min(int(band.min()), 0)
-    low = min(int(band.min()), 0) - 1
-    key = np.concatenate((item * span + band - low, item * span + band - 1 - low))
-    keys, shared = np.unique(key, return_counts=True)
-    good = shared >= items.least[keys // span]
     best: dict[tuple[int, int], list] = {}
-    for kk, n in zip(keys[good].tolist(), shared[good].tolist(), strict=True):
-        i, b = kk // span, kk % span + low
+    for i, b in _bands(np.frombuffer(joined, dtype=np.uint8), items):
         m, k = len(items.texts[i]), int(items.edits[i])
         first = b * (k + 1) - k  # the first diagonal that the alignment may start on
         last = (b + 2) * (k + 1) - 1 + k
-        mid = min(max((first + last) // 2, 0), len(joined) - 1)
-        doc = int(np.searchsorted(starts, mid, "right")) - 1
-        for d in {doc, min(max(int(np.searchsorted(starts, max(first, 0), "right")) - 1, 0), len(texts) - 1), min(int(np.searchsorted(starts, min(last, len(joined) - 1), "right")) - 1, len(texts) - 1)}:
+        for d in {min(max(int(np.searchsorted(starts, min(max(x, 0), len(joined) - 1), "right")) - 1, 0), len(texts) - 1) for x in (first, (first + last) // 2, last)}:
             a, e = int(starts[d]), int(starts[d]) + len(texts[d])
             lo, hi = first, last + m
             window = b"\xff" * max(0, a - lo) + joined[max(lo, a) : max(max(lo, a), min(hi, e))]
@@ -152,13 +222,14 @@ def leaks(texts: list[bytes], items: Items) -> list[list[tuple[int, int, int, in
                 edits, s, t = got
                 s, t = max(lo + s, a) - a, min(lo + t, e) - a
                 if s < t:
-                    best.setdefault((d, i), []).append((edits, s, t, n))
+                    best.setdefault((d, i), []).append((edits, s, t))
     for (d, i), got in sorted(best.items()):
-        taken: list[tuple[int, int]] = []
-        for edits, s, t, n in sorted(got):
-            if all(t <= x or s >= y for x, y in taken):
-                taken.append((s, t))
-                out[d].append((items.ids[i], s, t, edits, n))
+        taken: list[int] = []  # ends and starts of the leaks so far, which are disjoint
+        for edits, s, t in sorted(got):
+            p = bisect(taken, s)
+            if p % 2 == 0 and (p == len(taken) or t <= taken[p]):
+                taken[p:p] = [s, t]
+                out[d].append((items.ids[i], s, t, edits, shared_grams(items.texts[i], texts[d], s, int(items.edits[i]))))
     return out
 
 
@@ -179,8 +250,10 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     """The rows with ``leaks``: an array of ``item_id``, ``start`` and ``end`` (byte offsets in the
     UTF-8 text, end exclusive), ``edits`` and ``shared``. Empty where there are none.
 
-    Null and empty texts hold no leaks; texts are searched whole; null items and items under
-    ``MIN_BYTES`` are not looked for. Repeated items are found each for itself, repeated rows alike.
+    Null and empty texts hold no leaks; texts are searched whole; null and blank items are not looked for.
+    Items of fewer than Q bytes are found exactly, where they first stand as a whole word, with 0 shared
+    q-grams. Repeated items are found each for itself, repeated rows alike. The leaks of one item in a text don't
+    overlap: where a periodic text holds it in overlapping places, some of these are given.
     A column of the input named ``leaks`` is replaced.
     """
     out = docs.drop("leaks")

@@ -254,6 +254,24 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.find_leaks(df.filter("false"), bench).collect() == [] and decontam.find_leaks(df, bench.filter("false")).collect() == []
 
 
+def test_decontamination_of_short_items_and_long_runs(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "CHUNK", 997)
+    monkeypatch.setattr(decontam, "HITS", 20_000)
+    rng = random.Random(13)
+    template = "".join(rng.choice("abcdefgh ") for _ in range(80))
+    items = [(i, template + f" number {i:04d} " + "-" * 30) for i in range(60)] + [(100, "answer"), (101, "é"), (102, "42"), (103, "twelve bytes"), (104, "  "), (105, "- " * 40)]
+    own = decontam.index_items(items)
+    texts = ["-" * 3_000 + items[7][1] + "-" * 2_000, "x " * 3_000 + items[11][1].upper() + " x" * 300 + items[11][1], "the answer, 42!", "answers 421 é a", "TWELVE\tBYTES", "twelve bites", " " * 80_000, "- " * 300, (template + " ") * 20]
+    for t, found in zip(texts, decontam.leaks([decontam.fold(t) for t in texts], own), strict=True):
+        alone = decontam.leaks([decontam.fold(t)], own)[0]
+        assert sorted(alone) == sorted(found)
+        for i, a, e, edits, _ in found:
+            assert distance(decontam.fold(dict(items)[i]).strip(), decontam.fold(t)[a:e]) == edits
+    got = [{x[0] for x in decontam.leaks([decontam.fold(t)], own)[0]} for t in texts]
+    assert 7 in got[0] and 11 in got[1] and sum(x[0] == 11 for x in decontam.leaks([decontam.fold(texts[1])], own)[0]) == 2
+    assert got[2:7] == [{100, 102}, {101}, {103}, set(), set()] and 105 in got[7] and not got[8] - set(range(60))
+
+
 # ---------------------------------------------------------------- language ID
 
 
