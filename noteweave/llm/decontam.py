@@ -190,10 +190,13 @@ def shared_grams(item: bytes, text: bytes, start: int, k: int) -> int:
 def _short(text: bytes, items: Items) -> list[tuple[int, int, int, int, int]]:
     """The first place of each short item that stands in the text as a whole word (between bytes that are neither
     letters, digits nor beyond ASCII)."""
+    def goes_on(at: int, end: int) -> bool:
+        return (at > 0 and _WORD[text[at - 1]] and _WORD[text[at]]) or (end < len(text) and _WORD[text[end - 1]] and _WORD[text[end]])
+
     out = []
     for t, ids in sorted(items.short.items()):
         at = text.find(t)
-        while at >= 0 and (_WORD[text[at - 1]] if at and _WORD[t[0]] else False or (_WORD[text[at + len(t)]] if at + len(t) < len(text) and _WORD[t[-1]] else False)):
+        while at >= 0 and goes_on(at, at + len(t)):
             at = text.find(t, at + 1)
         if at >= 0:
             out += [(i, at, at + len(t), 0, 0) for i in ids]
