@@ -6,6 +6,11 @@ chunk sends each bucket one row with its distinct hashes, sorted and as differen
 with one bit for each hash, in the same order. A chunk computes the same distinct hashes again when it
 reads the answer, so no document ids go along. What a bucket receives is bounded by the number of
 chunks, not of documents, for each string: copies and hot strings fold inside the chunk.
+
+Chunks are dealt by the bytes of the texts, not by partitions: up to CHUNK_BYTES each (but for a longer text),
+and there is a bucket for two to four chunks. So what a worker holds doesn't grow with the input: at 16 MB some
+0.7 GB. The messages are chunks times buckets, 16 KB each at 30 GB of text; beyond some TB larger chunks on larger
+workers keep them from getting small (each fourfold chunk makes them a sixteenth).
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noteweave.llm.common import n_parts
@@ -21,15 +26,24 @@ from noteweave.llm.common import n_parts
 _U = np.uint64
 
 
-def bits(spark: SparkSession) -> int:
-    """Buckets as a power of two, not more than shuffle partitions: the messages are as many as chunks
-    times buckets, so neither number is larger than memory asks for."""
-    return max(2, math.floor(math.log2(n_parts(spark))))
+#: Bytes of text in a chunk: at most, on average, and at least where partitions ask for smaller ones.
+CHUNK_BYTES = 16 << 20
+LEAST_BYTES = 1 << 20
+
+
+def n_chunks(docs: DataFrame, text: str, most: int = CHUNK_BYTES) -> int:
+    """Two chunks for each shuffle partition, within the bounds of their size."""
+    total = docs.agg(F.sum(F.octet_length(text)).alias("n")).collect()[0]["n"] or 0
+    return max(1, math.ceil(total / min(most, max(LEAST_BYTES, total / (2 * n_parts(docs.sparkSession))))) if total else 1)
+
+
+def bits(chunks: int) -> int:
+    """Buckets as a power of two."""
+    return max(1, math.floor(math.log2(chunks)) - 1) if chunks > 1 else 1
 
 
-def chunked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def chunked(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     """``chunk``, ``doc_id``, ``text`` of the documents with an id; its shuffle is used by every round."""
-    n = 2 * n_parts(docs.sparkSession)  # some for each partition, so that partitions are even
     key = F.col(doc_id).cast("bigint")
     return docs.filter(F.col(doc_id).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("chunk"), key.alias("doc_id"), F.col(text).alias("text"))
 

@@ -129,9 +129,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     a smaller id; windows are judged on the input. Null texts have no words. A row without an id is neither
     searched nor indexed, and keeps all its words. Rows of the same id don't count against each other.
     """
-    spark = docs.sparkSession
-    bits = X.bits(spark)
-    chunks = X.chunked(docs, doc_id, text)
+    n_chunks = X.n_chunks(docs, text)
+    bits = X.bits(n_chunks)
+    chunks = X.chunked(docs, doc_id, text, n_chunks)
     out_schema = "doc_id bigint, n_words bigint, n_removed bigint, " + ("kept_sha256 string" if digest else "removed array<struct<start:int,end:int>>, kept_text string")
 
     def probe(table: pa.Table) -> pa.Table:

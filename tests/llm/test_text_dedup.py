@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from noteweave.llm import neardup, substring, suffix
+from noteweave.llm import exchange, neardup, substring, suffix
 
 SCHEMA = "doc_id bigint, text string, kept string, chunk int, component_id string"
 
@@ -166,15 +166,38 @@ def test_empty_table(spark, operator):
     assert operator(frame(spark, [])).collect() == []
 
 
-def test_suffix_array_and_prefixes():
+def test_suffix_array_and_prefixes(monkeypatch):
     rng = random.Random(1)
-    for _ in range(300):
-        t = [rng.randint(1, rng.choice([1, 2, 4, 20])) for _ in range(rng.randint(0, 80))] + [0]
-        sa = suffix.suffix_array(np.array(t, dtype=np.uint16)).tolist()
-        assert sa == sorted(range(len(t)), key=lambda i: t[i:])
-    t = np.array([rng.randint(1, 2) for _ in range(500)] + [0], dtype=np.uint16)
+    for dense in (0, 64, 10**9):  # symbol by symbol, as it comes, suffix by suffix
+        monkeypatch.setattr(suffix, "DENSE", dense)
+        for _ in range(200):
+            part = [rng.randint(1, rng.choice([1, 2, 4, 20, 90_000])) for _ in range(rng.randint(0, 80))]
+            t = [*(part * rng.choice([1, 1, 3])), 0]
+            a = np.array(t, dtype=np.uint16 if max(t) < 2**16 else np.int64)
+            sa = suffix.suffix_array(a)
+            assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+            shared = suffix.permuted_prefixes(a, sa)
+            for x, y in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True):
+                assert shared[y] == next(k for k in range(len(t)) if t[x + k] != t[y + k])
+
+
+def test_suffix_array_of_long_runs():
+    t = np.array([1] * 300_000 + [2] + [1] * 300_000 + [3, 1, 2] * 50_000 + [0], dtype=np.uint16)
     sa = suffix.suffix_array(t)
-    shared = suffix.shared_prefix(t, sa, 7)
-    for k in range(1, len(sa)):
-        a, b = t[sa[k - 1] :][:7].tolist(), t[sa[k] :][:7].tolist()
-        assert shared[k] == (a == b and len(a) == 7 and 0 not in a or a == b and len(a) == 7)
+    shared = suffix.permuted_prefixes(t, sa)
+    text = t.astype(np.uint8).tobytes()
+    for k in range(1, len(t), 9973):
+        x, y = int(sa[k - 1]), int(sa[k])
+        assert text[x : x + int(shared[y])] == text[y : y + int(shared[y])] and t[x + shared[y]] < t[y + shared[y]]
+
+
+def test_suffix_dedup_with_hot_anchors_and_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 3)
+    monkeypatch.setattr(exchange, "LEAST_BYTES", 300)
+    rng = random.Random(21)
+    rows = corpus(6) + [(1000 + i, "".join(rng.choice("ab ") for _ in range(30)) + "All rights reserved by the owners of this page" + "".join(rng.choice("xy ") for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    rows += [(2000, "q" * 3000), (2001, "q" * 2500 + "!" + "q" * 100)]
+    got = [tuple(r) for r in suffix.remove_repeats(frame(spark, rows), digest=True).collect()]
+    assert sorted(got) == sorted(removed_bytes(rows))
+    got = [tuple(r) for r in substring.remove_repeats(frame(spark, rows), digest=True).collect()]
+    assert sorted(got) == sorted(removed_words(rows))
