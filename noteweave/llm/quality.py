@@ -1,8 +1,10 @@
 """Quality rules: rules on one document, and the frequency of its lines across a host's documents.
 
-Lines are normalised and hashed, the distinct documents (by their text: copies count once) that
-hold a line are counted for each host, lines above the limit go, and a document that loses too
-many of its words is rejected. Only DataFrame functions.
+Lines are normalised and hashed, the distinct documents (by their text: copies count once, or each line of a much
+copied document would be boilerplate) that hold a line are counted for each host, and lines above the host's limit
+go: MAX_LINE_DOCS documents, or LINE_SHARE of the host's documents where that is more, so that the limit grows with
+the host. The document of smallest id that holds a line keeps it: of a large group of near copies one stays whole. A
+document that loses too many of its words is rejected. Only DataFrame functions.
 
 At scale: what is shuffled are line hashes, never texts; the counts are aggregated before the
 shuffle and again by host and line, so that neither a hot host nor a hot line meets in one task;
@@ -16,8 +18,9 @@ from pyspark.sql import functions as F
 
 from noteweave.llm.common import SPACE_CLASS, let, read, words, written
 
-#: A line that more than this many documents of a host hold is boilerplate.
+#: A line that more than this many documents of a host hold, and more than this share of them, is boilerplate.
 MAX_LINE_DOCS = 50
+LINE_SHARE = 0.01
 #: A document that loses more than this share of its words to boilerplate is depleted.
 MAX_LOST = (1, 2)
 MIN_WORDS = 20
@@ -36,10 +39,20 @@ def _repeats(w: Column) -> Column:
     def places(s: Column) -> Column:  # s: windows by hash and place
         return F.sort_array(F.transform(F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"])), lambda x: x["i"]))
 
-    starts = F.sequence(F.lit(1), F.size(w) - WINDOW + 1)
-    exact = lambda w: let(F.sort_array(F.transform(starts, lambda i: F.struct(F.concat(F.hex(F.xxhash64(F.slice(w, i, WINDOW))), F.hex(F.xxhash64(F.lit(7), F.slice(w, i, WINDOW)))).alias("h"), i.alias("i")))), lambda s: let(places(s), covered))
-    return F.when(F.size(w) <= WINDOW, F.lit(0).cast("bigint")).otherwise(
-        let(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, WINDOW))), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("bigint")).otherwise(exact(w))))
+    def windows(h: Column) -> Column:  # h: hashes of words; of two, four and eight after three rounds
+        def pairs(x: Column, n: int) -> Column:
+            return F.zip_with(F.slice(x, F.lit(1), F.size(x) - n), F.slice(x, F.lit(n + 1), F.size(x) - n), lambda a, b: F.xxhash64(a, b))
+
+        return let(let(let(h, lambda x: pairs(x, 1)), lambda x: pairs(x, 2)), lambda x: pairs(x, 4))
+
+    def exact(h: Column) -> Column:  # the windows whose 64 bits repeat, told apart by 64 more
+        more = windows(F.transform(w, lambda x: F.xxhash64(F.lit(7), x)))
+        placed = F.zip_with(F.zip_with(h, more, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.sequence(F.lit(1), F.size(h)), lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+        return let(F.sort_array(placed), lambda s: let(places(s), covered))
+
+    none = F.lit(0).cast("bigint")
+    return F.when(F.size(w) <= WINDOW, none).otherwise(
+        let(windows(F.transform(w, lambda x: F.xxhash64(x))), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(exact(h))))
 
 
 def base_metrics(text: Column) -> Column:
@@ -60,83 +73,99 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(low, SPACE_CLASS + "+", " "))
 
 
-def _lines(docs: DataFrame, host: str, text: str) -> DataFrame:
-    """For each host, distinct text (by two hashes) and distinct normalised line of it: the words of all
-    such lines in the text. Copies of a text fold before the shuffle as far as they meet there."""
+def _texts(docs: DataFrame, host: str, text: str, doc_id: str) -> DataFrame:
+    """``host, text`` (never null), its two hashes ``t1, t2`` and ``id``."""
     t = F.coalesce(F.col(text), F.lit(""))
-    line = F.transform(F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))), lambda x: let(normal_line(x), lambda y: F.struct(F.xxhash64(y).alias("line"), (F.length(y) - F.length(F.replace(y, F.lit(" "), F.lit(""))) + 1).alias("n"))))
+    return docs.select(F.col(host).alias("host"), t.alias("text"), F.xxhash64(t).alias("t1"), F.hash(t).alias("t2"), F.col(doc_id).alias("id"))
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    """For each host, distinct text and distinct normalised line of it: the words ``n`` of all such lines in the
+    text, and its smallest id ``first``. Copies of a text fold before the shuffle as far as they meet there."""
+    line = F.transform(F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))), lambda x: let(normal_line(x), lambda y: F.struct(F.xxhash64(y).alias("line"), (F.length(y) - F.length(F.replace(y, F.lit(" "), F.lit(""))) + 1).alias("n"))))
 
     def runs(s: Column) -> Column:  # s: the lines by hash; equal lines have equally many words
         first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i - 1)["line"] != F.get(s, i)["line"]))
         return let(first, lambda p: F.zip_with(p, F.concat(F.slice(p, F.lit(2), F.size(p)), F.array(F.size(s))), lambda a, b: F.struct(F.get(s, a)["line"].alias("line"), (F.get(s, a)["n"] * (b - a)).alias("n"))))
 
     folded = let(F.sort_array(line), lambda s: F.when(F.size(s) > 0, runs(s)))
-    each = docs.select(F.col(host).alias("host"), F.xxhash64(t).alias("t1"), F.hash(t).alias("t2"), F.explode(folded).alias("l"))
-    return each.select("host", "t1", "t2", "l.line", "l.n").groupBy("host", "t1", "t2", "line").agg(F.max("n").alias("n"))
+    each = texts.select("host", "t1", "t2", "id", F.explode(folded).alias("l"))
+    return each.select("host", "t1", "t2", "id", "l.line", "l.n").groupBy("host", "t1", "t2", "line").agg(F.max("n").alias("n"), F.min("id").alias("first"))
 
 
-def _often(lines: DataFrame, max_docs: int) -> DataFrame:
+def _often(texts: DataFrame, lines: DataFrame, max_docs: int, share: float) -> DataFrame:
+    """``host, line, n_docs, keeper`` of the lines above their host's limit."""
     # the words are named here too so that both uses of the lines have one shuffle
-    counted = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.max("n").alias("n_words"))
-    return counted.filter((F.col("n_docs") > max_docs) & (F.col("n_words") > 0))
+    counted = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.max("n").alias("n_words"), F.min("first").alias("keeper"))
+    above = counted.filter((F.col("n_docs") > max_docs) & (F.col("n_words") > 0))
+    size = texts.select("host", "t1", "t2").distinct().groupBy("host").agg(F.count("*").alias("_size")).withColumnRenamed("host", "_of")
+    return above.join(size, above["host"].eqNullSafe(size["_of"])).filter(F.col("n_docs") > F.col("_size") * share).select("host", "line", "n_docs", "keeper")
+
+
+def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", max_docs: int = MAX_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
+    """``host``, ``line`` (hash of the normalised line), ``n_docs`` and ``keeper`` (smallest id) of the lines that
+    more than ``max_docs`` distinct documents of the host hold, and more than ``share`` of them. A null host is a host."""
+    texts = _texts(docs, host, text, doc_id)
+    return _often(texts, _lines(texts), max_docs, share)
+
+
+def lost_words(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", max_docs: int = MAX_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
+    """For each distinct host and text that holds frequent lines, but for those that it keeps: ``host, t1, t2``, the
+    hashes of those lines, and the number of words in them."""
+    texts = _texts(docs, host, text, doc_id)
+    lines = _lines(texts)
+    often = _often(texts, lines, max_docs, share).select(F.col("host").alias("h"), F.col("line").alias("l"), "keeper")
+    hit = lines.join(often, lines["host"].eqNullSafe(often["h"]) & (lines["line"] == often["l"])).filter(~F.col("first").eqNullSafe(F.col("keeper")) | F.col("first").isNull())
+    return hit.groupBy("host", "t1", "t2").agg(F.collect_set("line").alias("lines"), F.sum("n").alias("lost"))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = MAX_LINE_DOCS) -> DataFrame:
-    """``host``, ``line`` (hash of the normalised line) and ``n_docs`` of the lines that more than
-    ``max_docs`` distinct documents of the host hold. A null host is a host."""
-    return _often(_lines(docs, host, text), max_docs).select("host", "line", "n_docs")
+METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def lost_words(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = MAX_LINE_DOCS) -> DataFrame:
-    """For each distinct host and text that holds frequent lines: ``host, t1, t2``, the hashes of those
-    lines, and the number of words in them."""
-    lines = _lines(docs, host, text)
-    often = _often(lines, max_docs).select(F.col("host").alias("h"), F.col("line").alias("l"))
-    hit = lines.join(often, lines["host"].eqNullSafe(often["h"]) & (lines["line"] == often["l"]), "left_semi")
-    return hit.groupBy("host", "t1", "t2").agg(F.collect_set("line").alias("lines"), F.sum("n").alias("lost"))
+def _judged(docs: DataFrame, row: Column, host: str, text: str, doc_id: str, max_docs: int, share: float, max_lost: tuple[int, int]) -> DataFrame:
+    """``row``, ``host, t1, t2``, ``m`` (the metrics), ``lines``, ``lost``, ``base_failed`` and ``kept``."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    own = docs.select(row.alias("row"), F.col(host).alias("host"), F.xxhash64(t).alias("t1"), F.hash(t).alias("t2"), base_metrics(F.col(text)).alias("m"))
+    lost = lost_words(docs, host, text, doc_id, max_docs, share).withColumnsRenamed({"host": "_h", "t1": "_t1", "t2": "_t2", "lost": "_lost"})
+    out = own.join(lost, own["host"].eqNullSafe(lost["_h"]) & (own["t1"] == lost["_t1"]) & (own["t2"] == lost["_t2"]), "left")
+    failed = (F.col("m.n_words") < MIN_WORDS) | (F.col("m.n_repeat_words") * 100 > F.col("m.n_words") * MAX_REPEAT_PERCENT)
+    out = out.select("row", "host", "t1", "t2", "m", "lines", F.coalesce("_lost", F.lit(0)).cast("bigint").alias("lost"), failed.alias("base_failed"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("lost") * max_lost[1] <= F.col("m.n_words") * max_lost[0]))
 
 
-def judge(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = MAX_LINE_DOCS, max_lost: tuple[int, int] = MAX_LOST, keep_text: bool = True, keys: bool = False) -> DataFrame:
-    """The rows (their columns but for those named as results) with ``n_words``, ``word_chars``,
-    ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed``, ``n_lost_words`` (words in
-    frequent lines), ``kept``, and ``_lines``, the hashes of the frequent lines.
+def judge(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", max_docs: int = MAX_LINE_DOCS, share: float = LINE_SHARE, max_lost: tuple[int, int] = MAX_LOST) -> DataFrame:
+    """The rows, without their text, with ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
+    ``n_repeat_words``, ``base_failed``, ``n_lost_words`` (words in frequent lines that the document doesn't
+    keep) and ``kept``. Columns of the input with these names are replaced.
 
     Empty and null texts have no words, so they fail the base rules. Repeated rows and copies are one
-    document in the counts and are judged alike. An empty table gives an empty result. Without
-    ``keep_text`` the text isn't carried through the join; with ``keys`` the document's host and two hashes
-    of its text stay as ``_host``, ``_t1``, ``_t2``.
+    document in the counts and are judged alike. A document without an id keeps no frequent line. An empty table
+    gives an empty result.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumns({"_m": base_metrics(F.col(text)), "_host": F.col(host), "_t1": F.xxhash64(t), "_t2": F.hash(t)})
-    lost = lost_words(docs, host, text, max_docs).select(F.col("host").alias("_h"), F.col("t1").alias("_l1"), F.col("t2").alias("_l2"), F.col("lines").alias("_lines"), F.col("lost").alias("_lost"))
-    if not keep_text:
-        out = out.drop(text)
-    out = out.join(lost, out["_host"].eqNullSafe(lost["_h"]) & (out["_t1"] == lost["_l1"]) & (out["_t2"] == lost["_l2"]), "left").drop("_h", "_l1", "_l2", *(() if keys else ("_t1", "_t2", "_host")))
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    out = out.withColumns({n: F.col(f"_m.{n}") for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}).drop("_m")
-    out = out.withColumns({"base_failed": failed, "n_lost_words": F.coalesce("_lost", F.lit(0)).cast("bigint")}).drop("_lost")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") * max_lost[1] <= F.col("n_words") * max_lost[0]))
-
-
-def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = MAX_LINE_DOCS, max_lost: tuple[int, int] = MAX_LOST) -> DataFrame:
-    """The documents that the rules keep, with their columns, their frequent lines removed from the
-    text. What is left of a text keeps its other lines as they were, joined by line ends."""
+    results = (*METRICS, "base_failed", "n_lost_words", "kept")
+    names = [c for c in docs.columns if c != text and c not in results]
+    out = _judged(docs, F.struct(*[docs[c] for c in names]) if names else F.struct(F.lit(0)), host, text, doc_id, max_docs, share, max_lost)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names], *[F.col("m").getField(c).alias(c) for c in METRICS], "base_failed", F.col("lost").alias("n_lost_words"), "kept")
+
+
+def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", max_docs: int = MAX_LINE_DOCS, share: float = LINE_SHARE, max_lost: tuple[int, int] = MAX_LOST) -> DataFrame:
+    """The documents that the rules keep, with their columns, their frequent lines (but those they keep) removed
+    from the text. What is left of a text keeps its other lines as they were, joined by line ends."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[host].alias("_source"), docs[text].alias("_text"))
     # the verdicts are written without the texts, for a filter on figures in one plan would compute them twice
-    verdict = judge(rows.select("_source", "_text"), "_source", "_text", max_docs, max_lost, keep_text=False, keys=True)
-    kept = written(verdict.select("_host", "_t1", "_t2", "_lines", "kept"), "verdicts").filter("kept").dropDuplicates(["_host", "_t1", "_t2"])
+    verdict = _judged(docs, F.lit(0), host, text, doc_id, max_docs, share, max_lost)
+    kept = written(verdict.select("host", "t1", "t2", "lines", "kept"), "verdicts").filter("kept").dropDuplicates(["host", "t1", "t2"])
     t = F.coalesce("_text", F.lit(""))
     rows = rows.withColumns({"_a": F.xxhash64(t), "_b": F.hash(t)})
-    out = rows.join(kept, rows["_source"].eqNullSafe(kept["_host"]) & (rows["_a"] == kept["_t1"]) & (rows["_b"] == kept["_t2"]))
-    stay = F.array_join(F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains(F.col("_lines"), F.xxhash64(normal_line(x)))), "\n")
-    cleaned = F.when(F.col("_lines").isNull(), F.col("_text")).otherwise(stay)
+    out = rows.join(kept, rows["_source"].eqNullSafe(kept["host"]) & (rows["_a"] == kept["t1"]) & (rows["_b"] == kept["t2"]))
+    stay = F.array_join(F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains(F.col("lines"), F.xxhash64(normal_line(x)))), "\n")
+    cleaned = F.when(F.col("lines").isNull(), F.col("_text")).otherwise(stay)
     return out.select("_row", cleaned.alias("_clean")).select(*[F.col("_clean").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's figures and the verdict."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return judge(docs, "source", "text", MAX_LINE_DOCS, MAX_LOST, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept")
+    return judge(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source")
 
 
 def oracle() -> str:
@@ -153,8 +182,12 @@ def oracle() -> str:
            WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
     dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY rid),
     nl AS (SELECT rid, source, text, {normal} AS line FROM ln),
-    often AS (SELECT source, line FROM nl GROUP BY source, line HAVING count(DISTINCT text) > {MAX_LINE_DOCS}),
-    lost AS (SELECT rid, sum(len(string_split(nl.line, ' '))) AS n FROM nl JOIN often ON nl.source IS NOT DISTINCT FROM often.source AND nl.line = often.line GROUP BY rid),
+    first AS (SELECT source, text, min(doc_id) AS first FROM d GROUP BY source, text),
+    host AS (SELECT source, count(*) AS size FROM first GROUP BY source),
+    often AS (SELECT nl.source, line, min(doc_id) AS keeper FROM nl JOIN d USING (rid) JOIN host ON nl.source IS NOT DISTINCT FROM host.source
+              GROUP BY nl.source, line HAVING count(DISTINCT nl.text) > greatest({MAX_LINE_DOCS}, {LINE_SHARE} * any_value(size))),
+    lost AS (SELECT rid, sum(len(string_split(nl.line, ' '))) AS n FROM nl JOIN often ON nl.source IS NOT DISTINCT FROM often.source AND nl.line = often.line
+             JOIN first f ON f.source IS NOT DISTINCT FROM nl.source AND f.text = nl.text WHERE f.first IS NULL OR f.first <> keeper GROUP BY rid),
     m AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
                  CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
                  CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,

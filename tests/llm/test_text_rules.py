@@ -75,18 +75,21 @@ def test_chat_control_strings_cannot_be_put_together_from_parts(spark):
 
 def test_quality_rules(spark):
     prose = lambda k: " ".join(f"word{k}x{j}" for j in range(40))
-    rows = [(i, "host", f"Home | Menu {i:02d}\n{prose(i)}", "k") for i in range(60)]
-    rows += [(100, "other", f"Home | Menu 07\n{prose(100)}", "k"), (101, "host", "Home | Menu 10\nHome | Menu 20\nhome |  menu 30\nhome | menu 40\nhome | menu 50\nhome | menu 60\n" + " ".join(f"u{j}" for j in range(14)), "k"),
-             (102, None, None, "k"), (103, "host", "", "k"), (104, "host", " ".join(["a b c d e f g h"] * 10), "k"), (None, "host", prose(3), "k")]
-    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string, _m string")
-    got = {r.doc_id: r for r in quality.judge(df, keep_text=False).collect()}
-    assert got[0].kept and got[0].n_lost_words == 4 and got[0].n_words == 44
+    rows = [(i, "host", f"Home | Menu {i:02d}\n{prose(i)}", "k", 1) for i in range(60)]
+    rows += [(100, "other", f"Home | Menu 07\n{prose(100)}", "k", 1), (101, "host", "Home | Menu 10\nHome | Menu 20\nhome |  menu 30\nhome | menu 40\nhome | menu 50\nhome | menu 60\n" + " ".join(f"u{j}" for j in range(14)), "k", 1),
+             (102, None, None, "k", 1), (103, "host", "", "k", 1), (104, "host", " ".join(["a b c d e f g h"] * 10), "k", 1), (None, "host", prose(3), "k", 1), (105, "host", "x " * 300_000, "k", 1)]
+    rows += [(200 + i, "copied", "\n".join(f"line {chr(97 + j)} of it {i if j == 3 else ''} goes here" for j in range(20)), "k", 1) for i in range(60)]  # digits are one to the lines
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string, _lines string, kept int")
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert got[0].kept and got[0].n_lost_words == 0 and got[1].kept and got[1].n_lost_words == 4 and got[1].n_words == 44 and got[1]._lines == "k"
     assert got[100].n_lost_words == 0 and got[100].kept
     assert not got[101].kept and not got[101].base_failed and got[101].n_lost_words == 24
-    assert got[102].base_failed and got[103].base_failed and got[104].base_failed and got[104].n_repeat_words == 80
+    assert got[102].base_failed and got[103].base_failed and got[104].base_failed and got[104].n_repeat_words == 80 and got[105].n_repeat_words == 300_000
+    assert [i for i in range(200, 260) if got[i].kept] == [200]  # one of the near copies stays whole
+    assert {r.doc_id: r.n_lost_words for r in quality.judge(df, share=0.99).collect()}[1] == 0
     out = {r.doc_id: r for r in quality.apply_rules(df).collect()}
-    assert set(out) == {*range(60), 100, None} and out[5].text == prose(5) and out[100].text.startswith("Home") and out[5]._m == "k"
-    assert quality.apply_rules(df.filter("false")).collect() == []
+    assert set(out) == {*range(60), 100, 200, None} and out[5].text == prose(5) and out[0].text.startswith("Home") and out[100].text.startswith("Home") and out[5]._lines == "k"
+    assert quality.apply_rules(df.filter("false")).collect() == [] == quality.judge(df.filter("false")).collect()
 
 
 def test_repeated_windows_equal_brute_force(spark):
