@@ -54,19 +54,33 @@ def first_of(df: DataFrame, by: list[str], order: list) -> DataFrame:
 
 
 def adjacent(left: DataFrame, right: DataFrame, by: list[str], least: int, most: int) -> DataFrame:
-    """Pairs where right starts ``least`` to ``most`` after left ends: ``l_`` and ``r_`` columns."""
+    """Pairs where right starts ``least`` to ``most`` after left ends: ``l_`` and ``r_`` columns. Left names the
+    places where right may start, and an equality join finds those that do."""
     a = left.select(*by, *[F.col(c).alias(f"l_{c}") for c in left.columns if c not in by])
     b = right.select(*by, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in by])
-    return a.join(b, by).filter((F.col("r_start") - F.col("l_end")).between(least, most))
+    a = a.withColumn("_at", F.explode(F.sequence(F.col("l_end") + least, F.col("l_end") + most)))
+    return a.join(b.withColumn("_at", F.col("r_start")), [*by, "_at"]).drop("_at")
 
 
 def nearest_left(points: DataFrame, spans: DataFrame, by: list[str], key: str, within: int, tie: str) -> DataFrame:
     """As-of join with tolerance: for each point (column ``at``, named by ``key``) the span of greatest start
-    at or before it whose end lies no more than ``within`` before it; ties go to the greatest ``tie``."""
-    s = spans.select(*by, F.struct(*[c for c in spans.columns if c not in by]).alias("_span"))
-    pairs = points.join(s, by).filter((F.col("_span.start") <= F.col("at")) & (F.col("at") - F.col("_span.end") <= within))
-    best = F.max_by("_span", F.struct("_span.start", f"_span.{tie}")).alias("_span")
-    return pairs.groupBy(*by, key, "at").agg(best).select(*by, key, "at", *[F.col(f"_span.{c}").alias(f"near_{c}") for c in spans.columns if c not in by])
+    at or before it whose end lies no more than ``within`` before it; ties go to the greatest ``tie``.
+
+    Points and spans go in one order, and each point takes the last span before it: one sort, no pairs. Only where
+    that one has ended too early and an earlier, longer one has not, the point is joined with the spans that outlast
+    their successor."""
+    rest = [c for c in spans.columns if c not in by]
+    s = spans.select(*by, F.col("start").cast("bigint").alias("_at"), F.col(tie).alias("_tie"), (F.col("end") + within).cast("bigint").alias("_till"), F.struct(*rest).alias("_span"))
+    p = points.select(*by, F.col("at").cast("bigint").alias("_at"), F.col(key).alias("_key"), F.col("at").alias("_point"))
+    order = Window.partitionBy(*by).orderBy("_at", F.col("_span").isNull(), "_tie")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = s.unionByName(p, allowMissingColumns=True).withColumns({"_last": F.last(F.when(F.col("_span").isNotNull(), F.struct("_till", "_span")), ignorenulls=True).over(so_far), "_top": F.max("_till").over(so_far)})
+    asked = seen.filter("_span IS NULL").select(*by, "_at", "_key", "_point", "_last", "_top").filter("_top >= _at")
+    near = asked.filter("_last._till >= _at").select(*by, "_key", "_point", F.col("_last._span").alias("_span"))
+    outlast = s.withColumn("_next", F.lead("_till").over(Window.partitionBy(*by).orderBy("_at", "_tie"))).filter("_till > _next").select(*by, F.col("_at").alias("_from"), "_tie", "_till", "_span")
+    lost = asked.filter("_last._till < _at").select(*by, "_at", "_key", "_point").join(outlast, by).filter("_from <= _at AND _till >= _at")
+    lost = lost.groupBy(*by, "_key", "_point").agg(F.max_by("_span", F.struct("_from", "_tie")).alias("_span"))
+    return near.unionByName(lost).select(*by, F.col("_key").alias(key), F.col("_point").alias("at"), *[F.col(f"_span.{c}").alias(f"near_{c}") for c in rest])
 
 
 def outside(points: DataFrame, spans: DataFrame, by: list[str], at: str) -> DataFrame:

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; where that is unset, as in tests, under a local folder."""
+    """A new path under ``spark.checkpoint.dir``. Where that is unset, a local folder serves a local master; on a
+    cluster that is an error, for executors don't share one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/noteweave-{name}-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -24,47 +25,12 @@ def line_chunks(cases: DataFrame) -> DataFrame:
                        F.when(n % 7 == 0, "diagnosis_entry").otherwise("clinical_state").alias("chunk_type"))
 
 
-def proposed_graph(chunks: DataFrame, entities: DataFrame, status: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A rule in place of a model's graph, with the faults that models make: some nodes have a wrong type, are
-    cut short, stand nowhere in the text, or repeat a status phrase; some edges lead nowhere."""
-    base = entities.groupBy(K, "text").agg(F.min("pos").alias("pos"), F.min_by("node_type", "pos").alias("node_type"))
-    base = base.withColumn("node_type", F.when(F.col("pos") % 3 == 0, "SYMPTOM").otherwise(F.col("node_type")))
-    at = chunks.select(K, "chunk_index")
-
-    def made(df: DataFrame, pos, kind, text) -> DataFrame:
-        return df.select(K, pos.cast("int").alias("node_pos"), F.concat(F.lit("n"), pos.cast("string")).alias("node_id"), kind.alias("node_type"), text.alias("source_text"),
-                         (pos % 5 == 0).alias("negated"), F.when(pos % 4 == 0, "suspected").otherwise("confirmed").alias("certainty"), F.lit(False).alias("implicit"))
-
-    first = base.filter("pos = 0 AND length(text) > 2")
-    nodes = [
-        made(base, F.col("pos") + 1, F.col("node_type"), F.col("text")),
-        made(first, F.lit(10001), F.lit("SYMPTOM"), F.expr("substring(text, 2)")),
-        made(at.filter("chunk_index % 4 = 0").join(base.select(K).distinct(), K, "left_semi"), F.lit(10002), F.lit("SYMPTOM"), F.lit("@@missing@@")),
-        made(status.filter("pos = 0").join(base.select(K).distinct(), K, "left_semi"), F.lit(10003), F.lit("GENERAL_HEALTH_STATUS"), F.col("evidence_text")),
-    ]
-    nodes = reduce(DataFrame.unionByName, nodes)
-    nxt = base.select(K, (F.col("pos") - 1).alias("pos"), F.col("node_type").alias("to_type"), F.col("text").alias("to_text"))
-    pair = base.join(nxt, [K, "pos"]).join(at, K)
-    k = F.col("pos") + 1
-    kind = F.when(F.col("to_type") == "BODY_SITE", "LOCALIZES_TO").when(F.col("to_type") == "DRUG", "TREATED_WITH").when(k % 3 == 0, "HAS_SYMPTOM").otherwise("RELATED_TO")
-    edge = lambda df, pos, kind, source, target, text, reason, conf: df.select(K, pos.cast("int").alias("edge_pos"), F.concat(F.lit("e"), pos.cast("string")).alias("edge_id"), kind.alias("edge_type"), source.alias("source_node_id"), target.alias("target_node_id"), F.lit(False).alias("negated"), F.lit("confirmed").alias("certainty"), F.lit(None).cast("string").alias("context"), text.alias("source_text"), reason.alias("reasoning"), conf.alias("confidence"))
-    node = lambda x: F.concat(F.lit("n"), x.cast("string"))
-    edges = edge(pair, k, kind, node(k), node(k + 1), F.when(k % 4 == 0, "not there").otherwise(F.col("text")), F.lit("neighbours"), ((k * 37 + F.col("chunk_index") * 11) % 100) / 100.0)
-    lost = edge(at.filter("chunk_index % 6 = 0").join(first.select(K), K, "left_semi"), F.lit(9001), F.lit("RELATED_TO"), F.lit("n1"), F.lit("n999"), F.lit("x"), F.lit("dangling"), F.lit(0.7))
-    return nodes, edges.unionByName(lost)
-
-
-def rule_verdicts(review: DataFrame) -> DataFrame:
-    """A rule in place of a reviewer: every other edge gets a verdict by its place."""
-    verdict = F.when(F.col("edge_pos") % 3 == 0, "invalid").when(F.col("edge_pos") % 3 == 1, "low_confidence").otherwise("valid")
-    return review.filter("edge_pos % 2 = 0").select(K, "edge_id", verdict.alias("verdict"), F.lit("by place").alias("verdict_reason"))
-
-
-def checked_graph(chunks: DataFrame, pack: Pack, rules: DataFrame) -> dict[str, DataFrame]:
-    """Chunks to overridden, anchored, validated and reviewed chunk graphs: ``nodes, edges, frames, warnings``."""
+def checked_graph(chunks: DataFrame, pack: Pack, rules: DataFrame, propose: Callable[..., tuple[DataFrame, DataFrame]], review_with: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """Chunks to overridden, anchored, validated and reviewed chunk graphs: ``nodes, edges, frames, warnings``.
+    ``propose`` makes nodes and edges from chunks, entities and status rows, ``review_with`` verdicts on doubtful edges."""
     chunks = settled(chunks, "chunks")
     entities, status = settled(entity_spans(chunks, pack), "entities"), settled(status_assertions(chunks, pack), "status")
-    nodes, edges = proposed_graph(chunks, entities, status)
+    nodes, edges = propose(chunks, entities, status)
     nodes, edges = settled(nodes, "nodes"), settled(edges, "edges")
     nodes, edges, frames, w0 = overrides.apply_overrides(chunks, nodes, edges, entities, status)
     nodes, edges, w1 = anchor.anchor(chunks, nodes, edges, rules)
@@ -75,7 +41,7 @@ def checked_graph(chunks: DataFrame, pack: Pack, rules: DataFrame) -> dict[str,
     legal, w4 = validate.check_endpoints(nodes, attached, rules)
     legal = settled(legal, "edges")
     review = settled(validate.needs_review(chunks, legal), "review")
-    edges, w5 = validate.apply_verdicts(legal, review, rule_verdicts(review))
+    edges, w5 = validate.apply_verdicts(legal, review, review_with(review))
     edges = settled(edges, "edges")
     return {"nodes": nodes, "edges": edges, "frames": frames, "warnings": reduce(DataFrame.unionByName, (w0, w1, w2, w3, w4, w5))}
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 
-from noteweave.functions.spans import islands
 from noteweave.functions.tables import settled
 from noteweave.operators import chunks as C
 from noteweave.operators import labels, sections, sentences
@@ -26,26 +26,9 @@ def sections_of(notes: DataFrame, pack: Pack) -> DataFrame:
     return sections.with_text(sections.build_sections(labelled_sentences(notes, pack)), notes)
 
 
-def rule_proposals(sentence_rows: DataFrame) -> DataFrame:
-    """A rule in place of a model's proposals, from labelled sentences: two of three sentences become a
-    chunk, some with other closing marks or white space around, some twice with an overlap, some with
-    text that isn't there."""
-    key = ["text_hash", "section_index"]
-    runs = islands(sentence_rows, ["text_hash"], ["index"], "section_id", "section_index")
-    k = F.row_number().over(Window.partitionBy(*key).orderBy("index"))
-    rows = runs.withColumn("k", k).filter("k % 3 <> 0")
-    base = F.when(F.col("k") % 5 == 1, F.concat(F.regexp_replace("text", "[.!?]+$", ""), F.lit(";"))).when(F.col("k") % 5 == 2, F.concat(F.lit("  "), F.col("text"), F.lit(" "))).otherwise(F.col("text"))
-    kind = F.when(F.col("k") % 2 == 0, "finding").otherwise("event")
-    one = lambda at, text, on: F.when(on, F.struct((F.col("k") * 4 + at).alias("chunk_index"), text.alias("text"), kind.alias("chunk_type"), F.concat(F.lit("p"), F.col("k").cast("string"), F.lit(f"-{at}")).alias("standalone_summary")))
-    made = F.array_compact(F.array(
-        one(0, base, F.lit(True)),
-        one(1, F.expr("substring(text, cast(floor(length(text) / 2) as int) + 1)"), F.col("k") % 7 == 2),
-        one(2, F.concat(F.lit("#?"), F.col("text")), F.col("k") % 11 == 4)))
-    return rows.select(*key, F.explode(made).alias("m")).select(*key, "m.*")
-
-
-def chunks_of(notes: DataFrame, pack: Pack) -> DataFrame:
+def chunks_of(notes: DataFrame, pack: Pack, propose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Notes to chunks; ``propose`` makes the proposals (as ``build_chunks`` takes them) from labelled sentences."""
     notes = settled(notes, "notes")
     rows = settled(labelled_sentences(notes, pack), "sentences")
     parts = settled(sections.with_text(sections.build_sections(rows), notes), "sections")
-    return C.build_chunks(parts, rule_proposals(rows), chunk_type=pack.default_chunk_type)
+    return C.build_chunks(parts, propose(rows), chunk_type=pack.default_chunk_type)

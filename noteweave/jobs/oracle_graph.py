@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from noteweave.functions.text import quote
-from noteweave.jobs.oracle_sql import CASES, FULL, q
+from noteweave.jobs.oracle_sql import CASES, FULL, STRIP, q
 from noteweave.operators.anchor import DISEASE_RULES, DISEASES, IMPLICIT_TEXT, NEGATABLE, NODE_EDGES, PATIENT_EDGES
 from noteweave.operators.annotate import lexicon_order
-from noteweave.sources.packs import GENERIC, GENERIC_EDGES
+from noteweave.sources.clinical import CLINICAL_EDGES
+from noteweave.sources.packs import GENERIC
 
 P = GENERIC
 
@@ -60,7 +61,32 @@ stat AS (SELECT chunk_id, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY
                 CASE WHEN contains(c.text, '{P.status_context}') THEN '{P.status_context}' END AS context_text
          FROM st1 JOIN chunk c USING (chunk_id) WHERE rn = 1)"""
 
-RULES = ",\nrule(edge_type, source_type, target_type) AS (VALUES " + ", ".join(f"('{e}', '{s}', '{t}')" for e, (ss, ts) in GENERIC_EDGES.items() for s in ss for t in ts) + ")"
+_list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+RULES = ",\nrule AS (SELECT edge_type, source_type, unnest(t) AS target_type FROM (SELECT edge_type, unnest(s) AS source_type, t FROM (VALUES " + ", ".join(f"('{e}', {_list(ss)}, {_list(ts)})" for e, (ss, ts) in CLINICAL_EDGES.items()) + ") AS v(edge_type, s, t)))"
+
+_N = P.negation
+_alt = lambda words: q("|".join(map(quote, words)))
+_stops = q("".join(map(quote, dict.fromkeys([*_N["boundaries"], *_N["clause_stops"]]))))
+_word = r"[\p{L}\p{N}_]"
+#: Negation, by its rules: every trigger's places, a walk over the clauses, the items of enumerations, single scopes.
+NEGATION = CUES + f""",
+trg(w, rank) AS (VALUES {", ".join(f"('{t}', {i})" for i, t in enumerate(sorted(_N["triggers"], key=len, reverse=True), 1))}),
+trw AS (SELECT chunk_id, text, w, rank, string_split(text, w) AS g FROM chunk JOIN trg ON contains(text, w)),
+tr AS (SELECT * FROM (SELECT chunk_id, text, w, rank, k, CAST(list_sum([length(x) FOR x IN g[1:k]]) + (k - 1) * length(w) AS INTEGER) AS p FROM trw, LATERAL (SELECT unnest(range(1, len(g))) AS k))
+       WHERE NOT regexp_matches(CASE WHEN p > 0 THEN substr(text, p, 1) ELSE '' END, '{_word}') AND NOT regexp_matches(substr(text, p + length(w) + 1, 1), '{_word}')),
+cl0 AS (SELECT chunk_id, p, arg_min(w, rank) AS w, arg_min(body, rank) AS body FROM (SELECT *, regexp_extract(substr(text, p + length(w) + 1), '^[^{_stops}]+') AS body FROM tr) WHERE body <> '' GROUP BY chunk_id, p),
+cl AS (SELECT *, p + length(w) + length(body) AS ce FROM cl0),
+walk AS (SELECT chunk_id, min(p) AS p FROM cl GROUP BY chunk_id UNION ALL SELECT a.chunk_id, (SELECT min(b.p) FROM cl b WHERE b.chunk_id = a.chunk_id AND b.p >= c.ce) AS p FROM walk a JOIN cl c ON c.chunk_id = a.chunk_id AND c.p = a.p),
+enu AS (SELECT cl.* FROM walk JOIN cl USING (chunk_id, p) WHERE regexp_matches(body, '{_alt([*_N["terminators"], *_N["separators"]])}') AND NOT EXISTS (SELECT 1 FROM cue c WHERE c.chunk_id = cl.chunk_id AND cl.p >= c.s AND cl.p < c.s + length(c.t))),
+enh AS (SELECT *, regexp_split_to_array(regexp_split_to_array(body, '{_alt(_N["terminators"])}')[1], '{_alt(_N["separators"])}') AS g FROM enu),
+eni AS (SELECT chunk_id, p, w, k, g[k] AS item, p + length(w) + coalesce(list_sum([length(x) FOR x IN g[1:k - 1]]), 0) + k - 1 AS at0 FROM enh, LATERAL (SELECT unnest(range(1, len(g) + 1)) AS k)),
+en AS (SELECT chunk_id, at0 + strpos(item, {STRIP('item')}) - 1 AS s, {STRIP('item')} AS t, w, 'enumeration' AS pattern, 0 AS rank, p AS nth, k FROM eni WHERE {STRIP('item')} <> ''),
+sq0 AS (SELECT tr.*, p + length(w) AS b, substr(text, p + length(w) + 1) AS rest FROM tr
+        WHERE NOT EXISTS (SELECT 1 FROM cue c WHERE c.chunk_id = tr.chunk_id AND tr.p >= c.s AND tr.p < c.s + length(c.t)) AND NOT EXISTS (SELECT 1 FROM enu e WHERE e.chunk_id = tr.chunk_id AND tr.p >= e.p AND tr.p < e.ce)),
+sq1 AS (SELECT *, {STRIP("substr(rest, 1, CAST(least(length(regexp_split_to_array(rest, '" + _alt([*_N["boundaries"], *_N["separators"], *_N["breakers"]]) + "')[1]), coalesce((SELECT min(o.p) FROM tr o WHERE o.chunk_id = sq0.chunk_id AND o.p >= b) - b, length(rest))) AS BIGINT))")} AS bare FROM sq0),
+sq AS (SELECT chunk_id, b + strpos(rest, t) - 1 AS s, t, w, 'sequential' AS pattern, rank, k AS nth, 0 AS k FROM (SELECT *, ltrim(bare, '{q(_N["lead"])}') AS t FROM sq1) WHERE t <> ''),
+ng AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, s, length(t) ORDER BY rank, nth, k) AS rn FROM (SELECT * FROM en UNION ALL SELECT * FROM sq) a
+       WHERE NOT EXISTS (SELECT 1 FROM cue c WHERE c.chunk_id = a.chunk_id AND c.s = a.s AND length(c.t) = length(a.t))) WHERE rn = 1)"""
 
 GRAPH = ENTITIES + STATUS + RULES + """,
 base AS (SELECT chunk_id, text, pos, CASE WHEN pos % 3 = 0 THEN 'SYMPTOM' ELSE node_type END AS node_type FROM (SELECT chunk_id, text, min(pos) AS pos, arg_min(node_type, pos) AS node_type FROM ent GROUP BY chunk_id, text)),
@@ -71,9 +97,9 @@ n00 AS (SELECT chunk_id, pos + 1 AS p, node_type, text FROM base
         UNION ALL SELECT chunk_id, 10003, 'GENERAL_HEALTH_STATUS', evidence_text FROM stat SEMI JOIN hasb USING (chunk_id) WHERE pos = 0),
 n0 AS (SELECT chunk_id, CAST(p AS INTEGER) AS node_pos, 'n' || p AS node_id, node_type, text AS source_text, p % 5 = 0 AS negated, CASE WHEN p % 4 = 0 THEN 'suspected' ELSE 'confirmed' END AS certainty, false AS implicit FROM n00),
 pairb AS (SELECT b.chunk_id, b.pos + 1 AS k, b.text, t.node_type AS to_type, c.chunk_index FROM base b JOIN base t ON b.chunk_id = t.chunk_id AND t.pos = b.pos + 1 JOIN chunk c ON c.chunk_id = b.chunk_id),
-e0 AS (SELECT chunk_id, CAST(k AS INTEGER) AS edge_pos, 'e' || k AS edge_id, CASE WHEN to_type = 'BODY_SITE' THEN 'LOCALIZES_TO' WHEN to_type = 'DRUG' THEN 'TREATED_WITH' WHEN k % 3 = 0 THEN 'HAS_SYMPTOM' ELSE 'RELATED_TO' END AS edge_type,
+e0 AS (SELECT chunk_id, CAST(k AS INTEGER) AS edge_pos, 'e' || k AS edge_id, CASE WHEN to_type = 'BODY_SITE' THEN 'LOCALIZES_TO' WHEN to_type = 'DRUG' THEN 'TREATED_WITH' WHEN k % 3 = 0 THEN 'HAS_SYMPTOM' ELSE 'ACCOMPANIED_BY' END AS edge_type,
               'n' || k AS src, 'n' || (k + 1) AS tgt, false AS negated, 'confirmed' AS certainty, CASE WHEN k % 4 = 0 THEN 'not there' ELSE text END AS source_text, 'neighbours' AS reasoning, ((k * 37 + chunk_index * 11) % 100) / 100.0::DOUBLE AS confidence FROM pairb
-       UNION ALL SELECT chunk_id, 9001, 'e9001', 'RELATED_TO', 'n1', 'n999', false, 'confirmed', 'x', 'dangling', 0.7 FROM chunk SEMI JOIN (SELECT chunk_id FROM base WHERE pos = 0 AND length(text) > 2) USING (chunk_id) WHERE chunk_index % 6 = 0)"""
+       UNION ALL SELECT chunk_id, 9001, 'e9001', 'ACCOMPANIED_BY', 'n1', 'n999', false, 'confirmed', 'x', 'dangling', 0.7 FROM chunk SEMI JOIN (SELECT chunk_id FROM base WHERE pos = 0 AND length(text) > 2) USING (chunk_id) WHERE chunk_index % 6 = 0)"""
 
 _num = lambda c, letter: f"coalesce(TRY_CAST(nullif(regexp_extract({c}, '^{letter}(?:_anchor_)?([0-9]+)$', 1), '') AS INTEGER), 0)"
 

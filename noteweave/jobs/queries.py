@@ -6,23 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteweave.functions import spans as SP
-from noteweave.functions.tables import settled
+from noteweave.functions.tables import scratch_path, settled
 from noteweave.functions.text import strip
 from noteweave.jobs import graphs as G
 from noteweave.jobs import notes_to_chunks as N
 from noteweave.jobs import oracle_graph as O
 from noteweave.jobs import oracle_sql as S
+from noteweave.jobs import standins as X
 from noteweave.operators import annotate as A
 from noteweave.operators import chunks as C
 from noteweave.operators import labels, sections, sentences
 from noteweave.operators import merge as M
 from noteweave.operators import model as U
+from noteweave.operators import requests as Q
 from noteweave.operators import normalize as I
 from noteweave.operators import overrides as J
 from noteweave.operators import report as R
 from noteweave.operators import validate as L
 from noteweave.sources import notes
-from noteweave.sources.packs import GENERIC, GENERIC_EDGES, dimension, endpoint_rules
+from noteweave.sources.clinical import CLINICAL_EDGES, NODE_TYPES
+from noteweave.sources.packs import GENERIC, dimension, endpoint_rules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -144,11 +147,15 @@ def named_sections(spark, sf_dir):
     return sections.with_names(rows, names).groupBy("section_name").agg(F.count("*").alias("n"))
 
 
+def _note_chunks(cases):
+    return N.chunks_of(cases, GENERIC, X.rule_proposals)
+
+
 def _aligned(spark, sf_dir):
     cases = _cases(spark, sf_dir)
     rows = N.labelled_sentences(cases, GENERIC)
     parts = sections.with_text(sections.build_sections(rows), cases)
-    return C.align_proposals(parts.filter(F.length(strip(F.col("text"))) >= C.SHORT), N.rule_proposals(rows))
+    return C.align_proposals(parts.filter(F.length(strip(F.col("text"))) >= C.SHORT), X.rule_proposals(rows))
 
 
 @query(f"WITH {S.ALIGNED} SELECT text_hash, section_index, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(coalesce(at0 + s0, -1) AS INTEGER) AS \"start\", CAST(coalesce(at0 + e0, -1) AS INTEGER) AS \"end\" FROM ali")
@@ -168,12 +175,12 @@ def merged_spans(spark, sf_dir):
 
 @query(f"WITH {S.CHUNKS} SELECT * FROM chk")
 def chunk_rows(spark, sf_dir):
-    return N.chunks_of(_cases(spark, sf_dir), GENERIC)
+    return _note_chunks(_cases(spark, sf_dir))
 
 
 @query(f"WITH {S.CHUNKS} SELECT text_hash, section_index, count(*) FILTER (auto_filled) AS n_auto, count(*) AS n_chunks FROM chk GROUP BY text_hash, section_index")
 def auto_filled_chunks(spark, sf_dir):
-    return C.auto_fill_counts(N.chunks_of(_cases(spark, sf_dir), GENERIC))
+    return C.auto_fill_counts(_note_chunks(_cases(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- annotation
@@ -210,10 +217,17 @@ def lexicon_entity_spans(spark, sf_dir):
     return A.lexicon_spans(_chunks(spark, sf_dir), GENERIC).drop("ord")
 
 
-@query(ORACLES["lexicon_entity_spans"])
+_TERM = "term AS (SELECT term, CASE WHEN length(term) % 2 = 0 THEN 'EXAM_TEST' ELSE 'SIGN' END AS node_type FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) AS term FROM benchmark))"
+
+
+@query(f"""WITH {O.LINES}, {_TERM}, occ AS (SELECT chunk_id, term, node_type, string_split(text, term) AS g FROM chunk JOIN term ON contains(text, term)),
+plc AS (SELECT chunk_id, term, node_type, CAST(list_sum([length(x) FOR x IN g[1:k]]) + (k - 1) * length(term) AS INTEGER) AS s FROM occ, LATERAL (SELECT unnest(range(1, len(g))) AS k))
+SELECT chunk_id, s AS "start", CAST(s + length(term) AS INTEGER) AS "end", term AS text, node_type, 'benchmark' AS source FROM plc""")
 def large_lexicon_entity_spans(spark, sf_dir):
-    """The automaton, with terms that don't overlap themselves: the same spans as the small lexicon's."""
-    return A.large_lexicon_spans(_chunks(spark, sf_dir), list(GENERIC.lexicon))
+    """The words of the benchmark as a lexicon."""
+    words = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("term")).distinct()
+    terms = words.select("term", F.when(F.length("term") % 2 == 0, "EXAM_TEST").otherwise("SIGN").alias("node_type"), F.lit("benchmark").alias("source"))
+    return A.large_lexicon_spans(_chunks(spark, sf_dir), terms)
 
 
 @query(f'WITH {O.SUFFIX} SELECT chunk_id, s AS "start", e AS "end", t AS text, node_type, source FROM suf')
@@ -241,7 +255,7 @@ def status_assertion_rows(spark, sf_dir):
     return A.status_assertions(_chunks(spark, sf_dir), GENERIC)
 
 
-@query()
+@query(f'WITH RECURSIVE {O.NEGATION} SELECT chunk_id, CAST(s AS INTEGER) AS "start", CAST(s + length(t) AS INTEGER) AS "end", t AS text, w AS trigger, pattern FROM ng')
 def negated_spans(spark, sf_dir):
     return A.negation_spans(_chunks(spark, sf_dir), GENERIC)
 
@@ -261,7 +275,17 @@ def merged_context_spans(spark, sf_dir):
     return A.all_context_spans(cues, again).select("chunk_id", "start", "end", "context_type", "negated")
 
 
-@query()
+_RENDERED = f"""WITH RECURSIVE {O.NEGATION}{O.ENTITIES[len(O.LINES):]}{O.STATUS},
+ctx AS (SELECT chunk_id, s, length(t) AS n, t, context_type, 'False' AS negated, t AS trigger, ord AS src FROM cue UNION ALL SELECT chunk_id, s, length(t), t, 'negated_finding', 'True', w, 1000 FROM ng),
+ctx1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, s, n ORDER BY src, trigger) AS rn FROM ctx) WHERE rn = 1),
+la AS (SELECT chunk_id, string_agg('  - [' || t || '] → context_type=' || context_type || ', negated=' || negated || '（触发词：' || trigger || '）', chr(10) ORDER BY s, s + n) AS a FROM ctx1 GROUP BY chunk_id),
+lb AS (SELECT chunk_id, string_agg('  - [' || text || '] → node_type=' || node_type || ', source=' || source, chr(10) ORDER BY s, pos) AS b FROM ent GROUP BY chunk_id),
+lc AS (SELECT chunk_id, string_agg('  - [' || item_text || '] -> [' || value_text || ']（证据：' || evidence_text || coalesce('，context=' || context_text, '') || '）', chr(10) ORDER BY pos) AS c FROM stat GROUP BY chunk_id),
+ann AS (SELECT chunk_id, concat_ws(chr(10), '{A._RENDER[0]}', text, '', '{A._RENDER[1]}', coalesce(a, '{A._NONE[0]}'), '', '{A._RENDER[2]}', coalesce(b, '{A._NONE[1]}'), '', '{A._RENDER[3]}', coalesce(c, '{A._NONE[2]}')) AS annotated
+        FROM chunk LEFT JOIN la USING (chunk_id) LEFT JOIN lb USING (chunk_id) LEFT JOIN lc USING (chunk_id))"""
+
+
+@query(_RENDERED + " SELECT * FROM ann")
 def rendered_annotations(spark, sf_dir):
     c = _chunks(spark, sf_dir)
     return A.render_annotations(c, A.all_context_spans(A.context_cues(c, GENERIC), A.negation_spans(c, GENERIC)), A.entity_spans(c, GENERIC), A.status_assertions(c, GENERIC))
@@ -330,13 +354,13 @@ def adjacent_site_pairs(spark, sf_dir):
 
 
 def _rules(spark):
-    return endpoint_rules(spark, GENERIC_EDGES)
+    return endpoint_rules(spark, CLINICAL_EDGES)
 
 
 def _overridden(spark, sf_dir):
     c = _settled_chunks(spark, sf_dir)
     ent, stat = settled(A.entity_spans(c, GENERIC), "entities"), settled(A.status_assertions(c, GENERIC), "status")
-    nodes, edges = G.proposed_graph(c, ent, stat)
+    nodes, edges = X.proposed_graph(c, ent, stat)
     nodes, edges = settled(nodes, "nodes"), settled(edges, "edges")
     return c, J.apply_overrides(c, nodes, edges, ent, stat)
 
@@ -367,7 +391,7 @@ def status_frame_rows(spark, sf_dir):
 
 def _graph(spark, sf_dir):
     c = _settled_chunks(spark, sf_dir)
-    return c, G.checked_graph(c, GENERIC, _rules(spark))
+    return c, G.checked_graph(c, GENERIC, _rules(spark), X.proposed_graph, X.rule_verdicts)
 
 
 @query(f"WITH {O.ANCHOR} SELECT {_E} FROM e6")
@@ -396,18 +420,18 @@ def warning_counts(spark, sf_dir):
     return L.warning_counts(_graph(spark, sf_dir)[1]["warnings"])
 
 
-@query("""SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 3 = 0 THEN 'source' ELSE 'target' END AS missing_end FROM orders
-WHERE o_custkey % 3 = 0 OR NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 2 = 0)""")
+@query("""SELECT o_orderkey, o_custkey, CASE WHEN NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment <> 'BUILDING') THEN 'source' ELSE 'target' END AS missing_end FROM orders
+WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment <> 'BUILDING') OR NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)""")
 def dangling_order_edges(spark, sf_dir):
-    """The dangling check on a large graph: orders as edges between customers, some of which are left out."""
-    o, c = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), read(spark, sf_dir, "customer").select("c_custkey")
-    nodes = c.filter("c_custkey % 2 = 0").select((F.col("c_custkey") % 64).cast("string").alias("chunk_id"), F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("node_id"))
-    nodes = nodes.unionByName(o.filter("o_custkey % 3 <> 0").select((F.col("o_custkey") % 64).cast("string").alias("chunk_id"), F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("node_id")).distinct())
-    edges = o.select((F.col("o_custkey") % 64).cast("string").alias("chunk_id"), F.col("o_orderkey").cast("string").alias("edge_id"), F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("source_node_id"), F.concat(F.lit("t"), F.col("o_custkey").cast("string")).alias("target_node_id"),
+    """The dangling check on a large graph: an order is an edge from its customer outside the segment BUILDING to its customer with money left."""
+    o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    key = lambda x: F.col(x).cast("string")
+    node = lambda df, letter: df.select(key("c_custkey").alias("chunk_id"), F.concat(F.lit(letter), key("c_custkey")).alias("node_id"))
+    nodes = node(c.filter("c_mktsegment <> 'BUILDING'"), "s").unionByName(node(c.filter("c_acctbal > 0"), "t"))
+    edges = o.select(key("o_custkey").alias("chunk_id"), key("o_orderkey").alias("edge_id"), F.concat(F.lit("s"), key("o_custkey")).alias("source_node_id"), F.concat(F.lit("t"), key("o_custkey")).alias("target_node_id"),
                      *[F.lit(None).cast("string").alias(x) for x in ("edge_type", "certainty", "context", "source_text", "reasoning")], F.lit(0).alias("edge_pos"), F.lit(False).alias("negated"), F.lit(0.0).alias("confidence"))
-    bad = L.drop_dangling(nodes, edges)[1]
     part = F.split("message", " ")
-    return bad.select(part[0].cast("bigint").alias("o_orderkey"), F.expr("substring(split(message, ' ')[2], 2)").cast("bigint").alias("o_custkey"), part[1].alias("missing_end"))
+    return L.drop_dangling(nodes, edges)[1].select(part[0].cast("bigint").alias("o_orderkey"), F.expr("substring(split(message, ' ')[2], 2)").cast("bigint").alias("o_custkey"), part[1].alias("missing_end"))
 
 
 @query("""SELECT e.event_id, (SELECT max(p.event_id) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'view' AND p.ts = (SELECT max(q.ts) FROM events q WHERE q.user_id = e.user_id AND q.event_type = 'view' AND q.ts <= e.ts AND e.ts - q.ts <= INTERVAL 1 DAY)) AS near_event
@@ -434,7 +458,16 @@ def coreference_candidates(spark, sf_dir):
     return M.coreference_candidates(M.collect_nodes(g["nodes"], M.graph_order(c)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {O.MERGE},
+fb AS (SELECT case_id, section_index, source_text, arg_min(canon, (gi, node_pos)) AS canon, min(gi * 1000000 + node_pos) AS rank FROM rs GROUP BY case_id, section_index, source_text),
+fp AS (SELECT a.case_id, a.section_index, a.source_text AS short, b.source_text AS long, row_number() OVER (PARTITION BY a.case_id, a.section_index ORDER BY least(a.rank, b.rank), greatest(a.rank, b.rank)) AS k
+       FROM fb a JOIN fb b ON a.case_id = b.case_id AND a.section_index = b.section_index AND a.source_text <> b.source_text AND contains(b.source_text, a.source_text) AND length(b.source_text) - length(a.source_text) <= 4 AND length(b.source_text) % 2 = 0),
+fold AS (SELECT case_id, section_index, long AS source_text, short AS now, k FROM fp p WHERE k = (SELECT max(k) FROM fp o WHERE o.case_id = p.case_id AND o.section_index = p.section_index AND o.long = p.long)
+         UNION ALL SELECT f.case_id, f.section_index, f.source_text, p.short, p.k FROM fold f JOIN fp p ON p.case_id = f.case_id AND p.section_index = f.section_index AND p.long = f.now
+         WHERE p.k = (SELECT max(o.k) FROM fp o WHERE o.case_id = f.case_id AND o.section_index = f.section_index AND o.long = f.now AND o.k < f.k)),
+folded AS (SELECT case_id, section_index, source_text, arg_min(now, k) AS now FROM fold GROUP BY case_id, section_index, source_text)
+SELECT rs.case_id, rs.section_index, tmp AS tmp_id, coalesce(fb.canon, rs.canon) AS canonical FROM rs LEFT JOIN folded f ON f.case_id = rs.case_id AND f.section_index = rs.section_index AND f.source_text = rs.source_text
+LEFT JOIN fb ON fb.case_id = f.case_id AND fb.section_index = f.section_index AND fb.source_text = f.now""")
 def coreference_folded(spark, sf_dir):
     c, g = _graph(spark, sf_dir)
     resolved = M.resolve_entities(M.collect_nodes(g["nodes"], M.graph_order(c)))
@@ -499,14 +532,14 @@ SELECT kind, name, CAST(coalesce(n, 0) AS BIGINT) AS n FROM dim FULL JOIN cnt US
 def type_dictionary(spark, sf_dir):
     cases = _cases(spark, sf_dir)
     dim = spark.createDataFrame(_DIM, "kind string, name string")
-    return R.type_counts(dim, section=(sections.build_sections(N.labelled_sentences(cases, GENERIC)), "section_id"), chunk=(N.chunks_of(cases, GENERIC), "chunk_type"))
+    return R.type_counts(dim, section=(sections.build_sections(N.labelled_sentences(cases, GENERIC)), "section_id"), chunk=(_note_chunks(cases), "chunk_type"))
 
 
 @query(f"""WITH {S.CHUNKS} SELECT text_hash, CAST(length(raw_text) AS INTEGER) AS n_chars, (SELECT count(*) FROM sent s WHERE s.text_hash = c.text_hash) AS n_sentences, (SELECT count(*) FROM sect s WHERE s.text_hash = c.text_hash) AS n_sections, (SELECT count(*) FROM chk s WHERE s.text_hash = c.text_hash) AS n_chunks FROM cases c""")
 def case_statistics(spark, sf_dir):
     cases = _cases(spark, sf_dir)
     rows = N.labelled_sentences(cases, GENERIC)
-    return R.case_stats(cases, sentences=rows, sections=sections.build_sections(rows), chunks=N.chunks_of(cases, GENERIC))
+    return R.case_stats(cases, sentences=rows, sections=sections.build_sections(rows), chunks=_note_chunks(cases))
 
 
 @query(f"""WITH {S.SECTIONS}, g AS (SELECT text_hash, coalesce(lag(end_char) OVER w, 0) AS s, start_char AS e FROM sent WINDOW w AS (PARTITION BY text_hash ORDER BY start_char)
@@ -519,7 +552,7 @@ def note_coverage(spark, sf_dir):
 
 @query(f"WITH {S.CHUNKS} SELECT text_hash, section_index, count(*) AS n_chunks, string_agg(CAST(chunk_index AS VARCHAR), ', ' ORDER BY chunk_index) AS chunk_list, CAST(max(end_char) - min(start_char) AS INTEGER) AS span_length FROM chk GROUP BY text_hash, section_index")
 def section_chunk_lists(spark, sf_dir):
-    return R.chunk_listing(N.chunks_of(_cases(spark, sf_dir), GENERIC), ["text_hash", "section_index"])
+    return R.chunk_listing(_note_chunks(_cases(spark, sf_dir)), ["text_hash", "section_index"])
 
 
 @query(f"WITH {S.CHUNKS} SELECT case_id, (SELECT count(*) FROM sent s WHERE s.case_id = c.case_id) AS n_sentences, (SELECT count(*) FROM sect s WHERE s.case_id = c.case_id) AS n_sections, (SELECT count(*) FROM chk s WHERE s.case_id = c.case_id) AS n_chunks, (SELECT arg_min(text, \"index\") FROM sent s WHERE s.case_id = c.case_id) AS first_sentence FROM cases c")
@@ -527,7 +560,7 @@ def nested_case_documents(spark, sf_dir):
     """The nested documents, flattened again to counts and the first sentence."""
     cases = _cases(spark, sf_dir)
     rows = N.labelled_sentences(cases, GENERIC)
-    d = notes.case_documents(cases, rows, sections.build_sections(rows), N.chunks_of(cases, GENERIC))
+    d = notes.case_documents(cases, rows, sections.build_sections(rows), _note_chunks(cases))
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint").alias(f"n_{c}")
     return d.select("case_id", size("sentences"), size("sections"), size("chunks"), F.expr("sentences[0].text").alias("first_sentence"))
 
@@ -553,9 +586,117 @@ def viewer_elements(spark, sf_dir):
     return notes.graph_elements(g["nodes"], g["edges"], spark.createDataFrame(_CAT, "node_type string, category string")).select("case_id", "section_index", "kind", "id", "label", "classes")
 
 
-@query()
+_TYPES = [("node", t) for t in NODE_TYPES] + [("edge", t) for t in CLINICAL_EDGES]
+
+
+@query(f"""WITH {O.MERGE}, dim(kind, name) AS (VALUES {', '.join(f"('{k}', '{n}')" for k, n in _TYPES)}),
+cnt AS (SELECT 'node' AS kind, node_type AS name, count(*) AS n FROM can GROUP BY node_type UNION ALL SELECT 'edge', edge_type, count(*) FROM se GROUP BY edge_type)
+SELECT kind, name, CAST(coalesce(n, 0) AS BIGINT) AS n FROM dim FULL JOIN cnt USING (kind, name)""")
+def graph_type_dictionary(spark, sf_dir):
+    """Every node and edge type of the clinical schema with its count in the section graphs, and any other."""
+    g = _sections(spark, sf_dir)[2]
+    return R.type_counts(spark.createDataFrame(_TYPES, "kind string, name string"), node=(g["nodes"], "node_type"), edge=(g["edges"], "edge_type"))
+
+
+@query(f"""WITH {O.MERGE}{S.LABELS[len(S.CASES):]}, per AS (SELECT case_id, count(*) FILTER (rule_label IS NULL OR rule_label <> section_id) AS n_changed FROM inh GROUP BY case_id)
+SELECT case_id, CAST(length(raw_text) AS INTEGER) AS n_chars, coalesce((SELECT n_changed FROM per p WHERE p.case_id = c.case_id), 0) AS n_changed, (SELECT count(*) FROM can n WHERE n.case_id = c.case_id) AS n_nodes, (SELECT count(*) FROM se e WHERE e.case_id = c.case_id) AS n_edges FROM cases c""")
+def case_graph_statistics(spark, sf_dir):
+    """Changed labels, nodes and edges of each case; a label is changed where the inherited one isn't the rule's own."""
+    cases = settled(_cases(spark, sf_dir), "cases")
+    both = N.labelled_sentences(cases, GENERIC)
+    keys, none = ["case_id", "index"], F.lit("")
+    overlaid = labels.overlay_labels(both.select(*keys, F.coalesce("rule_label", none).alias("section_id"), none.alias("reasoning")), both.select(*keys, "section_id", none.alias("reasoning"), F.lit(0).alias("pos")))
+    g = _sections(spark, sf_dir)[2]
+    return R.case_stats(cases, "case_id", changed=overlaid.filter("changed_in_review"), nodes=g["nodes"], edges=g["edges"])
+
+
+@query(f"WITH {S.SECTIONS} SELECT text_hash, section_index, section_id, (SELECT string_agg('S' || x, ', ' ORDER BY CAST(x AS INTEGER)) FROM (SELECT unnest(string_split(sentence_list, ',')) AS x)) AS sentence_list, CAST(end_char - start_char AS INTEGER) AS span_length FROM sect")
+def section_sentence_lists(spark, sf_dir):
+    return R.section_listing(sections.build_sections(N.labelled_sentences(_cases(spark, sf_dir), GENERIC)))
+
+
+@query(f"""WITH {S.CHUNKS}, g AS (SELECT text_hash, coalesce(lag(end_char) OVER w, 0) AS s, start_char AS e FROM chk WINDOW w AS (PARTITION BY text_hash ORDER BY start_char)
+ UNION ALL SELECT text_hash, coalesce((SELECT max(end_char) FROM chk s WHERE s.text_hash = c.text_hash), 0), length(raw_text) FROM cases c)
+SELECT text_hash, start_char AS "start", end_char AS "end", chunk_type AS label FROM chk UNION ALL SELECT text_hash, CAST(s AS INTEGER), CAST(e AS INTEGER), NULL FROM g WHERE s < e""")
+def chunk_coverage(spark, sf_dir):
+    cases = settled(_cases(spark, sf_dir), "cases")
+    return R.coverage(cases, _note_chunks(cases), F.col("chunk_type"))
+
+
+@query(f"""WITH {S.CASES}, l AS (SELECT case_id, n, ls[n] AS t, coalesce(list_sum([length(x) + 1 FOR x IN ls[1:n - 1]]), 0) AS s FROM (SELECT case_id, string_split(raw_text, chr(10)) AS ls FROM cases), LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS n))
+SELECT case_id, CAST(s AS INTEGER) AS start_char, CAST(s + length(t) AS INTEGER) AS end_char, CAST(row_number() OVER (PARTITION BY case_id ORDER BY s) AS INTEGER) AS "index" FROM l WHERE {S.FULL('t')}""")
+def numbered_sentences(spark, sf_dir):
+    """Spans from outside (here lines, each given twice) numbered."""
+    lines = _cases(spark, sf_dir).select("case_id", F.explode(A.matches(F.col("raw_text"), "[^\n]+")).alias("m")).select("case_id", F.col("m.start").alias("start_char"), F.col("m.end").alias("end_char"), F.col("m.text").alias("text"))
+    return sentences.number_sentences(lines.unionByName(lines)).select("case_id", "start_char", "end_char", "index")
+
+
+@query(f"SELECT stage, count(*) AS n_rows, count(DISTINCT text_hash) AS n_texts FROM (SELECT CASE WHEN text IS NOT NULL AND {S.FULL('text')} THEN 'accepted' ELSE 'rejected' END AS stage, sha256(text) AS text_hash FROM documents) GROUP BY stage")
+def audited_stages(spark, sf_dir):
+    """Stages written for audit, and what the written table holds."""
+    path = scratch_path(spark, "audit")
+    good, bad = notes.validate_cases(notes.read_cases_table(read(spark, sf_dir, "documents")))
+    for df, stage in ((good, "accepted"), (bad, "rejected")):
+        notes.write_stage(df.select("source_file", "text_hash"), path, stage)
+    return spark.read.parquet(path).groupBy("stage").agg(F.count("*").alias("n_rows"), F.countDistinct("text_hash").alias("n_texts"))
+
+
+# ---------------------------------------------------------------- model calls, with stand-ins as models
+
+_AROUND = 100
+_ASK = f"""SELECT text_hash, "index", section_id, rule_label, start_char, end_char, p.text, CAST(start_char AS VARCHAR) || ':' || CAST(end_char AS VARCHAR) || ' ' || p.text || ' | ' ||
+  substr(raw_text, greatest(start_char - {_AROUND}, 0) + 1, end_char + {_AROUND} - greatest(start_char - {_AROUND}, 0)) AS rq FROM inh p JOIN cases USING (text_hash)"""
+
+
+@query(f"""WITH {S.LABELS}, a AS ({_ASK}), b AS (SELECT *, CASE WHEN length(rq) % 7 = 0 THEN NULL WHEN length(rq) % 3 = 0 THEN 'prose' WHEN length(rq) % 3 = 1 THEN 'table' END AS said FROM a)
+SELECT text_hash, "index", coalesce(said, section_id) AS section_id, CASE WHEN said IS NULL THEN 'rule' ELSE 'model' END AS "by" FROM b""")
+def labels_by_model(spark, sf_dir):
+    cases = settled(_cases(spark, sf_dir), "cases")
+    return Q.label_sentences(sentences.split_sentences(cases, GENERIC), cases, GENERIC, dimension(spark, "section", ["prose", "table"]), X.label, "{start}:{end} {sentence} | {context}", _AROUND)
+
+
+@query(f"""WITH {S.LABELS}, l AS (SELECT text_hash, string_agg('- S' || "index" || ' [' || start_char || ':' || end_char || '] label=`' || section_id || '`  text=' || text || '  reason=' || coalesce(rule_label, ''), chr(10) ORDER BY "index") AS x FROM inh GROUP BY text_hash),
+r AS (SELECT text_hash, length('Review:' || chr(10) || x) AS n FROM l),
+o AS (SELECT inh.*, "index" = 1 AND n % 2 = 0 AND n % 5 <> 0 AS said FROM inh JOIN r USING (text_hash))
+SELECT text_hash, "index", section_id AS initial_section_id, coalesce(rule_label, '') AS initial_reasoning, CASE WHEN said THEN 'table' ELSE section_id END AS reviewed_section_id, CASE WHEN said THEN 'first' ELSE '' END AS reviewed_reasoning, said AND section_id <> 'table' AS changed_in_review FROM o""")
+def labels_reviewed_by_model(spark, sf_dir):
+    rows = settled(N.labelled_sentences(_cases(spark, sf_dir), GENERIC), "sentences")
+    first = rows.select("text_hash", "index", "section_id", F.coalesce("rule_label", F.lit("")).alias("reasoning"))
+    return Q.review_labels(first, rows, X.review, "Review:\n{labels}")
+
+
+@query(f"""WITH {S.SECTIONS}, r AS (SELECT *, length({S.STRIP('text')}) < {C.SHORT} AS short, length('Section ' || section_id || ':' || chr(10) || text) % 9 = 0 AS lost FROM sect),
+c AS (SELECT text_hash, section_index, 1 AS chunk_index, text, 'clinical_state' AS chunk_type, CASE WHEN short THEN substr({S.STRIP('text')}, 1, {C.SUMMARY}) ELSE '{C.FAILED_SUMMARY}' END AS standalone_summary FROM r WHERE short OR lost
+  UNION ALL SELECT text_hash, section_index, 1, substr(text, 1, 40), 'event', 'start' FROM r WHERE NOT short AND NOT lost
+  UNION ALL SELECT text_hash, section_index, 2, substr(text, 41), 'clinical_state', '{C.TAIL_SUMMARY}' FROM r WHERE NOT short AND NOT lost AND {S.FULL('substr(text, 41)')})
+SELECT text_hash, section_index, CAST(chunk_index AS INTEGER) AS chunk_index, text, chunk_type, standalone_summary FROM c""")
+def chunks_by_model(spark, sf_dir):
+    """Sections split by a model; those it fails on stay whole."""
+    parts = settled(N.sections_of(settled(_cases(spark, sf_dir), "cases"), GENERIC), "sections")
+    return Q.split_sections(parts, X.split, "Section {section}:\n{text}").select("text_hash", "section_index", "chunk_index", "text", "chunk_type", "standalone_summary")
+
+
+@query(f"""WITH {O.LINES}, e AS (SELECT chunk_id, text, length(text) % 8 = 0 AS lost, substr(text, 1, 12) AS t FROM chunk), m AS (SELECT *, length(text || chr(10) || '- ' || t || ': front') % 11 = 0 AS unmapped FROM e WHERE NOT lost)
+SELECT chunk_id, 'node' AS kind, t AS value FROM m WHERE NOT unmapped UNION ALL SELECT chunk_id, 'warning', '{Q.NO_GRAPH}' FROM m WHERE unmapped UNION ALL SELECT chunk_id, 'warning', '{Q.NO_ANALYSIS}' FROM e WHERE lost""")
+def graphs_by_model(spark, sf_dir):
+    """Chunks analysed by a model and the analysis mapped to nodes by another; warnings where either fails."""
+    c = _settled_chunks(spark, sf_dir)
+    asked = c.select("chunk_id", F.col("text").alias("annotated"))
+    entities, relations, w1 = Q.analyse_chunks(asked, X.analyse, "{chunk}")
+    nodes, _, w2 = Q.map_graph(asked, entities, relations, X.build, "{chunk}\n{entities}")
+    return nodes.select("chunk_id", F.lit("node").alias("kind"), F.col("source_text").alias("value")).unionByName(w1.unionByName(w2).select("chunk_id", F.lit("warning").alias("kind"), F.col("message").alias("value")))
+
+
+@query("""WITH t AS (SELECT DISTINCT p_brand, p_name FROM part), p AS (SELECT a.p_brand, a.p_name AS short_text, b.p_name AS long_text, length('A: ' || a.p_name || chr(10) || 'B: ' || b.p_name) AS n FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_name <> b.p_name AND contains(b.p_name, a.p_name) AND length(b.p_name) - length(a.p_name) <= 4)
+SELECT p_brand, short_text, long_text, n % 5 <> 0 AND n % 2 = 0 AS are_coreferent FROM p""")
+def coreference_by_model(spark, sf_dir):
+    return Q.coreference_verdicts(containment_pairs(spark, sf_dir), X.coreference, "A: {short}\nB: {long}").drop("reason")
+
+
+@query(f"""WITH {O.VALID}, r AS (SELECT e.chunk_id, e.edge_id, length(e.edge_type || ' by ' || e.source_text || ' at ' || CAST(e.confidence AS VARCHAR) || ' in: ' || c.text) AS n FROM e9 e JOIN chunk c USING (chunk_id) WHERE confidence < 0.5 OR NOT contains(c.text, e.source_text))
+SELECT chunk_id, edge_id, 'ok' AS status, CASE WHEN n % 3 = 0 THEN 'low_confidence' ELSE 'valid' END AS verdict, 'length ' || n AS verdict_reason FROM r""")
 def reviewed_by_model(spark, sf_dir):
     """The batch call: doubtful edges as requests to a stand-in, its verdicts joined back."""
     c, g = _graph(spark, sf_dir)
-    asked = U.edge_requests(L.needs_review(c, g["edges"].drop("low_confidence")), c, "{edge} by {evidence} at {confidence} in: {chunk}")
-    return U.apply_model(asked, "request", U.rule_verdict, U.VERDICT).select("chunk_id", "edge_id", "status", "verdict", "verdict_reason")
+    asked = Q.edge_requests(L.needs_review(c, g["edges"].drop("low_confidence")), c, "{edge} by {evidence} at {confidence} in: {chunk}")
+    return U.apply_model(asked, "request", X.verdict, Q.VERDICT).select("chunk_id", "edge_id", "status", "verdict", "verdict_reason")

@@ -68,8 +68,8 @@ def _types(nodes: DataFrame, node: str, kind: str) -> DataFrame:
 def reanchor(nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Patient edges whose source has a wrong type move to the patient if that makes them legal; and a
     warning for each."""
-    source = F.broadcast(rules.select(F.col("edge_type"), F.col("source_type").alias("_st")).distinct().withColumn("_source_ok", F.lit(True)))
-    target = F.broadcast(rules.filter("source_type = 'PATIENT'").select("edge_type", F.col("target_type").alias("_tt")).distinct().withColumn("_patient_ok", F.lit(True)))
+    source = rules.select(F.col("edge_type"), F.col("source_type").alias("_st")).distinct().withColumn("_source_ok", F.lit(True))
+    target = rules.filter("source_type = 'PATIENT'").select("edge_type", F.col("target_type").alias("_tt")).distinct().withColumn("_patient_ok", F.lit(True))
     e = edges.join(_types(nodes, "source_node_id", "_st"), [K, "source_node_id"], "left").join(_types(nodes, "target_node_id", "_tt"), [K, "target_node_id"], "left").join(patients(nodes), K, "left")
     e = e.join(source, ["edge_type", "_st"], "left").join(target, ["edge_type", "_tt"], "left")
     move = F.col("edge_type").isin(list(PATIENT_EDGES)) & F.col("_st").isNotNull() & F.col("_source_ok").isNull() & F.coalesce("_patient_ok", F.lit(False)) & F.col("patient_id").isNotNull()
@@ -96,7 +96,7 @@ def default_edges(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, rules:
     """The edges with the missing ones from the patient to each node that calls for one, if legal."""
     w = nodes.join(chunks.select(K, F.col("text").alias("_t"), "chunk_type"), K).join(patients(nodes), K).filter("node_id <> patient_id")
     w = w.withColumn("edge_type", default_edge_type(F.col("node_type"), F.col("negated"), F.col("_t"), F.col("chunk_type"))).filter("edge_type IS NOT NULL")
-    legal = F.broadcast(rules.filter("source_type = 'PATIENT'").select("edge_type", F.col("target_type").alias("node_type")).distinct())
+    legal = rules.filter("source_type = 'PATIENT'").select("edge_type", F.col("target_type").alias("node_type")).distinct()
     w = w.join(legal, ["edge_type", "node_type"], "left_semi")
     have = edges.select(K, "edge_type", F.col("source_node_id").alias("patient_id"), F.col("target_node_id").alias("node_id")).distinct()
     w = w.join(have, [K, "edge_type", "patient_id", "node_id"], "left_anti")

@@ -26,9 +26,16 @@ def label_by_rules(sentences: DataFrame, pack: Pack) -> DataFrame:
     return sentences.withColumn("rule_label", rule_label(F.col("text"), pack))
 
 
+#: Rules of a table that are tried on every sentence, at most.
+MOST_RULES = 10_000
+
+
 def label_by_rule_table(sentences: DataFrame, rules: DataFrame) -> DataFrame:
     """The same from a table of rules (``section_id, priority, rule_order, regex``) too large for an
-    expression; the table is broadcast, so it must be of bounded size."""
+    expression. Every rule is tried on every sentence, so the table is counted, and broadcast as it is small; more
+    than MOST_RULES are an error."""
+    if (n := rules.limit(MOST_RULES + 1).count()) > MOST_RULES:
+        raise ValueError(f"{n} rules or more are too many to try on every sentence")
     hits = sentences.join(F.broadcast(rules), F.expr("text rlike regex"))
     best = hits.groupBy("text_hash", "index").agg(F.max_by("section_id", F.struct("priority", -F.col("rule_order"))).alias("rule_label"))
     return sentences.join(best, ["text_hash", "index"], "left")
@@ -44,7 +51,7 @@ def inherit_labels(labelled: DataFrame, pack: Pack) -> DataFrame:
 
 def ingest_labels(proposals: DataFrame, domain: DataFrame, label: str = "section_id") -> tuple[DataFrame, DataFrame]:
     """The proposals whose label is in the domain (column ``name``), and the rejected ones."""
-    names = F.broadcast(domain.select(F.col("name").alias("_name")).distinct())
+    names = domain.select(F.col("name").alias("_name")).distinct()
     return proposals.join(names, F.col(label) == F.col("_name"), "left_semi"), proposals.join(names, F.col(label) == F.col("_name"), "left_anti")
 
 

@@ -1,4 +1,4 @@
-"""Batch model calls: one contract for all, and rules that stand in for a model.
+"""Batch model calls: one contract for all.
 
 ``apply_model`` sends requests (rows) to a function in batches and gives its rows a fixed schema; what fails
 becomes ``status='error'`` and never stops the job. Equal requests are asked once. Write the result before
@@ -23,13 +23,14 @@ def render(template: str, **values: Column) -> Column:
     return out
 
 
-def apply_model(df: DataFrame, request: str, fn: Callable[[list[str]], list[dict]], schema: T.StructType, batch: int = 64, partitions: int | None = None) -> DataFrame:
+def apply_model(df: DataFrame, request: str, fn: Callable[[list[str]], list[dict]], schema: T.StructType | str, batch: int = 64, partitions: int | None = None) -> DataFrame:
     """``df`` with ``status`` ('ok' or 'error'), ``error`` and the columns of ``schema``.
 
     ``fn`` takes a list of requests and returns a dict for each. A batch that raises is asked row by row, and
     only rows that raise are errors; so is an answer that doesn't fit the schema. ``partitions`` bounds the
     calls at a time.
     """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     asked = df.select(request).distinct()
     if partitions:
         asked = asked.repartition(partitions)
@@ -71,17 +72,3 @@ def apply_model(df: DataFrame, request: str, fn: Callable[[list[str]], list[dict
             yield pd.DataFrame(rows, columns=[f.name for f in out.fields])
 
     return df.join(asked.mapInPandas(run, out), request, "left")
-
-
-def edge_requests(edges: DataFrame, chunks: DataFrame, template: str) -> DataFrame:
-    """A request for each edge to review."""
-    joined = edges.join(chunks.select("chunk_id", F.col("text").alias("_t")), "chunk_id")
-    return joined.select("chunk_id", "edge_id", render(template, chunk=F.col("_t"), edge=F.col("edge_type"), evidence=F.col("source_text"), confidence=F.col("confidence")).alias("request"))
-
-
-def rule_verdict(requests: list[str]) -> list[dict]:
-    """Stands in for an edge reviewer: short requests are valid, long ones doubtful."""
-    return [{"verdict": "valid" if len(r) % 3 else "low_confidence", "verdict_reason": f"length {len(r)}"} for r in requests]
-
-
-VERDICT = T.StructType([T.StructField("verdict", T.StringType()), T.StructField("verdict_reason", T.StringType())])

@@ -20,11 +20,12 @@ def check_nodes(chunks: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def drop_dangling(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both ends of an edge must exist; the reason names the source first."""
+    """Both ends of an edge must exist (a null end doesn't); the reason names the source first."""
     e = edges
     for end, flag in (("source_node_id", "_s"), ("target_node_id", "_t")):
         e = e.join(nodes.select(K, F.col("node_id").alias(end)).distinct().withColumn(flag, F.lit(True)), [K, end], "left")
-    reason = F.when(F.col("_s").isNull(), F.concat(F.col("edge_id"), F.lit(" source "), F.col("source_node_id"))).when(F.col("_t").isNull(), F.concat(F.col("edge_id"), F.lit(" target "), F.col("target_node_id")))
+    end = lambda name: F.concat_ws(" ", "edge_id", F.lit(name), F.coalesce(f"{name}_node_id", F.lit("null")))
+    reason = F.when(F.col("_s").isNull(), end("source")).when(F.col("_t").isNull(), end("target"))
     e = e.withColumn("_reason", reason)
     return e.filter("_reason IS NULL").select(EDGE), e.filter("_reason IS NOT NULL").select(K, F.lit("HARD-dangling").alias("code"), F.col("_reason").alias("message"))
 
@@ -32,22 +33,27 @@ def drop_dangling(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
 def check_endpoints(nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The types at an edge's ends must be a legal pair for its type."""
     e = edges.join(_types(nodes, "source_node_id", "source_type"), [K, "source_node_id"]).join(_types(nodes, "target_node_id", "target_type"), [K, "target_node_id"])
-    legal = F.broadcast(rules.select("edge_type", "source_type", "target_type").distinct())
+    legal = rules.select("edge_type", "source_type", "target_type").distinct()
     key = ["edge_type", "source_type", "target_type"]
     bad = e.join(legal, key, "left_anti").select(K, F.lit("HARD-endpoint").alias("code"), F.concat_ws(" ", "edge_id", "edge_type", "source_type", "target_type").alias("message"))
     return e.join(legal, key, "left_semi").select(EDGE), bad
 
 
 def needs_review(chunks: DataFrame, edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Edges of low confidence, or whose evidence doesn't stand in the chunk."""
+    """Edges of low (or null) confidence, or whose evidence is null or doesn't stand in the chunk."""
     e = edges.join(chunks.select(K, F.col("text").alias("_t")), K)
-    return e.filter((F.col("confidence") < threshold) | ~F.contains(F.col("_t"), F.col("source_text"))).select(EDGE)
+    sure = (F.col("confidence") >= threshold) & F.contains(F.col("_t"), F.col("source_text"))
+    return e.filter(~F.coalesce(sure, F.lit(False))).select(EDGE)
 
 
 def apply_verdicts(edges: DataFrame, review: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Reviewed edges with the verdict invalid go, those with low_confidence (or without any) are flagged."""
+    """Reviewed edges with the verdict invalid go, those with low_confidence (or without any) are flagged. Of several
+    verdicts on an edge the last by ``pos`` counts, where there is that column; else the most cautious one (invalid,
+    low_confidence, valid), with its own reason."""
     asked = review.select(K, "edge_id").distinct().withColumn("_asked", F.lit(True))
-    last = verdicts.groupBy(K, "edge_id").agg(F.max("verdict").alias("verdict"), F.max("verdict_reason").alias("verdict_reason"))
+    caution = F.when(F.col("verdict") == "invalid", 2).when(F.col("verdict") == "low_confidence", 1).otherwise(0)
+    order = F.col("pos") if "pos" in verdicts.columns else caution
+    last = verdicts.groupBy(K, "edge_id").agg(F.max_by(F.struct("verdict", "verdict_reason"), F.struct(order, "verdict", "verdict_reason")).alias("_l")).select(K, "edge_id", "_l.verdict", "_l.verdict_reason")
     e = edges.join(asked, [K, "edge_id"], "left").join(last, [K, "edge_id"], "left")
     verdict = F.when(F.col("_asked").isNotNull(), F.coalesce("verdict", F.lit("low_confidence"))).otherwise("valid")
     e = e.withColumn("_v", verdict)

@@ -72,7 +72,7 @@ def graph_elements(nodes: DataFrame, edges: DataFrame, categories: DataFrame) ->
     label = F.when(F.length(text) > 22, F.concat(F.substring(text, 1, 22), F.lit("…"))).otherwise(text)
     negated = F.when(F.col("negated"), "negated")
     sure = F.when(F.col("certainty").isin("suspected", "uncertain"), "uncertain").when(F.col("certainty") == "excluded", "excluded")
-    n = nodes.join(F.broadcast(categories), "node_type", "left").select(
+    n = nodes.join(categories, "node_type", "left").select(
         "case_id", "section_index", F.lit("node").alias("kind"), F.col("node_id").alias("id"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("target"),
         F.concat(F.when(F.col("negated"), "¬ ").otherwise(""), label).alias("label"), F.concat_ws(" ", F.concat(F.lit("node ntype-"), F.coalesce("category", F.lit("unknown"))), negated, sure).alias("classes"))
     e = edges.select(

@@ -1,8 +1,8 @@
 """Notes as they arrive: the same sections from a stream of files.
 
-Each micro-batch is keyed, deduplicated within itself and against the texts already written, labelled and
-appended. The notes' own operators have no state across notes, so a batch job on each micro-batch is all
-that is needed; the sink's text hashes make a repeated delivery harmless.
+The stream is keyed and deduplicated by the text's hash in Spark's state store, so neither the sink nor other
+notes are read again. The notes' own operators have no state across notes: a batch job labels each micro-batch, and
+writes it to the batch's own partition of the sink, which a repeated batch overwrites.
 """
 
 from __future__ import annotations
@@ -12,19 +12,17 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from noteweave.jobs.notes_to_chunks import labelled_sentences
 from noteweave.operators.sections import build_sections
-from noteweave.sources.notes import dedupe_cases, keyed, validate_cases
+from noteweave.sources.notes import keyed, validate_cases
 from noteweave.sources.packs import Pack
 
 
 def stream_sections(spark: SparkSession, source: str, sink: str, checkpoint: str, pack: Pack, trigger: dict | None = None) -> StreamingQuery:
-    """Appends the sections of new ``*.txt`` notes under ``source`` to the Parquet table ``sink``."""
+    """Adds the sections of new ``*.txt`` notes under ``source`` to the Parquet table ``sink``, partitioned by
+    ``batch``."""
     raw = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.txt").load(source).selectExpr("value AS raw_text", "_metadata.file_name AS source_file")
+    new = validate_cases(keyed(raw))[0].dropDuplicates(["text_hash"])
 
     def put(batch: DataFrame, number: int) -> None:
-        notes = dedupe_cases(validate_cases(keyed(batch))[0])
-        if number:
-            known = batch.sparkSession.read.parquet(sink).select("text_hash").distinct()
-            notes = notes.join(known, "text_hash", "left_anti")
-        build_sections(labelled_sentences(notes, pack)).write.mode("append").parquet(sink)
+        build_sections(labelled_sentences(batch, pack)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    return raw.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return new.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

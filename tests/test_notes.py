@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from noteweave.functions import spans as SP
 from noteweave.functions import text as TX
 from noteweave.jobs import graphs as G
-from noteweave.operators import anchor, annotate, chunks, labels, merge, model, normalize, overrides, sections, sentences, validate
+from noteweave.operators import anchor, annotate, chunks, labels, merge, model, normalize, overrides, requests, sections, sentences, validate
 from noteweave.sources import notes
 from noteweave.sources.packs import GENERIC, GENERIC_EDGES, ZH_CLINICAL, endpoint_rules
 
@@ -95,11 +95,20 @@ def proposals(spark, *texts):
 
 
 def test_alignment_and_gap_fill(spark):
-    s = section(spark, "咳嗽3天，发热。", 10)
-    good, bad = chunks.align_proposals(s, proposals(spark, "咳嗽3天；", "发热", "没有"))
-    assert sorted(rows(good, "start", "end")) == [(10, 15), (15, 17)] and [r.text for r in bad.collect()] == ["没有"]
-    full = chunks.fill_gaps(good.select("text_hash", "section_index", "start", "end", "chunk_type", "standalone_summary"), s, "clinical_state")
-    assert sorted(rows(full, "start", "end", "auto_filled")) == [(10, 15, False), (15, 17, False), (17, 18, True)]
+    text = "咳嗽3天，发热。其后一直在家休养未再就诊也没有服用任何药物。"
+    s = section(spark, text, 10)
+    good, bad = chunks.align_proposals(s, proposals(spark, "咳嗽3天；", "发热", "没有别的"))
+    assert sorted(rows(good, "start", "end")) == [(10, 15), (15, 17)] and [r.text for r in bad.collect()] == ["没有别的"]
+    full = chunks.build_chunks(s, proposals(spark, "咳嗽3天；", "发热", "没有别的"))
+    assert sorted(rows(full, "start_char", "end_char", "auto_filled", "standalone_summary")) == [(10, 15, False, "s0"), (15, 17, False, "s1"), (17, 10 + len(text), True, chunks.TAIL_SUMMARY)]
+
+
+def test_chunks_of_a_long_note(spark):
+    lines = [f"line {i} of a very long note" for i in range(20_000)]
+    text = "\n".join(lines)
+    df = spark.createDataFrame([("h", 1, i, t, "t", "s") for i, t in enumerate(lines) if i % 2], "text_hash string, section_index int, chunk_index int, text string, chunk_type string, standalone_summary string")
+    out = sorted(rows(chunks.build_chunks(section(spark, text), df), "start_char", "end_char", "text", "auto_filled"))
+    assert all(text[a:b] == t for a, b, t, _ in out) and len(out) == 20_000 and sum(x[3] for x in out) == 10_000
 
 
 def test_overlaps_merge_and_tail(spark):
@@ -311,7 +320,7 @@ def test_model_calls_never_stop_the_job(spark):
         return [{"verdict": t, "verdict_reason": "r"} if t != "odd" else {"x": 1} for t in texts]
 
     df = spark.createDataFrame([("a",), ("boom",), ("odd",), ("a",)], "request string")
-    got = sorted(rows(model.apply_model(df, "request", fn, model.VERDICT), "request", "status", "verdict"), key=repr)
+    got = sorted(rows(model.apply_model(df, "request", fn, requests.VERDICT), "request", "status", "verdict"), key=repr)
     assert got == sorted([("a", "ok", "a"), ("a", "ok", "a"), ("boom", "error", None), ("odd", "error", None)], key=repr)
     assert spark.range(1).select(model.render("{a} of {b}", a=F.lit(1), b=F.lit(None).cast("string")).alias("r")).collect()[0].r == "1 of "
 
@@ -324,6 +333,46 @@ def test_outside_and_nearest(spark):
     assert sorted(rows(near, "at", "near_start")) == [(1, 0), (5, 4)]
 
 
+def test_nearest_and_adjacent_equal_brute_force(spark):
+    rng = random.Random(3)
+    spans = [(rng.choice("ab"), s, s + rng.choice([0, 1, 2, 9, 40]), i) for i, s in enumerate(rng.randrange(120) for _ in range(150))]
+    points = [(rng.choice("abc"), i, rng.randrange(150)) for i in range(200)]
+    s, p = spark.createDataFrame(spans, "k string, start int, end int, pos int"), spark.createDataFrame(points, "k string, id int, at int")
+    want = []
+    for k, i, at in points:
+        fit = [x for x in spans if x[0] == k and x[1] <= at and at - x[2] <= 5]
+        if fit:
+            want.append((i, at, max(fit, key=lambda x: (x[1], x[3]))[3]))
+    assert sorted(rows(SP.nearest_left(p, s, ["k"], "id", 5, "pos"), "id", "at", "near_pos")) == sorted(want)
+    assert sorted(rows(SP.adjacent(s, s, ["k"], 0, 2), "l_pos", "r_pos")) == sorted((x[3], y[3]) for x in spans for y in spans if x[0] == y[0] and 0 <= y[1] - x[2] <= 2)
+
+
+def test_checks_on_nulls_and_repeated_verdicts(spark):
+    c = chunk(spark, "咳嗽 阿司匹林")
+    ns = spark.createDataFrame([node(1, "n1", "SYMPTOM", "咳嗽")], NODES)
+    es = spark.createDataFrame([edge(1, "e1", "ACCOMPANIED_BY", None, "n1"), edge(2, "e2", "ACCOMPANIED_BY", "n1", None), edge(3, "e3", "ACCOMPANIED_BY", "n1", "n1", text=None), edge(4, "e4", "ACCOMPANIED_BY", "n1", "n1", confidence=None)], EDGES)
+    good, bad = validate.drop_dangling(ns, es)
+    assert sorted(rows(bad, "message")) == [("e1 source null",), ("e2 target null",)] and sorted(rows(validate.needs_review(c, good), "edge_id")) == [("e3",), ("e4",)]
+    schema = "chunk_id string, edge_id string, verdict string, verdict_reason string"
+    said = [("c0", "e3", "valid", "z"), ("c0", "e3", "invalid", "a"), ("c0", "e4", "valid", "b")]
+    out, warned = validate.apply_verdicts(good, good, spark.createDataFrame(said, schema))
+    assert rows(out, "edge_id", "low_confidence") == [("e4", False)] and rows(warned, "message") == [("e3 a",)]
+    out, _ = validate.apply_verdicts(good, good, spark.createDataFrame([(*x, i) for i, x in enumerate(reversed(said))], schema + ", pos int"))
+    assert sorted(rows(out, "edge_id", "low_confidence")) == [("e3", False), ("e4", False)]
+
+
+def test_large_lexicon_equals_a_scan(spark):
+    import re
+
+    rng = random.Random(4)
+    terms = sorted({"".join(rng.choice("ab咳") for _ in range(rng.randint(1, 6))) for _ in range(60)} | {"thatthat", "that"})
+    texts = ["".join(rng.choice("ab咳 ") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["thathat thatthatthat", "", "aaaa" * 800]
+    table = spark.createDataFrame([(t, "SIGN", "x") for t in terms], "term string, node_type string, source string")
+    want = sorted((f"c{i}", m.start(), m.end(), t) for i, text in enumerate(texts) for t in terms for m in re.finditer(re.escape(t), text))
+    assert sorted(rows(annotate.large_lexicon_spans(zh(spark, *texts), table), "chunk_id", "start", "end", "text")) == want
+    assert annotate.large_lexicon_spans(zh(spark, *texts), table.filter("false")).collect() == []
+
+
 def test_stream_appends_each_note_once(spark, tmp_path):
     from noteweave.streaming.notes import stream_sections
 

@@ -1,16 +1,27 @@
 """Every query of the core library against its oracle on the smallest tables."""
 
-import os
+import functools
 
 import duckdb
 import pytest
 
+from noteweave.jobs import queries
 from noteweave.jobs.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Slow ones whose tables others test: they run only with ALL_QUERIES set.
-SLOW = {"anchored_edges", "valid_nodes", "digraph", "section_graph_frames", "nested_section_graphs", "coreference_candidates", "overridden_nodes", "status_frame_rows", "section_summaries", "normalized_entities", "auto_filled_chunks", "merged_spans", "nested_case_documents"}
+#: Steps that many queries share, worked out once for the module.
+SHARED = ("_cases", "_settled_chunks", "_analysis", "_overridden", "_graph", "_sections")
+
+
+@pytest.fixture(scope="module", autouse=True)
+def shared_steps():
+    own = {name: getattr(queries, name) for name in SHARED}
+    for name, f in own.items():
+        setattr(queries, name, functools.cache(f))
+    yield
+    for name, f in own.items():
+        setattr(queries, name, f)
 
 
 @pytest.fixture(scope="module")
@@ -23,8 +34,6 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, con, name):
-    if name in SLOW and not os.environ.get("ALL_QUERIES"):
-        pytest.skip("slow")
     got, want = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     cols = sorted(got.columns)
@@ -40,14 +49,16 @@ def test_entry(spark):
 
 def test_results_do_not_depend_on_partitions(spark):
     from noteweave.jobs import graphs as G
+    from noteweave.jobs import standins as X
     from noteweave.operators.annotate import entity_spans
-    from noteweave.sources.packs import GENERIC, GENERIC_EDGES, endpoint_rules
+    from noteweave.sources.clinical import CLINICAL_EDGES
+    from noteweave.sources.packs import GENERIC, endpoint_rules
 
     cases = spark.createDataFrame([("case_a", "with the plation that was for x\nthe that was\nfor that\n\nthe for"), ("case_b", "the that | was for the nation")], "case_id string, raw_text string")
     lines = G.line_chunks(cases)
     seen = []
     for n in (1, 5):
-        out = G.section_graphs(lines.repartition(n), G.checked_graph(lines.repartition(n), GENERIC, endpoint_rules(spark, GENERIC_EDGES)))
+        out = G.section_graphs(lines.repartition(n), G.checked_graph(lines.repartition(n), GENERIC, endpoint_rules(spark, CLINICAL_EDGES), X.proposed_graph, X.rule_verdicts))
         seen.append([sorted(map(repr, out[k].collect())) for k in ("nodes", "edges", "frames")])
         for r in out["nodes"].filter("NOT implicit").collect():
             assert any(r.source_text in t for t in ("with the plation that was for x the that was for that the for the that | was for the nation",))
