@@ -104,11 +104,11 @@ def test_alignment_and_gap_fill(spark):
 
 
 def test_chunks_of_a_long_note(spark):
-    lines = [f"line {i} of a very long note" for i in range(20_000)]
+    lines = [f"line {i} of a very long note" for i in range(4_000)]
     text = "\n".join(lines)
     df = spark.createDataFrame([("h", 1, i, t, "t", "s") for i, t in enumerate(lines) if i % 2], "text_hash string, section_index int, chunk_index int, text string, chunk_type string, standalone_summary string")
     out = sorted(rows(chunks.build_chunks(section(spark, text), df), "start_char", "end_char", "text", "auto_filled"))
-    assert all(text[a:b] == t for a, b, t, _ in out) and len(out) == 20_000 and sum(x[3] for x in out) == 10_000
+    assert all(text[a:b] == t for a, b, t, _ in out) and len(out) == 4_000 and sum(x[3] for x in out) == 2_000
 
 
 def test_overlaps_merge_and_tail(spark):
