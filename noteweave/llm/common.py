@@ -24,11 +24,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The session's ``spark.checkpoint.dir`` names it; only where that is unset, as in
-    tests on one machine, a local temporary folder serves (and is then set).
+    The session's ``spark.checkpoint.dir`` names it. Where that is unset, a local temporary folder serves a
+    local master, as in tests (and is then set); on a cluster that is an error, for executors don't share one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/noteweave-{name}-{uuid.uuid4().hex}"

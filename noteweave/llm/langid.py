@@ -29,7 +29,7 @@ CELLS = 1 << 24
 #: Documents of each language to learn from, at most.
 PER_LANG = 500
 #: Parts that the documents of one language are ranked in.
-SALTS = 64
+SALTS = 16
 SMOOTHING = 0.5
 #: Characters that are scored at once.
 CHUNK = 1 << 20

@@ -79,7 +79,7 @@ def rarest_tokens(urls: DataFrame, url_col: str, rules: tuple[Rule, ...]) -> dic
     """Each rule's literal token that the fewest URLs hold, by the rule's name. Counts only the rules' own
     tokens, so what comes to the driver is no more than those."""
     known = urls.sparkSession.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})], "token string")
-    held = urls.select(F.explode(_tokens(F.col(url_col))).alias("token")).join(known, "token")
+    held = urls.select(F.explode(_tokens(F.col(url_col))).alias("token")).join(F.broadcast(known), "token")  # the caller's rules' tokens
     counts = {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}
     return {r.name: min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t)) for r in rules if r.tokens}
 
