@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noteweave.functions.tables import settled
 from noteweave.operators.overrides import EDGE, NODE, K, highest_number
+from noteweave.sources import clinical as W
 
 IMPLICIT_ID = "n0"
 IMPLICIT_TEXT = "__PATIENT__"
@@ -73,7 +74,7 @@ def reanchor(nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> tuple[Data
     e = edges.join(_types(nodes, "source_node_id", "_st"), [K, "source_node_id"], "left").join(_types(nodes, "target_node_id", "_tt"), [K, "target_node_id"], "left").join(patients(nodes), K, "left")
     e = e.join(source, ["edge_type", "_st"], "left").join(target, ["edge_type", "_tt"], "left")
     move = F.col("edge_type").isin(list(PATIENT_EDGES)) & F.col("_st").isNotNull() & F.col("_source_ok").isNull() & F.coalesce("_patient_ok", F.lit(False)) & F.col("patient_id").isNotNull()
-    note = F.concat(F.lit("代码规则将省略主语的 patient-centric 关系重锚到隐式患者节点；原 source="), F.col("source_node_id"), F.lit("。"), F.coalesce("reasoning", F.lit("")))
+    note = F.concat(F.lit(W.MOVED_REASON[0]), F.col("source_node_id"), F.lit(W.MOVED_REASON[1]), F.coalesce("reasoning", F.lit("")))
     e = e.withColumn("_move", move).withColumn("reasoning", F.when(move, note).otherwise(F.col("reasoning"))).withColumn("_old", F.col("source_node_id")).withColumn("source_node_id", F.when(move, F.col("patient_id")).otherwise(F.col("source_node_id")))
     warned = e.filter("_move").select(K, F.lit("ANCHOR").alias("code"), F.concat(F.col("edge_id"), F.lit(" moved from "), F.col("_old")).alias("message"))
     return e.select(EDGE), warned
@@ -107,7 +108,7 @@ def default_edges(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, rules:
     new = w.select(K, (F.coalesce("last", F.lit(0)) + F.col("_n")).alias("edge_pos"), F.concat(F.lit("e_anchor_"), (F.coalesce("top", F.lit(0)) + F.col("_n")).cast("string")).alias("edge_id"), "edge_type",
                    F.col("patient_id").alias("source_node_id"), F.col("node_id").alias("target_node_id"), (F.col("negated") | no).alias("negated"), F.when(no, "excluded").otherwise(F.col("certainty")).alias("certainty"),
                    F.lit(None).cast("string").alias("context"), F.when(F.length("_t") <= EVIDENCE_MOST, F.col("_t")).otherwise(F.col("source_text")).alias("source_text"),
-                   F.concat(F.lit("代码规则："), F.col("node_type"), F.lit(" 节点默认归属于病例主体，补充患者锚点关系。")).alias("reasoning"), F.lit(0.9).alias("confidence"))
+                   F.concat(F.lit(W.ANCHOR_REASON[0]), F.col("node_type"), F.lit(W.ANCHOR_REASON[1])).alias("reasoning"), F.lit(0.9).alias("confidence"))
     return edges.select(EDGE).unionByName(new)
 
 

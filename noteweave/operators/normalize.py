@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from noteweave.functions.spans import adjacent, first_of
 from noteweave.functions.text import matches
+from noteweave.sources import clinical as W
 from noteweave.sources.packs import Pack
 
 #: Characters that a left extension of an entity is made of, and how many of them.
@@ -56,10 +57,10 @@ def insert_missing(entities: DataFrame, chunks: DataFrame, protected: DataFrame,
     made = lambda df, text, order, note: df.select(key, order.alias("pos"), text.alias("text"), note.alias("description"), F.lit(False).alias("negated"), F.lit("confirmed").alias("certainty"))
     subject = chunks.filter(F.contains(F.col("text"), F.lit(pack.subject))).select(key).join(status.select(key).distinct(), key, "left_semi")
     asked = [
-        made(protected, F.col("text"), F.lit(_BIG) + F.col("pos"), F.concat(F.lit("受保护医学实体边界，类型倾向为 "), F.col("node_type"), F.lit("，不得再拆分。"))),
-        made(subject, F.lit(pack.subject), F.lit(2 * _BIG), F.lit("本段一般状态记录所描述的病例主体。")),
-        made(status, F.col("item_text"), F.lit(3 * _BIG) + F.col("pos") * 2, F.lit("一般状态观察项目。")),
-        made(status, F.col("value_text"), F.lit(3 * _BIG + 1) + F.col("pos") * 2, F.lit("一般状态观察项目的取值。")),
+        made(protected, F.col("text"), F.lit(_BIG) + F.col("pos"), F.concat(F.lit(W.PROTECTED_NOTE[0]), F.col("node_type"), F.lit(W.PROTECTED_NOTE[1]))),
+        made(subject, F.lit(pack.subject), F.lit(2 * _BIG), F.lit(W.SUBJECT_NOTE)),
+        made(status, F.col("item_text"), F.lit(3 * _BIG) + F.col("pos") * 2, F.lit(W.ITEM_NOTE)),
+        made(status, F.col("value_text"), F.lit(3 * _BIG + 1) + F.col("pos") * 2, F.lit(W.VALUE_NOTE)),
     ]
     wanted = first_of(reduce(DataFrame.unionByName, asked), [key, "text"], ["pos"])
     return entities.unionByName(wanted.join(entities.select(key, "text"), [key, "text"], "left_anti").select(entities.columns))
@@ -79,9 +80,9 @@ def add_relations(relations: DataFrame, entities: DataFrame, protected: DataFram
     item, value, s = F.col("item_text"), F.col("value_text"), F.lit(pack.subject)
     known = status.join(entities.filter(F.col("text") == pack.subject).select(key).distinct(), key, "left_semi")
     more = [
-        made(known, s, item, F.concat(F.lit("患者有一般状态观察项目："), item, F.lit("。")), F.col("evidence_text"), F.lit(_BIG) + F.col("pos") * 2),
-        made(status, item, value, F.concat(item, F.lit("的状态取值为"), value, F.lit("。")), F.col("evidence_text"), F.lit(_BIG + 1) + F.col("pos") * 2),
-        made(body_site_pairs(protected, key), F.col("r_text"), F.col("l_text"), F.concat(F.col("r_text"), F.lit("涉及的解剖部位是"), F.col("l_text"), F.lit("。")), F.concat("l_text", "r_text"), F.lit(2 * _BIG) + F.col("r_pos") * 1000 + F.col("l_pos")),
+        made(known, s, item, F.concat(F.lit(W.HAS_ITEM[0]), item, F.lit(W.HAS_ITEM[1])), F.col("evidence_text"), F.lit(_BIG) + F.col("pos") * 2),
+        made(status, item, value, F.concat(item, F.lit(W.HAS_VALUE[0]), value, F.lit(W.HAS_VALUE[1])), F.col("evidence_text"), F.lit(_BIG + 1) + F.col("pos") * 2),
+        made(body_site_pairs(protected, key), F.col("r_text"), F.col("l_text"), F.concat(F.col("r_text"), F.lit(W.HAS_SITE[0]), F.col("l_text"), F.lit(W.HAS_SITE[1])), F.concat("l_text", "r_text"), F.lit(2 * _BIG) + F.col("r_pos") * 1000 + F.col("l_pos")),
     ]
     return first_of(reduce(DataFrame.unionByName, [relations, *more]), [key, "subject_text", "object_text", "relation"], ["pos"])
 

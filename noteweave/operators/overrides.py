@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from noteweave.functions.spans import first_of, nearest_left
 from noteweave.functions.tables import settled
 from noteweave.operators.normalize import body_site_pairs
+from noteweave.sources import clinical as W
 
 K = "chunk_id"
 EDGE = ["chunk_id", "edge_pos", "edge_id", "edge_type", "source_node_id", "target_node_id", "negated", "certainty", "context", "source_text", "reasoning", "confidence"]
@@ -88,7 +89,7 @@ def site_edges(nodes: DataFrame, protected: DataFrame) -> DataFrame:
     """Wanted edges from a procedure to the body site before it."""
     pairs = body_site_pairs(protected).join(_by_text(nodes, "r_text", "source_node_id"), [K, "r_text"]).join(_by_text(nodes, "l_text", "target_node_id"), [K, "l_text"])
     return pairs.select(K, F.lit("LOCALIZES_TO").alias("edge_type"), "source_node_id", "target_node_id", F.concat("l_text", "r_text").alias("source_text"),
-                        F.lit("代码规则：部位 + 受保护医学实体，补充操作与部位的定位关系。").alias("reasoning"), F.lit(0.92).alias("confidence"), (F.col("r_pos") * 1000 + F.col("l_pos")).cast("bigint").alias("ord"))
+                        F.lit(W.SITE_REASON).alias("reasoning"), F.lit(0.92).alias("confidence"), (F.col("r_pos") * 1000 + F.col("l_pos")).cast("bigint").alias("ord"))
 
 
 def bounded_evidence(text: Column, left: Column, right: Column) -> Column:
@@ -107,7 +108,7 @@ def time_edges(nodes: DataFrame, protected: DataFrame, chunks: DataFrame) -> Dat
     near = nearest_left(points, times, [K], "pos", TIME_REACH, "node_pos")
     near = near.join(protected.select(K, "pos", "text"), [K, "pos"]).join(_by_text(nodes, "text", "source_node_id"), [K, "text"]).join(chunks.select(K, F.col("text").alias("_t")), K)
     return near.select(K, F.lit("OCCURS_AT").alias("edge_type"), "source_node_id", F.col("near_node_id").alias("target_node_id"), bounded_evidence(F.col("_t"), F.col("near_time_text"), F.col("text")).alias("source_text"),
-                       F.lit("代码规则：时间参照位于受保护操作实体左侧，补充操作发生时间。").alias("reasoning"), F.lit(0.94).alias("confidence"), (F.lit(10_000_000) + F.col("pos")).cast("bigint").alias("ord"))
+                       F.lit(W.TIME_REASON).alias("reasoning"), F.lit(0.94).alias("confidence"), (F.lit(10_000_000) + F.col("pos")).cast("bigint").alias("ord"))
 
 
 def stale_status(nodes: DataFrame, status: DataFrame) -> DataFrame:
@@ -131,7 +132,7 @@ def _status_ends(nodes: DataFrame, status: DataFrame) -> DataFrame:
 
 def status_edges(nodes: DataFrame, status: DataFrame) -> DataFrame:
     return _status_ends(nodes, status).select(K, F.lit("STATUS_VALUE_IS").alias("edge_type"), "source_node_id", "target_node_id", F.col("evidence_text").alias("source_text"),
-                                              F.lit("代码规则：一般状态断言标准化为 item-value 结构。").alias("reasoning"), F.lit(0.98).alias("confidence"), F.col("pos").cast("bigint").alias("ord"))
+                                              F.lit(W.STATUS_REASON).alias("reasoning"), F.lit(0.98).alias("confidence"), F.col("pos").cast("bigint").alias("ord"))
 
 
 def status_frames(nodes: DataFrame, edges: DataFrame, status: DataFrame) -> DataFrame:
