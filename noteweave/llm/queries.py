@@ -1,6 +1,6 @@
 """The subpackage's queries and oracles, by name."""
 
-from noteweave.llm import bpe, chat, decontam, langid, neardup, pii, quality, substring, suffix, urls
+from noteweave.llm import bpe, chat, decontam, langid, neardup, pii, quality, substring, suffix, urls, variants
 
 QUERIES = {
     "op1_minhash_dedup": neardup.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_byte_bpe": bpe.query,
     "op9_suffix_array": suffix.query,
     "op10_url_filter": urls.query,
+    "op11_spelling_variants": variants.query,
 }
 ORACLES = {
     "op1_minhash_dedup": neardup.oracle(),
@@ -21,4 +22,5 @@ ORACLES = {
     "op4_quality_rules": quality.oracle(),
     "op9_suffix_array": suffix.oracle(),
     "op10_url_filter": urls.oracle(),
+    "op11_spelling_variants": variants.oracle(),
 }
