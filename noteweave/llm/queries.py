@@ -1,6 +1,6 @@
 """The subpackage's queries and oracles, by name."""
 
-from noteweave.llm import bpe, chat, decontam, langid, neardup, pii, quality, substring, suffix, urls, variants
+from noteweave.llm import bpe, chat, crosstok, decontam, langid, neardup, pii, quality, substring, suffix, urls, variants
 
 QUERIES = {
     "op1_minhash_dedup": neardup.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_suffix_array": suffix.query,
     "op10_url_filter": urls.query,
     "op11_spelling_variants": variants.query,
+    "op12_cross_tokenizer": crosstok.query,
 }
 ORACLES = {
     "op1_minhash_dedup": neardup.oracle(),
