@@ -1,6 +1,6 @@
 """The subpackage's queries and oracles, by name."""
 
-from noteweave.llm import bpe, chat, crosstok, decontam, langid, neardup, pii, quality, substring, suffix, urls, variants
+from noteweave.llm import bpe, chat, crosstok, decontam, langid, neardup, pii, quality, secretscan, substring, suffix, urls, variants
 
 QUERIES = {
     "op1_minhash_dedup": neardup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_url_filter": urls.query,
     "op11_spelling_variants": variants.query,
     "op12_cross_tokenizer": crosstok.query,
+    "op13_secret_scan": secretscan.query,
 }
 ORACLES = {
     "op1_minhash_dedup": neardup.oracle(),
