@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noteweave.functions.tables import settled
 from noteweave.functions.text import is_blank
-from noteweave.operators import anchor, merge, overrides, validate
-from noteweave.operators.annotate import entity_spans, status_assertions
+from noteweave.operators import chunk_graph as C
+from noteweave.operators import merge, section_graph
 from noteweave.sources.packs import Pack
 
 K = "chunk_id"
@@ -25,29 +24,37 @@ def line_chunks(cases: DataFrame) -> DataFrame:
                        F.when(n % 7 == 0, "diagnosis_entry").otherwise("clinical_state").alias("chunk_type"))
 
 
-def checked_graph(chunks: DataFrame, pack: Pack, rules: DataFrame, propose: Callable[..., tuple[DataFrame, DataFrame]], review_with: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
-    """Chunks to overridden, anchored, validated and reviewed chunk graphs: ``nodes, edges, frames, warnings``.
-    ``propose`` makes nodes and edges from chunks, entities and status rows, ``review_with`` verdicts on doubtful edges."""
-    chunks = settled(chunks, "chunks")
-    entities, status = settled(entity_spans(chunks, pack), "entities"), settled(status_assertions(chunks, pack), "status")
-    nodes, edges = propose(chunks, entities, status)
-    nodes, edges = settled(nodes, "nodes"), settled(edges, "edges")
-    nodes, edges, frames, w0 = overrides.apply_overrides(chunks, nodes, edges, entities, status)
-    nodes, edges, w1 = anchor.anchor(chunks, nodes, edges, rules)
-    checked, w2 = validate.check_nodes(chunks, nodes)
-    nodes = settled(checked, "nodes")
-    attached, w3 = validate.drop_dangling(nodes, edges)
-    attached = settled(attached, "edges")
-    legal, w4 = validate.check_endpoints(nodes, attached, rules)
-    legal = settled(legal, "edges")
-    review = settled(validate.needs_review(chunks, legal), "review")
-    edges, w5 = validate.apply_verdicts(legal, review, review_with(review))
-    edges = settled(edges, "edges")
-    return {"nodes": nodes, "edges": edges, "frames": frames, "warnings": reduce(DataFrame.unionByName, (w0, w1, w2, w3, w4, w5))}
+def from_tables(propose: Callable[..., tuple[DataFrame, DataFrame]]) -> Callable[[DataFrame], DataFrame]:
+    """A function on annotated chunks from one that makes tables of nodes and edges from chunks, entities and status rows."""
+    def proposed(chunks: DataFrame) -> DataFrame:
+        nodes, edges = propose(chunks.drop("entities", "status"), C.rows_of(chunks, "entities"), C.rows_of(chunks, "status"))
+        return C.with_arrays(chunks, nodes=C.nested(nodes, "nodes", C.NODE_TYPE), edges=C.nested(edges, "edges", C.EDGE_TYPE))
+
+    return proposed
+
+
+def checked_rows(chunks: DataFrame, pack: Pack, rules: C.Rules, propose: Callable[[DataFrame], DataFrame], review_with: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Chunks to overridden, anchored, validated and reviewed chunk graphs, one row each. ``propose`` adds ``nodes`` and
+    ``edges`` to annotated chunks, ``review_with`` makes verdicts on a table of doubtful edges. Up to the review it is
+    one projection; the verdicts come back by a join on the chunk."""
+    graphs = settled(C.validated(C.anchored(C.overridden(propose(C.annotated(chunks, pack))), rules), rules), "graphs")
+    return settled(C.reviewed(C.with_arrays(graphs, verdicts=C.nested_verdicts(review_with(C.for_review(graphs))))), "reviewed")
+
+
+def checked_graph(chunks: DataFrame, pack: Pack, rules: C.Rules, propose: Callable[[DataFrame], DataFrame], review_with: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """``checked_rows`` as tables: ``nodes, edges, frames, warnings``, and the ``rows`` themselves."""
+    rows = checked_rows(chunks, pack, rules, propose, review_with)
+    return {"rows": rows} | {name: C.rows_of(rows, name) for name in ("nodes", "edges", "frames", "warnings")}
+
+
+def merged_sections(rows: DataFrame) -> dict[str, DataFrame]:
+    """Chunk graphs in rows to section graphs: ``nodes, edges, frames``. One shuffle, by section."""
+    sections = settled(section_graph.section_rows(rows), "section_graphs")
+    return {name: section_graph.rows_of(sections, name) for name in ("nodes", "edges", "frames")}
 
 
 def section_graphs(chunks: DataFrame, graph: dict[str, DataFrame], coreference: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Chunk graphs to section graphs: ``nodes, edges, frames``."""
+    """Chunk graphs in tables to section graphs, with verdicts on coreference where there are some: ``nodes, edges, frames``."""
     order = merge.graph_order(chunks)
     order = settled(order, "order")
     resolved = settled(merge.resolve_entities(merge.collect_nodes(graph["nodes"], order)), "resolved")

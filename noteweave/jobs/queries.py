@@ -14,18 +14,18 @@ from noteweave.jobs import oracle_graph as O
 from noteweave.jobs import oracle_sql as S
 from noteweave.jobs import standins as X
 from noteweave.operators import annotate as A
+from noteweave.operators import chunk_graph as CG
 from noteweave.operators import chunks as C
 from noteweave.operators import labels, sections, sentences
 from noteweave.operators import merge as M
 from noteweave.operators import model as U
 from noteweave.operators import requests as Q
 from noteweave.operators import normalize as I
-from noteweave.operators import overrides as J
 from noteweave.operators import report as R
 from noteweave.operators import validate as L
 from noteweave.sources import notes
 from noteweave.sources.clinical import CLINICAL_EDGES, NODE_TYPES
-from noteweave.sources.packs import GENERIC, dimension, endpoint_rules
+from noteweave.sources.packs import GENERIC, dimension
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -353,16 +353,9 @@ def adjacent_site_pairs(spark, sf_dir):
 # ---------------------------------------------------------------- overrides, anchor, checks
 
 
-def _rules(spark):
-    return endpoint_rules(spark, CLINICAL_EDGES)
-
-
 def _overridden(spark, sf_dir):
-    c = _settled_chunks(spark, sf_dir)
-    ent, stat = settled(A.entity_spans(c, GENERIC), "entities"), settled(A.status_assertions(c, GENERIC), "status")
-    nodes, edges = X.proposed_graph(c, ent, stat)
-    nodes, edges = settled(nodes, "nodes"), settled(edges, "edges")
-    return c, J.apply_overrides(c, nodes, edges, ent, stat)
+    """Chunks with their graphs after the overrides, in rows."""
+    return settled(CG.overridden(X.proposed_rows(CG.annotated(_chunks(spark, sf_dir), GENERIC))), "overridden")
 
 
 _N = "chunk_id, node_pos, node_id, node_type, source_text, negated, certainty, implicit"
@@ -372,12 +365,12 @@ _E = "chunk_id, edge_pos, edge_id, edge_type, src AS source_node_id, tgt AS targ
 
 @query(f"WITH {O.OVERRIDES} SELECT {_N} FROM n5")
 def overridden_nodes(spark, sf_dir):
-    return _overridden(spark, sf_dir)[1][0]
+    return CG.rows_of(_overridden(spark, sf_dir), "nodes")
 
 
 @query(f"WITH {O.OVERRIDES} SELECT {_E} FROM e4")
 def overridden_edges(spark, sf_dir):
-    return _overridden(spark, sf_dir)[1][1].select(_EC)
+    return CG.rows_of(_overridden(spark, sf_dir), "edges").select(_EC)
 
 
 @query(f"""WITH {O.OVERRIDES}, fr AS (SELECT s.chunk_id, s.pos, s.context_text, w.src, w.tgt, e.edge_id FROM stat s JOIN wstat w ON w.chunk_id = s.chunk_id AND w.ord = s.pos LEFT JOIN e4 e ON e.chunk_id = w.chunk_id AND e.edge_type = 'STATUS_VALUE_IS' AND e.src = w.src AND e.tgt = w.tgt)
@@ -385,31 +378,27 @@ SELECT chunk_id, chunk_id || '_frame_status_1' AS frame_id, min(context_text) AS
        (SELECT string_agg(DISTINCT x, ',' ORDER BY x) FROM (SELECT unnest([f2.src, f2.tgt]) AS x FROM fr f2 WHERE f2.chunk_id = fr.chunk_id)) AS node_list
 FROM fr GROUP BY chunk_id HAVING min(context_text) IS NOT NULL""")
 def status_frame_rows(spark, sf_dir):
-    f = _overridden(spark, sf_dir)[1][2]
+    f = CG.rows_of(_overridden(spark, sf_dir), "frames")
     return f.select("chunk_id", "frame_id", "source_text", F.concat_ws(",", "edge_ids").alias("edge_list"), F.concat_ws(",", "node_ids").alias("node_list"))
 
 
 def _graph(spark, sf_dir):
-    c = _settled_chunks(spark, sf_dir)
-    return c, G.checked_graph(c, GENERIC, _rules(spark), X.proposed_graph, X.rule_verdicts)
+    return G.checked_graph(_chunks(spark, sf_dir), GENERIC, CLINICAL_EDGES, X.proposed_rows, X.rule_verdicts)
 
 
 @query(f"WITH {O.ANCHOR} SELECT {_E} FROM e6")
 def anchored_edges(spark, sf_dir):
-    from noteweave.operators.anchor import anchor
-
-    c, (nodes, edges, _, _) = _overridden(spark, sf_dir)
-    return anchor(c, nodes, edges, _rules(spark))[1].select(_EC)
+    return CG.rows_of(CG.anchored(_overridden(spark, sf_dir), CLINICAL_EDGES), "edges").select(_EC)
 
 
 @query(f"WITH {O.VALID} SELECT {_N} FROM n7")
 def valid_nodes(spark, sf_dir):
-    return _graph(spark, sf_dir)[1]["nodes"]
+    return _graph(spark, sf_dir)["nodes"]
 
 
 @query(f"WITH {O.VALID} SELECT {_E}, low_confidence FROM e9")
 def valid_edges(spark, sf_dir):
-    return _graph(spark, sf_dir)[1]["edges"].select(*_EC, "low_confidence")
+    return _graph(spark, sf_dir)["edges"].select(*_EC, "low_confidence")
 
 
 @query(f"""WITH {O.VALID} SELECT code, count(*) AS n FROM (
@@ -417,7 +406,7 @@ def valid_edges(spark, sf_dir):
  UNION ALL SELECT 'HARD-dangling' FROM dg WHERE reason IS NOT NULL UNION ALL SELECT 'HARD-endpoint' FROM ep WHERE NOT legal
  UNION ALL SELECT CASE v WHEN 'invalid' THEN 'SOFT-invalid' ELSE 'SOFT-low_conf' END FROM vd WHERE v <> 'valid') GROUP BY code""")
 def warning_counts(spark, sf_dir):
-    return L.warning_counts(_graph(spark, sf_dir)[1]["warnings"])
+    return L.warning_counts(_graph(spark, sf_dir)["warnings"])
 
 
 @query("""SELECT o_orderkey, o_custkey, CASE WHEN NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment <> 'BUILDING') THEN 'source' ELSE 'target' END AS missing_end FROM orders
@@ -454,8 +443,8 @@ def containment_pairs(spark, sf_dir):
 
 @query(f"WITH {O.MERGE} SELECT DISTINCT a.case_id, a.section_index, a.source_text AS short_text, b.source_text AS long_text FROM mn a JOIN mn b ON a.case_id = b.case_id AND a.section_index = b.section_index AND a.source_text <> b.source_text AND contains(b.source_text, a.source_text) AND length(b.source_text) - length(a.source_text) <= 4")
 def coreference_candidates(spark, sf_dir):
-    c, g = _graph(spark, sf_dir)
-    return M.coreference_candidates(M.collect_nodes(g["nodes"], M.graph_order(c)))
+    g = _graph(spark, sf_dir)
+    return M.coreference_candidates(M.collect_nodes(g["nodes"], M.graph_order(g["rows"])))
 
 
 @query(f"""WITH RECURSIVE {O.MERGE},
@@ -469,32 +458,31 @@ folded AS (SELECT case_id, section_index, source_text, arg_min(now, k) AS now FR
 SELECT rs.case_id, rs.section_index, tmp AS tmp_id, coalesce(fb.canon, rs.canon) AS canonical FROM rs LEFT JOIN folded f ON f.case_id = rs.case_id AND f.section_index = rs.section_index AND f.source_text = rs.source_text
 LEFT JOIN fb ON fb.case_id = f.case_id AND fb.section_index = f.section_index AND fb.source_text = f.now""")
 def coreference_folded(spark, sf_dir):
-    c, g = _graph(spark, sf_dir)
-    resolved = M.resolve_entities(M.collect_nodes(g["nodes"], M.graph_order(c)))
+    g = _graph(spark, sf_dir)
+    resolved = M.resolve_entities(M.collect_nodes(g["nodes"], M.graph_order(g["rows"])))
     verdicts = M.coreference_candidates(resolved).withColumn("are_coreferent", F.length("long_text") % 2 == 0)
     return M.apply_coreference(resolved, verdicts).select("case_id", "section_index", "tmp_id", "canonical")
 
 
 def _sections(spark, sf_dir):
-    c, g = _graph(spark, sf_dir)
-    return c, g, G.section_graphs(c, g)
+    return G.merged_sections(_graph(spark, sf_dir)["rows"])
 
 
 @query(f"WITH {O.MERGE} SELECT can.case_id, can.section_index, can.node_id, node_type, source_text, negated, certainty, implicit, chunk_ids, merged_from FROM can JOIN mem USING (case_id, section_index, canon)")
 def section_graph_nodes(spark, sf_dir):
-    n = _sections(spark, sf_dir)[2]["nodes"]
+    n = _sections(spark, sf_dir)["nodes"]
     return n.withColumns({"chunk_ids": F.concat_ws(",", "chunk_ids"), "merged_from": F.concat_ws(",", "merged_from")})
 
 
 @query(f"WITH {O.MERGE} SELECT case_id, section_index, format('{{}}_sec{{:03d}}_ed{{:04d}}', case_id, section_index, no) AS edge_id, edge_type, gs AS source_node_id, gt AS target_node_id, negated, certainty, source_text, reasoning, confidence, low_confidence, chunk_ids FROM se")
 def section_graph_edges(spark, sf_dir):
-    e = _sections(spark, sf_dir)[2]["edges"]
+    e = _sections(spark, sf_dir)["edges"]
     return e.drop("edge_no", "context").withColumn("chunk_ids", F.concat_ws(",", "chunk_ids"))
 
 
 @query(f"WITH {O.MERGE} SELECT case_id, section_index, gs AS source_node_id, gt AS target_node_id, arg_max(edge_type, no) AS edge_type, arg_max(confidence, no) AS confidence FROM se GROUP BY case_id, section_index, gs, gt")
 def digraph(spark, sf_dir):
-    return M.digraph_edges(_sections(spark, sf_dir)[2]["edges"]).select("case_id", "section_index", "source_node_id", "target_node_id", "edge_type", "confidence")
+    return M.digraph_edges(_sections(spark, sf_dir)["edges"]).select("case_id", "section_index", "source_node_id", "target_node_id", "edge_type", "confidence")
 
 
 _FR = f"""WITH {O.MERGE},
@@ -509,7 +497,7 @@ frs AS (SELECT f.case_id, f.section_index, f.chunk_id || '_frame_status_1_sec_'
 
 @query(_FR + " SELECT * FROM frs WHERE node_ids IS NOT NULL")
 def section_graph_frames(spark, sf_dir):
-    f = _sections(spark, sf_dir)[2]["frames"]
+    f = _sections(spark, sf_dir)["frames"]
     return f.select("case_id", "section_index", "frame_id", "source_text", F.concat_ws(",", "node_ids").alias("node_ids"), F.concat_ws(",", "edge_ids").alias("edge_ids"))
 
 
@@ -517,7 +505,7 @@ def section_graph_frames(spark, sf_dir):
  (SELECT count(*) FROM se WHERE se.case_id = can.case_id AND se.section_index = can.section_index) AS n_edges, (SELECT count(*) FROM se WHERE se.case_id = can.case_id AND se.section_index = can.section_index AND low_confidence) AS n_low_confidence,
  (SELECT count(*) FROM frs WHERE frs.case_id = can.case_id AND frs.section_index = can.section_index AND node_ids IS NOT NULL) AS n_frames FROM can GROUP BY case_id, section_index""")
 def section_summaries(spark, sf_dir):
-    g = _sections(spark, sf_dir)[2]
+    g = _sections(spark, sf_dir)
     return M.section_summary(g["nodes"], g["edges"], g["frames"])
 
 
@@ -567,7 +555,7 @@ def nested_case_documents(spark, sf_dir):
 
 @query(_FR + """ SELECT can.case_id, can.section_index, count(*) AS n_nodes, min(node_id) AS first_node, (SELECT count(*) FROM se WHERE se.case_id = can.case_id AND se.section_index = can.section_index) AS n_edges FROM can GROUP BY can.case_id, can.section_index""")
 def nested_section_graphs(spark, sf_dir):
-    g = _sections(spark, sf_dir)[2]
+    g = _sections(spark, sf_dir)
     d = notes.section_graph_documents(g["nodes"], g["edges"], g["frames"])
     return d.select("case_id", "section_index", F.size("nodes").cast("bigint").alias("n_nodes"), F.expr("nodes[0].node_id").alias("first_node"), F.coalesce(F.size("edges"), F.lit(0)).cast("bigint").alias("n_edges"))
 
@@ -582,7 +570,7 @@ SELECT case_id, section_index, 'node' AS kind, node_id AS id, CASE WHEN negated
 UNION ALL SELECT case_id, section_index, 'edge', format('{{}}_sec{{:03d}}_ed{{:04d}}', case_id, section_index, no), CASE WHEN negated THEN '¬ ' WHEN low_confidence THEN '? ' ELSE '' END || edge_type,
        'edge' || CASE WHEN negated THEN ' negated' ELSE '' END || CASE WHEN low_confidence THEN ' low-conf' ELSE '' END FROM se""")
 def viewer_elements(spark, sf_dir):
-    g = _sections(spark, sf_dir)[2]
+    g = _sections(spark, sf_dir)
     return notes.graph_elements(g["nodes"], g["edges"], spark.createDataFrame(_CAT, "node_type string, category string")).select("case_id", "section_index", "kind", "id", "label", "classes")
 
 
@@ -594,7 +582,7 @@ cnt AS (SELECT 'node' AS kind, node_type AS name, count(*) AS n FROM can GROUP B
 SELECT kind, name, CAST(coalesce(n, 0) AS BIGINT) AS n FROM dim FULL JOIN cnt USING (kind, name)""")
 def graph_type_dictionary(spark, sf_dir):
     """Every node and edge type of the clinical schema with its count in the section graphs, and any other."""
-    g = _sections(spark, sf_dir)[2]
+    g = _sections(spark, sf_dir)
     return R.type_counts(spark.createDataFrame(_TYPES, "kind string, name string"), node=(g["nodes"], "node_type"), edge=(g["edges"], "edge_type"))
 
 
@@ -606,7 +594,7 @@ def case_graph_statistics(spark, sf_dir):
     both = N.labelled_sentences(cases, GENERIC)
     keys, none = ["case_id", "index"], F.lit("")
     overlaid = labels.overlay_labels(both.select(*keys, F.coalesce("rule_label", none).alias("section_id"), none.alias("reasoning")), both.select(*keys, "section_id", none.alias("reasoning"), F.lit(0).alias("pos")))
-    g = _sections(spark, sf_dir)[2]
+    g = _sections(spark, sf_dir)
     return R.case_stats(cases, "case_id", changed=overlaid.filter("changed_in_review"), nodes=g["nodes"], edges=g["edges"])
 
 
@@ -697,6 +685,7 @@ def coreference_by_model(spark, sf_dir):
 SELECT chunk_id, edge_id, 'ok' AS status, CASE WHEN n % 3 = 0 THEN 'low_confidence' ELSE 'valid' END AS verdict, 'length ' || n AS verdict_reason FROM r""")
 def reviewed_by_model(spark, sf_dir):
     """The batch call: doubtful edges as requests to a stand-in, its verdicts joined back."""
-    c, g = _graph(spark, sf_dir)
+    g = _graph(spark, sf_dir)
+    c = g["rows"].select("chunk_id", "text")
     asked = Q.edge_requests(L.needs_review(c, g["edges"].drop("low_confidence")), c, "{edge} by {evidence} at {confidence} in: {chunk}")
     return U.apply_model(asked, "request", X.verdict, Q.VERDICT).select("chunk_id", "edge_id", "status", "verdict", "verdict_reason")

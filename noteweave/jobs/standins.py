@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from noteweave.functions.arrays import firsts
 from noteweave.functions.spans import islands
+from noteweave.operators.chunk_graph import EDGE_TYPE, NODE_TYPE
 
 K = "chunk_id"
 
@@ -61,6 +63,38 @@ def proposed_graph(chunks: DataFrame, entities: DataFrame, status: DataFrame) ->
     return nodes, edges.unionByName(lost)
 
 
+def proposed_rows(chunks: DataFrame) -> DataFrame:
+    """``proposed_graph`` on chunks with their annotations in the row (``chunk_graph.annotated``): ``nodes`` and ``edges`` beside them."""
+    first = firsts(F.col("entities"), lambda e: e["text"], lambda e: e["pos"])
+    base = F.transform(first, lambda e: F.struct(e["pos"].alias("pos"), e["text"].alias("text"), F.when(e["pos"] % 3 == 0, "SYMPTOM").otherwise(e["node_type"]).alias("kind")))
+
+    def node(pos, kind, text):
+        return F.struct(pos.cast("int").alias("node_pos"), F.concat(F.lit("n"), pos.cast("string")).alias("node_id"), kind.alias("node_type"), text.alias("source_text"), (pos % 5 == 0).alias("negated"),
+                        F.when(pos % 4 == 0, "suspected").otherwise("confirmed").alias("certainty"), F.lit(False).alias("implicit"))
+
+    def edge(pos, kind, source, target, text, reason, confidence):
+        return F.struct(pos.cast("int").alias("edge_pos"), F.concat(F.lit("e"), pos.cast("string")).alias("edge_id"), kind.alias("edge_type"), source.alias("source_node_id"), target.alias("target_node_id"), F.lit(False).alias("negated"), F.lit("confirmed").alias("certainty"),
+                        F.lit(None).cast("string").alias("context"), text.alias("source_text"), F.lit(reason).alias("reasoning"), confidence.cast("double").alias("confidence"))
+
+    g = chunks.withColumn("_base", base)
+    b, lit = F.col("_base"), F.lit
+    some, head = F.size(b) > 0, F.get(b, lit(0))
+    cut = F.coalesce((head["pos"] == 0) & (F.length(head["text"]) > 2), lit(False))
+    phrase = F.get(F.filter("status", lambda s: s["pos"] == 0), lit(0))["evidence_text"]
+    more = F.array_compact(F.array(F.when(cut, node(lit(10001), lit("SYMPTOM"), F.substring(head["text"], lit(2), F.length(head["text"])))), F.when(some & (F.col("chunk_index") % 4 == 0), node(lit(10002), lit("SYMPTOM"), lit("@@missing@@"))),
+                                   F.when(some & phrase.isNotNull(), node(lit(10003), lit("GENERAL_HEALTH_STATUS"), phrase))))
+    pairs = F.filter(F.zip_with(b, F.slice(b, lit(2), F.size(b)), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: p["y"]["pos"] == p["x"]["pos"] + 1)
+    name = lambda i: F.concat(lit("n"), i.cast("string"))
+
+    def joined(p):
+        k, to = p["x"]["pos"] + 1, p["y"]["kind"]
+        kind = F.when(to == "BODY_SITE", "LOCALIZES_TO").when(to == "DRUG", "TREATED_WITH").when(k % 3 == 0, "HAS_SYMPTOM").otherwise("ACCOMPANIED_BY")
+        return edge(k, kind, name(k), name(k + 1), F.when(k % 4 == 0, "not there").otherwise(p["x"]["text"]), "neighbours", ((k * 37 + F.col("chunk_index") * 11) % 100) / 100.0)
+
+    lost = F.array_compact(F.array(F.when(cut & (F.col("chunk_index") % 6 == 0), edge(lit(9001), lit("ACCOMPANIED_BY"), lit("n1"), lit("n999"), lit("x"), "dangling", lit(0.7)))))
+    return g.withColumns({"nodes": F.concat(F.transform(b, lambda x: node(x["pos"] + 1, x["kind"], x["text"])), more).cast(NODE_TYPE), "edges": F.concat(F.transform(pairs, joined), lost).cast(EDGE_TYPE)}).drop("_base")
+
+
 def rule_verdicts(review: DataFrame) -> DataFrame:
     """A rule in place of a reviewer: every other edge gets a verdict by its place."""
     verdict = F.when(F.col("edge_pos") % 3 == 0, "invalid").when(F.col("edge_pos") % 3 == 1, "low_confidence").otherwise("valid")

@@ -52,13 +52,14 @@ def test_results_do_not_depend_on_partitions(spark):
     from noteweave.jobs import standins as X
     from noteweave.operators.annotate import entity_spans
     from noteweave.sources.clinical import CLINICAL_EDGES
-    from noteweave.sources.packs import GENERIC, endpoint_rules
+    from noteweave.sources.packs import GENERIC
 
     cases = spark.createDataFrame([("case_a", "with the plation that was for x\nthe that was\nfor that\n\nthe for"), ("case_b", "the that | was for the nation")], "case_id string, raw_text string")
     lines = G.line_chunks(cases)
     seen = []
     for n in (1, 5):
-        out = G.section_graphs(lines.repartition(n), G.checked_graph(lines.repartition(n), GENERIC, endpoint_rules(spark, CLINICAL_EDGES), X.proposed_graph, X.rule_verdicts))
+        graph = G.checked_graph(lines.repartition(n), GENERIC, CLINICAL_EDGES, G.from_tables(X.proposed_graph) if n == 1 else X.proposed_rows, X.rule_verdicts)
+        out = G.section_graphs(lines.repartition(n), graph) if n == 1 else G.merged_sections(graph["rows"])
         seen.append([sorted(map(repr, out[k].collect())) for k in ("nodes", "edges", "frames")])
         for r in out["nodes"].filter("NOT implicit").collect():
             assert any(r.source_text in t for t in ("with the plation that was for x the that was for that the for the that | was for the nation",))
