@@ -116,6 +116,24 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(F.rlike(text, F.lit(pattern)), at).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
 
 
+def sql_string(value: str) -> str:
+    """A literal of SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def matches_sql(text: str, pattern: str) -> str:
+    """``matches`` as SQL text, for expressions over many patterns: those are handed to Spark as one text and not
+    node by node. ``text`` is the SQL of a column."""
+    p = sql_string(pattern)
+    empty = "cast(array() as array<struct<start:int,end:int,text:string>>)"
+    block = f"transform(sequence(0, cast(floor(greatest(size(p) - 1, 0) / {BLOCK}) as int)), i -> slice(p, i * {BLOCK} + 1, {BLOCK}))"
+    inner = "aggregate(b, named_struct('s', a.s, 'out', cast(array() as array<int>)), (c, x) -> named_struct('s', c.s + length(x), 'out', array_append(c.out, c.s)))"
+    fold = f"flatten(aggregate({block}, named_struct('s', 0, 'out', cast(array() as array<array<int>>)), (a, b) -> transform(array({inner}), r -> named_struct('s', r.s, 'out', array_append(a.out, r.out)))[0]).out)"
+    pieces = f"flatten(zip_with(split({text}, {p}, -1), f, (g, m) -> array(g, coalesce(m, ''))))"
+    placed = f"transform(array({pieces}), p -> transform(array({fold}), o -> transform(f, (m, i) -> named_struct('start', get(o, 2 * i + 1), 'end', get(o, 2 * i + 1) + length(m), 'text', m)))[0])[0]"
+    return f"CASE WHEN rlike({text}, {p}) THEN transform(array(regexp_extract_all({text}, {p}, 0)), f -> {placed})[0] ELSE {empty} END"
+
+
 def tiles(text: Column, pattern: str) -> Column:
     """As ``matches`` for a pattern whose matches cover the text."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

@@ -38,8 +38,7 @@ Rules = dict[str, tuple[tuple[str, ...], tuple[str, ...]]]
 
 def annotated(chunks: DataFrame, pack: Pack) -> DataFrame:
     """The chunks with ``entities`` and ``status``, found in the row."""
-    t = F.col("text")
-    return chunks.withColumns({"entities": entity_array(t, pack).cast(ENTITY_TYPE), "status": status_array(t, pack).cast(STATUS_TYPE)})
+    return chunks.withColumns({"entities": entity_array("text", pack).cast(ENTITY_TYPE), "status": status_array("text", pack).cast(STATUS_TYPE)})
 
 
 def nested(table: DataFrame, name: str, kind: str, key: str = K) -> DataFrame:
