@@ -52,7 +52,7 @@ PATTERNS = (
     ("person", _PERSON),
 )
 ENTITY = "|".join(f"(?:{p})" for _, p in PATTERNS).replace(r"([ -]?)", r"(?<gap>[ -]?)").replace(r"\1", r"\k<gap>")
-_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_HEX, _DIGITS, _LOWER, _UPPER = "0123456789abcdef", "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Syllables of names, as many for each script; and the ends of given names (or only names) by gender.
 SYLLABLES = {
     "cyrillic": (["ба", "ве", "ги", "до", "жа", "зе", "ка", "лу", "ми", "но", "пе", "ри", "са", "ту", "фе", "ча"], {"f": "ина", "m": "ин", "n": "енко"}),
@@ -111,13 +111,28 @@ def _byte(digest: Column, i: Column) -> Column:
     return F.conv(F.substring(digest, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
+def _flag(value: Column) -> Column:
+    return F.rlike(value, F.lit("^[0-9a-f]{8,}$")) & F.rlike(value, F.lit("[a-f]")) & F.rlike(value, F.lit("[0-9]"))
+
+
+def _at(alphabet: str, b: Column) -> Column:
+    return F.get(F.array(*map(F.lit, alphabet)), b % len(alphabet))
+
+
 def _recast(value: Column, digest: Column) -> Column:
-    """Each letter and digit of a value as another of its class (hexadecimal strings stay so)."""
-    hexed = F.rlike(value, F.lit("^[0-9a-f]+$")) & F.rlike(value, F.lit("[a-f]"))
-    return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(hexed, _draw("0123456789abcdef", _byte(digest, i)))
-                                    .when(F.rlike(c, F.lit("[0-9]")), _draw(_DIGITS, _byte(digest, i)))
-                                    .when(F.rlike(c, F.lit("[a-z]")), _draw(_LOWER, _byte(digest, i)))
-                                    .when(F.rlike(c, F.lit("[A-Z]")), _draw(_UPPER, _byte(digest, i))).otherwise(c)), "")
+    """Each letter and digit of a value as another of its class; hexadecimal strings (eight characters and more, with a
+    letter and a digit) stay so. The value, its flag and the digest are bound once, outside the loop over its characters."""
+    def made(b: Column) -> Column:
+        # what each character is, told by one pass over the value, and its draw by its place in the digest
+        told = F.translate(b["v"], _DIGITS + _LOWER + _UPPER, "0" * 10 + "a" * 26 + "A" * 26)
+        drawn = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: _byte(b["d"], i))
+        def one(n: Column) -> Column:
+            draw = lambda c, k, i: F.when(b["h"], _at(_HEX, F.get(n, i % 64))).when(k == "0", _at(_DIGITS, F.get(n, i % 64))).when(k == "a", _at(_LOWER, F.get(n, i % 64))).when(k == "A", _at(_UPPER, F.get(n, i % 64))).otherwise(c)
+            each = F.arrays_zip(F.split(b["v"], "").alias("c"), F.split(told, "").alias("k"))
+            return F.array_join(F.transform(each, lambda x, i: draw(x["c"], x["k"], i)), "")
+        return let(drawn, one)
+
+    return let(value, lambda v: let(F.struct(v.alias("v"), _flag(v).alias("h"), digest.alias("d")), made))
 
 
 def luhn(digits: Column) -> Column:
