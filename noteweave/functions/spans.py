@@ -62,23 +62,41 @@ def adjacent(left: DataFrame, right: DataFrame, by: list[str], least: int, most:
     return a.join(b.withColumn("_at", F.col("r_start")), [*by, "_at"]).drop("_at")
 
 
-def nearest_left(points: DataFrame, spans: DataFrame, by: list[str], key: str, within: int, tie: str) -> DataFrame:
+def nearest_left(points: DataFrame, spans: DataFrame, by: list[str], key: str, within: int, tie: str, width: int | None = None) -> DataFrame:
     """As-of join with tolerance: for each point (column ``at``, named by ``key``) the span of greatest start
     at or before it whose end lies no more than ``within`` before it; ties go to the greatest ``tie``.
 
-    Points and spans go in one order, and each point takes the last span before it: one sort, no pairs. Only where
-    that one has ended too early and an earlier, longer one has not, the point is joined with the spans that outlast
-    their successor."""
+    A prefix scan in two levels: places are cut into buckets of ``width`` (``within`` if not given), and points and spans
+    of a key and bucket are sorted together, so that a hot key is many small sorts; what a bucket begins with is the last
+    span of the buckets before it, told by a window over one row for each bucket. Only where that last span has ended too
+    early and an earlier, longer one has not, the point is joined with the spans that outlast their successor and reach
+    its bucket."""
+    width = width or max(within, 1)
     rest = [c for c in spans.columns if c not in by]
+    bucket = lambda at: F.floor(at / width).alias("_b")
     s = spans.select(*by, F.col("start").cast("bigint").alias("_at"), F.col(tie).alias("_tie"), (F.col("end") + within).cast("bigint").alias("_till"), F.struct(*rest).alias("_span"))
+    s = s.select("*", bucket(F.col("_at")))
     p = points.select(*by, F.col("at").cast("bigint").alias("_at"), F.col(key).alias("_key"), F.col("at").alias("_point"))
-    order = Window.partitionBy(*by).orderBy("_at", F.col("_span").isNull(), "_tie")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = s.unionByName(p, allowMissingColumns=True).withColumns({"_last": F.last(F.when(F.col("_span").isNotNull(), F.struct("_till", "_span")), ignorenulls=True).over(so_far), "_top": F.max("_till").over(so_far)})
-    asked = seen.filter("_span IS NULL").select(*by, "_at", "_key", "_point", "_last", "_top").filter("_top >= _at")
-    near = asked.filter("_last._till >= _at").select(*by, "_key", "_point", F.col("_last._span").alias("_span"))
-    outlast = s.withColumn("_next", F.lead("_till").over(Window.partitionBy(*by).orderBy("_at", "_tie"))).filter("_till > _next").select(*by, F.col("_at").alias("_from"), "_tie", "_till", "_span")
-    lost = asked.filter("_last._till < _at").select(*by, "_at", "_key", "_point").join(outlast, by).filter("_from <= _at AND _till >= _at")
+    p = p.select("*", bucket(F.col("_at")))
+    one = F.struct("_at", "_tie", "_till", "_span")
+    # one row for each bucket that holds a span or a point: the last span and the furthest end before it
+    held = s.groupBy(*by, "_b").agg(F.max_by(one, F.struct("_at", "_tie")).alias("_own"), F.max("_till").alias("_reach"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    asked = p.select(*by, "_b").distinct()
+    carried = held.join(asked, [*by, "_b"], "full").withColumns({"_carried": F.last("_own", ignorenulls=True).over(before), "_top0": F.max("_reach").over(before)}).select(*by, "_b", "_carried", "_top0")
+    order = Window.partitionBy(*by, "_b").orderBy("_at", F.col("_span").isNull(), "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = s.unionByName(p, allowMissingColumns=True).withColumns({"_in": F.last(F.when(F.col("_span").isNotNull(), one), ignorenulls=True).over(order), "_top1": F.max("_till").over(order)})
+    seen = seen.filter("_span IS NULL").select(*by, "_b", "_at", "_key", "_point", "_in", "_top1").join(carried, [*by, "_b"])
+    seen = seen.withColumns({"_last": F.coalesce("_in", "_carried"), "_top": F.greatest("_top0", "_top1")}).filter("_top >= _at")
+    near = seen.filter("_last._till >= _at").select(*by, "_key", "_point", F.col("_last._span").alias("_span"))
+    # spans that end behind their successor, in each bucket that they reach beyond the successor's start
+    following = Window.partitionBy(*by, "_b").orderBy("_at", "_tie")
+    head = s.groupBy(*by, "_b").agg(F.min_by("_till", F.struct("_at", "_tie")).alias("_head"))
+    after = Window.partitionBy(*by).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    head = head.withColumn("_head", F.first("_head", ignorenulls=True).over(after))
+    outlast = s.withColumn("_next", F.lead("_till").over(following)).join(head, [*by, "_b"]).filter("_till > coalesce(_next, _head)")
+    outlast = outlast.select(*by, F.col("_at").alias("_from"), "_tie", "_till", "_span", F.explode(F.sequence("_b", F.floor(F.col("_till") / width))).alias("_b"))
+    lost = seen.filter("_last._till < _at").select(*by, "_b", "_at", "_key", "_point").join(outlast, [*by, "_b"]).filter("_from <= _at AND _till >= _at")
     lost = lost.groupBy(*by, "_key", "_point").agg(F.max_by("_span", F.struct("_from", "_tie")).alias("_span"))
     return near.unionByName(lost).select(*by, F.col("_key").alias(key), F.col("_point").alias("at"), *[F.col(f"_span.{c}").alias(f"near_{c}") for c in rest])
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noteweave.functions.tables import settled
 from noteweave.sources.packs import Pack
 
 
@@ -26,19 +29,82 @@ def label_by_rules(sentences: DataFrame, pack: Pack) -> DataFrame:
     return sentences.withColumn("rule_label", rule_label(F.col("text"), pack))
 
 
-#: Rules of a table that are tried on every sentence, at most.
-MOST_RULES = 10_000
+#: Characters of a literal by which a rule is looked up, and rules without a literal that go in one expression.
+GRAM = 4
+BLOCK_RULES = 200
+_SPECIAL = set(".^$*+?{}[]|()")
+
+
+def needed_literal(pattern: str) -> str:
+    """The longest run of characters that every match of an expression holds, by reading it from the left: a run ends at anything
+    that isn't a plain character; a quantifier takes the last character off. Expressions with alternatives or flags at their top level have none
+    (empty)."""
+    runs, run, depth, i = [""], "", 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            follows = pattern[i + 1 : i + 2]
+            if follows in set("xu0ckQEN"):
+                return ""  # a character or a name written out
+            literal = follows if follows and not follows.isalnum() else None
+            i += 2
+        elif c == "[":
+            i += 2 if pattern[i + 1 : i + 2] != "^" else 3
+            while i < len(pattern) and pattern[i] != "]":
+                i += 2 if pattern[i] == "\\" else 1
+            literal, i = None, i + 1
+        elif c == "|" and depth == 0:
+            return ""
+        elif c == "(":
+            if depth == 0 and pattern.startswith("(?", i) and not pattern.startswith("(?:", i):
+                return ""
+            depth, literal, i = depth + 1, None, i + 1
+        elif c == ")":
+            depth, literal, i = depth - 1, None, i + 1
+        elif c in "*?{+":
+            if c == "{":
+                i = pattern.find("}", i)
+                if i < 0:
+                    return ""
+            run, literal, i = run[:-1] if depth == 0 else run, None, i + 1
+        else:
+            literal, i = (c if c not in _SPECIAL else None), i + 1
+        if literal is None or depth:
+            runs.append(run)
+            run = ""
+        else:
+            run += literal
+    return max([*runs, run], key=len)
 
 
 def label_by_rule_table(sentences: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same from a table of rules (``section_id, priority, rule_order, regex``) too large for an
-    expression. Every rule is tried on every sentence, so the table is counted, and broadcast as it is small; more
-    than MOST_RULES are an error."""
-    if (n := rules.limit(MOST_RULES + 1).count()) > MOST_RULES:
-        raise ValueError(f"{n} rules or more are too many to try on every sentence")
-    hits = sentences.join(F.broadcast(rules), F.expr("text rlike regex"))
-    best = hits.groupBy("text_hash", "index").agg(F.max_by("section_id", F.struct("priority", -F.col("rule_order"))).alias("rule_label"))
-    return sentences.join(best, ["text_hash", "index"], "left")
+    """The same from a table of rules (``section_id, priority, rule_order, regex``) of any size.
+
+    A rule stands under the first ``GRAM`` characters of a literal that all its matches hold; the sentences name theirs, and an
+    equality join finds the rules whose literal the sentence holds: only these compile and try their expressions.
+    Rules without such a literal are tried on every sentence, in blocks of one expression each."""
+    keyed = settled(rules.select("section_id", "priority", "rule_order", "regex", F.udf(needed_literal)("regex").alias("literal")), "rules")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - GRAM + 1), lambda i: F.substring("text", i, F.lit(GRAM))))
+    places = sentences.filter(F.length("text") >= GRAM).select("text_hash", "index", "text", F.explode(grams).alias("_gram"))
+    indexed = keyed.filter(F.length("literal") >= GRAM).withColumn("_gram", F.substring("literal", 1, GRAM))
+    tried = places.join(indexed, "_gram").filter(F.contains(F.col("text"), F.col("literal"))).filter("text rlike regex")
+    best = F.struct("priority", (-F.col("rule_order")).alias("order"), "section_id")
+    hits = [tried.select("text_hash", "index", best.alias("best"))]
+    block: list = []
+
+    def flush() -> None:
+        if block:
+            each = [F.when(F.rlike(F.col("text"), F.lit(r["regex"])), F.struct(F.lit(r["priority"]).alias("priority"), F.lit(-r["rule_order"]).alias("order"), F.lit(r["section_id"]).alias("section_id"))) for r in block]
+            hits.append(sentences.select("text_hash", "index", F.array_max(F.array(*each)).alias("best")).filter("best IS NOT NULL"))
+            block.clear()
+
+    for r in keyed.filter(F.length("literal") < GRAM).toLocalIterator():
+        block.append(r)
+        if len(block) == BLOCK_RULES:
+            flush()
+    flush()
+    found = reduce(DataFrame.unionByName, hits).groupBy("text_hash", "index").agg(F.max("best")["section_id"].alias("rule_label"))
+    return sentences.join(found, ["text_hash", "index"], "left")
 
 
 def inherit_labels(labelled: DataFrame, pack: Pack) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteweave.functions.text import case_id, is_blank, text_hash
@@ -33,8 +33,14 @@ def validate_cases(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def dedupe_cases(cases: DataFrame) -> DataFrame:
     """One row for each distinct text, with the smallest source and the number of copies. Ids come from the
-    text, so this goes before any window by case."""
-    return cases.groupBy("text_hash").agg(F.first("case_id").alias("case_id"), F.any_value("raw_text").alias("raw_text"), F.min("source_file").alias("source_file"), F.count("*").alias("copies"))
+    text, so this goes before any window by case.
+
+    Texts never enter an aggregate: copies are counted by their hashes, and the row of smallest source is told by its rank,
+    which Spark also limits to one row a hash before the shuffle."""
+    copies = cases.groupBy("text_hash").agg(F.count("*").alias("copies"))
+    first = F.row_number().over(Window.partitionBy("text_hash").orderBy(F.col("source_file").asc_nulls_last()))
+    rows = cases.withColumn("_first", first).filter("_first = 1").select("text_hash", "case_id", "raw_text", "source_file")
+    return rows.join(copies, "text_hash").select("text_hash", "case_id", "raw_text", "source_file", "copies")
 
 
 def case_links(cases: DataFrame) -> DataFrame:
