@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from noteweave.functions import spans as SP
 from noteweave.functions.arrays import firsts, lookup, outlasting, runs
-from noteweave.operators import annotate, labels
+from noteweave.operators import annotate, chunks, labels
 from noteweave.sources import notes
 from noteweave.sources.packs import GENERIC, ZH_CLINICAL
 
@@ -118,3 +118,43 @@ def test_dedupe_keeps_texts_out_of_aggregates(spark):
     assert sorted(rows(out, "raw_text", "source_file", "copies")) == [("x" * 9, "a", 4), ("y", None, 1)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert all("raw_text" not in line for line in plan.split("\n") if "Aggregate" in line)
+
+
+def _first_spans(text, asked):
+    """By plain searches, as the rule says."""
+    out = []
+    for proposal, bare, loose, even, loose_even in asked:
+        at, size = text.find(proposal), len(proposal)
+        if at < 0 and bare != proposal:
+            at, size = text.find(bare), len(bare)
+        if at < 0 and loose_even and loose_even != even and loose_even in " ".join(text.split()):
+            at, size = text.find(loose), len(loose)
+            if at >= 0 and text[at + size : at + size + 1] and text[at + size] in chunks.TRAILING:
+                size += 1
+        out.append({"start": at, "end": at + size} if at >= 0 else None)
+    return out
+
+
+def test_alignment_of_twenty_thousand_proposals_in_a_megabyte(spark, monkeypatch):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    small = " ".join(rng.choice(words) + rng.choice(["", ".", "; "]) for _ in range(400))
+    asked = []
+    for _ in range(300):
+        at = rng.randrange(len(small))
+        t = small[at : at + rng.randint(1, 60)] + rng.choice(["", ";", "!?", " ", "#"])
+        bare, even = t.strip(), " ".join(t.split())
+        asked.append([t, bare, bare.rstrip(chunks.TRAILING), even, even.rstrip(chunks.TRAILING)])
+    want = _first_spans(small, asked)
+    for limit in (chunks.INDEX_FROM, 0):  # plain searches, and the index
+        monkeypatch.setattr(chunks, "INDEX_FROM", limit)
+        assert chunks._align(small, " ".join(small.split()), asked) == want
+    monkeypatch.undo()
+    text = " ".join(rng.choice(words) for _ in range(160_000))
+    starts = sorted(rng.sample(range(len(text) - 60), 20_000))
+    section = spark.createDataFrame([("h", 1, "case", "prose", 0, text)], "text_hash string, section_index int, case_id string, section_id string, start_char int, text string")
+    proposals = spark.createDataFrame([("h", 1, i, text[a : a + 50], "event", "s") for i, a in enumerate(starts)], "text_hash string, section_index int, chunk_index int, text string, chunk_type string, standalone_summary string")
+    begin = time.time()
+    good, bad = chunks.align_proposals(section, proposals)
+    got = {r.chunk_index: (r.start, r.end) for r in good.collect()}
+    assert time.time() - begin < 120 and len(text) > 900_000 and got == {i: (text.find(text[a : a + 50]), text.find(text[a : a + 50]) + 50) for i, a in enumerate(starts)}
