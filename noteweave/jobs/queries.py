@@ -631,16 +631,15 @@ def audited_stages(spark, sf_dir):
 
 # ---------------------------------------------------------------- model calls, with stand-ins as models
 
-_AROUND = 100
-_ASK = f"""SELECT text_hash, "index", section_id, rule_label, start_char, end_char, p.text, CAST(start_char AS VARCHAR) || ':' || CAST(end_char AS VARCHAR) || ' ' || p.text || ' | ' ||
-  substr(raw_text, greatest(start_char - {_AROUND}, 0) + 1, end_char + {_AROUND} - greatest(start_char - {_AROUND}, 0)) AS rq FROM inh p JOIN cases USING (text_hash)"""
+_ASK = """SELECT text_hash, "index", section_id, rule_label, start_char, end_char, p.text, CAST(start_char AS VARCHAR) || ':' || CAST(end_char AS VARCHAR) || ' ' || p.text || ' | ' || raw_text AS rq FROM inh p JOIN cases USING (text_hash)"""
 
 
 @query(f"""WITH {S.LABELS}, a AS ({_ASK}), b AS (SELECT *, CASE WHEN length(rq) % 7 = 0 THEN NULL WHEN length(rq) % 3 = 0 THEN 'prose' WHEN length(rq) % 3 = 1 THEN 'table' END AS said FROM a)
 SELECT text_hash, "index", coalesce(said, section_id) AS section_id, CASE WHEN said IS NULL THEN 'rule' ELSE 'model' END AS "by" FROM b""")
 def labels_by_model(spark, sf_dir):
+    """Each sentence labelled with its whole note as context."""
     cases = settled(_cases(spark, sf_dir), "cases")
-    return Q.label_sentences(sentences.split_sentences(cases, GENERIC), cases, GENERIC, dimension(spark, "section", ["prose", "table"]), X.label, "{start}:{end} {sentence} | {context}", _AROUND)
+    return Q.label_sentences(sentences.split_sentences(cases, GENERIC), cases, GENERIC, dimension(spark, "section", ["prose", "table"]), X.label, "{start}:{end} {sentence} | {context}")
 
 
 @query(f"""WITH {S.LABELS}, l AS (SELECT text_hash, string_agg('- S' || "index" || ' [' || start_char || ':' || end_char || '] label=`' || section_id || '`  text=' || text || '  reason=' || coalesce(rule_label, ''), chr(10) ORDER BY "index") AS x FROM inh GROUP BY text_hash),

@@ -1,19 +1,26 @@
 """Batch model calls: one contract for all.
 
 ``apply_model`` sends requests (rows) to a function in batches and gives its rows a fixed schema; what fails
-becomes ``status='error'`` and never stops the job. Equal requests are asked once. Write the result before
-using it twice: Spark would call again.
+becomes ``status='error'`` and never stops the job. Requests are known by their digest: equal ones are asked once, joins
+carry digests and not texts, and with a ``store`` answers are kept in a table, so that a job that runs again asks only what
+has no answer yet.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as TimedOut
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noteweave.functions.tables import settled
+
 
 def render(template: str, **values: Column) -> Column:
     """A template with ``{name}`` slots as a column."""
@@ -23,52 +30,88 @@ def render(template: str, **values: Column) -> Column:
     return out
 
 
-def apply_model(df: DataFrame, request: str, fn: Callable[[list[str]], list[dict]], schema: T.StructType | str, batch: int = 64, partitions: int | None = None) -> DataFrame:
+def _stored(df: DataFrame, store: str | None, schema: T.StructType) -> DataFrame:
+    """The answers of a store; none where it isn't there yet."""
+    spark = df.sparkSession
+    try:
+        return spark.read.schema(schema).parquet(store) if store else spark.createDataFrame([], schema)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def apply_model(df: DataFrame, request: str, fn: Callable[[list[str]], list[dict]], schema: T.StructType | str, batch: int = 64, partitions: int | None = None,
+                store: str | None = None, waves: int = 1, retries: int = 2, backoff: float = 0.0, timeout: float | None = None, parallel: int = 1) -> DataFrame:
     """``df`` with ``status`` ('ok' or 'error'), ``error`` and the columns of ``schema``.
 
-    ``fn`` takes a list of requests and returns a dict for each. A batch that raises is asked row by row, and
-    only rows that raise are errors; so is an answer that doesn't fit the schema. ``partitions`` bounds the
-    calls at a time.
+    ``fn`` takes a list of requests and returns a dict for each. A batch that raises, or takes longer than ``timeout`` seconds, is
+    tried ``retries`` times more, ``backoff`` seconds apart and twice as long each time, then row by row; only rows that
+    still raise are errors, and so is an answer that doesn't fit the schema. At most ``partitions`` tasks run at a time with
+    ``parallel`` batches each.
+
+    The answers are written before they are used, so nothing is asked twice for being read twice. With ``store`` (a path that
+    all can reach) good answers are appended to it after each of ``waves`` parts of the requests: a job that dies has lost one
+    wave at most, and the next run asks for what is missing; errors are asked again.
     """
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    asked = df.select(request).distinct()
-    if partitions:
-        asked = asked.repartition(partitions)
-    out = T.StructType([df.schema[request], T.StructField("status", T.StringType()), T.StructField("error", T.StringType()), *schema.fields])
     names = schema.names
-
-    def one(text: str) -> dict:
-        try:
-            return fit(fn([text])[0])
-        except Exception as error:  # any failure of the model is a row, not a failed job
-            return failed(error)
+    kept = T.StructType([T.StructField("_digest", T.StringType()), T.StructField("status", T.StringType()), T.StructField("error", T.StringType()), *schema.fields])
 
     def failed(error: Exception) -> dict:
-        return {"status": "error", "error": str(error)[:200], **dict.fromkeys(names)}
+        return {"status": "error", "error": (str(error) or type(error).__name__)[:200], **dict.fromkeys(names)}
 
     def fit(answer: dict) -> dict:
         if set(answer) != set(names):
-            raise ValueError("the answer's fields are not the schema's")
+            return failed(ValueError("the answer's fields are not the schema's"))
         return {"status": "ok", "error": None, **answer}
 
+    def called(texts: list[str]) -> list[dict]:
+        if timeout is None:
+            got = fn(texts)
+        else:
+            pool = ThreadPoolExecutor(1)
+            try:
+                got = pool.submit(fn, texts).result(timeout)
+            except TimedOut:
+                raise TimeoutError(f"no answer within {timeout} seconds") from None
+            finally:
+                pool.shutdown(wait=False, cancel_futures=True)
+        if len(got) != len(texts):
+            raise ValueError("an answer is missing")
+        return got
+
+    def tried(texts: list[str]) -> list[dict]:
+        for attempt in range(retries + 1):
+            try:
+                return [fit(a) for a in called(texts)]
+            except Exception as error:  # any failure of the model is a row, not a failed job
+                last = error
+                if attempt < retries:
+                    time.sleep(backoff * 2**attempt)
+        return [failed(last)] if len(texts) == 1 else [a for t in texts for a in tried([t])]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for i in range(0, len(frame), batch):
-                texts = frame[request].tolist()[i : i + batch]
-                try:
-                    answers = fn(texts)
-                    if len(answers) != len(texts):
-                        raise ValueError("an answer is missing")
-                    got = []
-                    for a in answers:
-                        try:
-                            got.append(fit(a))
-                        except ValueError as error:
-                            got.append(failed(error))
-                except Exception:  # the batch failed: row by row
-                    got = [one(t) for t in texts]
-                rows += [{request: t, **g} for t, g in zip(texts, got, strict=True)]
-            yield pd.DataFrame(rows, columns=[f.name for f in out.fields])
-
-    return df.join(asked.mapInPandas(run, out), request, "left")
+        with ThreadPoolExecutor(parallel) as pool:
+            for frame in frames:
+                texts, digests = frame[request].tolist(), frame["_digest"].tolist()
+                answers = [a for part in pool.map(tried, [texts[i : i + batch] for i in range(0, len(texts), batch)]) for a in part]
+                yield pd.DataFrame([{"_digest": d, **a} for d, a in zip(digests, answers, strict=True)], columns=kept.names)
+
+    keyed = df.withColumn("_digest", F.sha2(F.coalesce(request, F.lit("")), 256))
+    one = Window.partitionBy("_digest").orderBy(F.lit(0))
+    asked = keyed.select("_digest", request).withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
+    missing = asked.join(_stored(df, store, kept).select("_digest"), "_digest", "left_anti")
+    made = []
+    for wave in range(waves):
+        part = missing if waves == 1 else missing.filter(F.pmod(F.xxhash64("_digest"), F.lit(waves)) == wave)
+        part = part.repartition(partitions) if partitions else part
+        made.append(settled(part.mapInPandas(run, kept), "answers"))
+        if store:
+            made[-1].filter("status = 'ok'").write.mode("append").parquet(store)
+    answers = made[0]
+    for more in made[1:]:
+        answers = answers.unionByName(more)
+    if store:  # what this run got wrong is in none of the stored answers
+        answers = _stored(df, store, kept).dropDuplicates(["_digest"]).unionByName(answers.filter("status <> 'ok'"))
+    return keyed.join(answers, "_digest", "left").drop("_digest")

@@ -325,6 +325,34 @@ def test_model_calls_never_stop_the_job(spark):
     assert spark.range(1).select(model.render("{a} of {b}", a=F.lit(1), b=F.lit(None).cast("string")).alias("r")).collect()[0].r == "1 of "
 
 
+def test_a_store_asks_once_for_each_digest(spark, tmp_path):
+    import time
+
+    log, up, store = tmp_path / "log", tmp_path / "up", str(tmp_path / "store")
+
+    def fn(texts):
+        with open(log, "a") as f:
+            f.write("".join(t + "\n" for t in texts))
+        if "slow" in texts and not up.exists():
+            time.sleep(3)
+        if any(t.startswith("bad") for t in texts) and not up.exists():
+            raise RuntimeError("down")
+        return [{"verdict": t, "verdict_reason": "r"} for t in texts]
+
+    texts = ["a", "bad1", "b", "a", "slow", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, request string")
+    ask = lambda: {r.id: (r.status, r.verdict) for r in model.apply_model(df, "request", fn, requests.VERDICT, batch=2, partitions=2, store=store, waves=2, retries=1, backoff=0.01, timeout=1.0, parallel=2).collect()}
+    first = ask()
+    assert {i for i, (status, _) in first.items() if status == "error"} == {1, 4, 5} and first[0] == first[3] == ("ok", "a")
+    log.write_text("")
+    up.write_text("")
+    second = ask()
+    asked = log.read_text().split("\n")[:-1]
+    assert set(asked) <= {"bad1", "slow", "None"} and second[1] == ("ok", "bad1") and second[4] == ("ok", "slow") and second[2] == ("ok", "b")
+    log.write_text("")
+    assert {i: v for i, v in ask().items() if i != 5} == {i: v for i, v in second.items() if i != 5} and set(log.read_text().split("\n")) <= {"", "None"}
+
+
 def test_outside_and_nearest(spark):
     p = spark.createDataFrame([("k", 1), ("k", 5), ("j", 5)], "k string, at int")
     s = spark.createDataFrame([("k", 4, 6, 0), ("k", 0, 3, 1)], "k string, start int, end int, pos int")
