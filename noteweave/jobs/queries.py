@@ -663,15 +663,17 @@ def chunks_by_model(spark, sf_dir):
     return Q.split_sections(parts, X.split, "Section {section}:\n{text}").select("text_hash", "section_index", "chunk_index", "text", "chunk_type", "standalone_summary")
 
 
-@query(f"""WITH {O.LINES}, e AS (SELECT chunk_id, text, length(text) % 8 = 0 AS lost, substr(text, 1, 12) AS t FROM chunk), m AS (SELECT *, length(text || chr(10) || '- ' || t || ': front') % 11 = 0 AS unmapped FROM e WHERE NOT lost)
-SELECT chunk_id, 'node' AS kind, t AS value FROM m WHERE NOT unmapped UNION ALL SELECT chunk_id, 'warning', '{Q.NO_GRAPH}' FROM m WHERE unmapped UNION ALL SELECT chunk_id, 'warning', '{Q.NO_ANALYSIS}' FROM e WHERE lost""")
+@query(_RENDERED + f""", e AS (SELECT chunk_id, length(annotated) % 8 = 0 AS lost, (length(annotated) + 55) % 11 = 0 AS unmapped, substr(annotated, 5, 8) AS s, substr(annotated, 5, 3) AS t FROM ann), m AS (SELECT * FROM e WHERE NOT lost AND NOT unmapped)
+SELECT chunk_id, 'node' AS kind, 'SYMPTOM ' || s AS value FROM m UNION ALL SELECT chunk_id, 'node', 'SIGN ' || t FROM m UNION ALL SELECT chunk_id, 'edge', 'n1 ACCOMPANIED_BY n2: ' || s FROM m
+UNION ALL SELECT chunk_id, 'relation', s || ' > ' || t FROM e WHERE NOT lost UNION ALL SELECT chunk_id, 'warning', '{Q.NO_GRAPH}' FROM e WHERE NOT lost AND unmapped UNION ALL SELECT chunk_id, 'warning', '{Q.NO_ANALYSIS}' FROM e WHERE lost""")
 def graphs_by_model(spark, sf_dir):
-    """Chunks analysed by a model and the analysis mapped to nodes by another; warnings where either fails."""
-    c = _settled_chunks(spark, sf_dir)
-    asked = c.select("chunk_id", F.col("text").alias("annotated"))
+    """Annotated chunks analysed by a model, and the analysis mapped to nodes and edges by another; warnings where either fails."""
+    asked = settled(rendered_annotations(spark, sf_dir), "annotated")
     entities, relations, w1 = Q.analyse_chunks(asked, X.analyse, "{chunk}")
-    nodes, _, w2 = Q.map_graph(asked, entities, relations, X.build, "{chunk}\n{entities}")
-    return nodes.select("chunk_id", F.lit("node").alias("kind"), F.col("source_text").alias("value")).unionByName(w1.unionByName(w2).select("chunk_id", F.lit("warning").alias("kind"), F.col("message").alias("value")))
+    nodes, edges, w2 = Q.map_graph(asked, entities, relations, X.build, "{chunk}\n{entities}\n{relations}")
+    rows = lambda df, kind, value: df.select("chunk_id", F.lit(kind).alias("kind"), value.alias("value"))
+    return (rows(nodes, "node", F.concat_ws(" ", "node_type", "source_text")).unionByName(rows(edges, "edge", F.concat(F.concat_ws(" ", "source_node_id", "edge_type", "target_node_id"), F.lit(": "), "source_text")))
+            .unionByName(rows(relations, "relation", F.concat_ws(" > ", "subject_text", "object_text"))).unionByName(rows(w1.unionByName(w2), "warning", F.col("message"))))
 
 
 @query("""WITH t AS (SELECT DISTINCT p_brand, p_name FROM part), p AS (SELECT a.p_brand, a.p_name AS short_text, b.p_name AS long_text, length('A: ' || a.p_name || chr(10) || 'B: ' || b.p_name) AS n FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_name <> b.p_name AND contains(b.p_name, a.p_name) AND length(b.p_name) - length(a.p_name) <= 4)

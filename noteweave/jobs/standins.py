@@ -126,14 +126,19 @@ def split(requests: list[str]) -> list[dict]:
 
 
 def analyse(requests: list[str]) -> list[dict]:
+    """Two texts from behind the annotated chunk's title, and a relation between them."""
     _failing(requests, 8)
-    return [{"entities": [{"text": r[:12], "description": "front", "negated": False, "certainty": "confirmed"}], "relations": []} for r in requests]
+    entity = lambda t: {"text": t, "description": "front", "negated": False, "certainty": "confirmed"}
+    relation = lambda s, o: {"subject_text": s, "object_text": o, "relation": "front", "evidence_text": s, "negated": False, "certainty": "confirmed"}
+    return [{"entities": [entity(r[4:12]), entity(r[4:7])], "relations": [relation(r[4:12], r[4:7])]} for r in requests]
 
 
 def build(requests: list[str]) -> list[dict]:
+    """A node for each end of the relation that closes the request (``- 8 characters > 3 characters: front``), and its edge."""
     _failing(requests, 11)
-    node = lambda i, text: {"node_id": f"n{i}", "node_type": "SYMPTOM", "source_text": text, "negated": False, "certainty": "confirmed"}
-    return [{"nodes": [node(1, r.rsplit("\n- ", 1)[1].rsplit(": ", 1)[0])], "edges": []} for r in requests]
+    node = lambda i, kind, text: {"node_id": f"n{i}", "node_type": kind, "source_text": text, "negated": False, "certainty": "confirmed"}
+    edge = lambda text: {"edge_id": "e1", "edge_type": "ACCOMPANIED_BY", "source_node_id": "n1", "target_node_id": "n2", "negated": False, "certainty": "confirmed", "context": None, "source_text": text, "reasoning": "front", "confidence": 0.75}
+    return [{"nodes": [node(1, "SYMPTOM", r[-21:-13]), node(2, "SIGN", r[-10:-7])], "edges": [edge(r[-21:-13])]} for r in requests]
 
 
 def verdict(requests: list[str]) -> list[dict]:
