@@ -23,9 +23,9 @@ from noteweave.operators import requests as Q
 from noteweave.operators import normalize as I
 from noteweave.operators import report as R
 from noteweave.operators import validate as L
-from noteweave.sources import notes
+from noteweave.sources import notes, pack_tables
 from noteweave.sources.clinical import CLINICAL_EDGES, NODE_TYPES
-from noteweave.sources.packs import GENERIC, dimension
+from noteweave.sources.packs import GENERIC, dimension, lexicon, section_rules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -81,6 +81,12 @@ def rule_labels(spark, sf_dir):
     return labels.label_by_rules(sentences.split_sentences(_cases(spark, sf_dir), GENERIC), GENERIC).select("text_hash", "index", "rule_label")
 
 
+@query(f'WITH {S.LABELS} SELECT text_hash, "index", rule_label FROM lab')
+def rule_table_labels(spark, sf_dir):
+    """The same labels from a table of rules, by the index of their literals."""
+    return labels.label_by_rule_table(sentences.split_sentences(_cases(spark, sf_dir), GENERIC), section_rules(spark, GENERIC)).select("text_hash", "index", "rule_label")
+
+
 @query(f'WITH {S.LABELS} SELECT text_hash, "index", section_id FROM inh')
 def inherited_labels(spark, sf_dir):
     return N.labelled_sentences(_cases(spark, sf_dir), GENERIC).select("text_hash", "index", "section_id")
@@ -217,6 +223,13 @@ def lexicon_entity_spans(spark, sf_dir):
     return A.lexicon_spans(_chunks(spark, sf_dir), GENERIC).drop("ord")
 
 
+@query(f'WITH {O.LEXICON} SELECT chunk_id, s AS "start", CAST(s + length(t) AS INTEGER) AS "end", t AS text, node_type, source FROM lex')
+def lexicon_table_spans(spark, sf_dir):
+    """The pack's lexicon as a table, checked and read from its rows."""
+    good, _ = pack_tables.check_rules(spark.createDataFrame(pack_tables.pack_rows(GENERIC), pack_tables.SCHEMA), NODE_TYPES)
+    return A.large_lexicon_spans(_chunks(spark, sf_dir), lexicon(spark, pack_tables.load_pack(good)))
+
+
 _TERM = "term AS (SELECT term, CASE WHEN length(term) % 2 = 0 THEN 'EXAM_TEST' ELSE 'SIGN' END AS node_type FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) AS term FROM benchmark))"
 
 
