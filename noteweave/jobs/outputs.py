@@ -19,7 +19,7 @@ from noteweave.sources.packs import Pack
 
 def write_batch(documents: DataFrame, path: str, batch: str, fmt: str = "json") -> None:
     """Writes a batch's rows as its partition ``batch=...`` of a table of documents. A repeated run replaces its own partition,
-    whole and at once, and leaves the others as they are."""
+    whole and at once, and leaves the others as they are; a batch without rows replaces nothing."""
     rows = documents.withColumn("batch", F.lit(batch))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").format(fmt).save(path)
 
