@@ -1,10 +1,10 @@
 """Quality rules: rules on one document, and the frequency of its lines across a host's documents.
 
-Lines are normalised and hashed, the distinct documents (by their text: copies count once, or each line of a much
-copied document would be boilerplate) that hold a line are counted for each host, and lines above the host's limit
-go: MAX_LINE_DOCS documents, or LINE_SHARE of the host's documents where that is more, so that the limit grows with
-the host. The document of smallest id that holds a line keeps it: of a large group of near copies one stays whole. A
-document that loses too many of its words is rejected. Only DataFrame functions.
+Lines are normalised and hashed, the documents that hold a line are counted for each host, and lines above the
+host's limit go: LINE_SHARE of the host's documents, and MIN_LINE_DOCS at least, so that a small host has a limit too. The
+document of smallest id that holds a line keeps it, and so do its copies: a much copied document isn't boilerplate to
+itself, and of a large group of near copies one stays whole. A document that loses too many of its words is rejected. Only
+DataFrame functions.
 
 At scale: what is shuffled are line hashes, never texts; the counts are aggregated before the
 shuffle and again by host and line, so that neither a hot host nor a hot line meets in one task;
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from noteweave.llm.common import SPACE_CLASS, let, read, words, written
 
-#: A line that more than this many documents of a host hold, and more than this share of them, is boilerplate.
-MAX_LINE_DOCS = 50
-LINE_SHARE = 0.01
+#: A line that more than this share of a host's documents hold, and more than so many of them, is boilerplate.
+LINE_SHARE = 0.1
+MIN_LINE_DOCS = 5
 #: A document that loses more than this share of its words to boilerplate is depleted.
 MAX_LOST = (1, 2)
 MIN_WORDS = 20
@@ -81,7 +81,8 @@ def _texts(docs: DataFrame, host: str, text: str, doc_id: str) -> DataFrame:
 
 def _lines(texts: DataFrame) -> DataFrame:
     """For each host, distinct text and distinct normalised line of it: the words ``n`` of all such lines in the
-    text, and its smallest id ``first``. Copies of a text fold before the shuffle as far as they meet there."""
+    text, its smallest id ``first`` and its documents ``docs``. Copies of a text fold before the shuffle as far as they
+    meet there."""
     line = F.transform(F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))), lambda x: let(normal_line(x), lambda y: F.struct(F.xxhash64(y).alias("line"), (F.length(y) - F.length(F.replace(y, F.lit(" "), F.lit(""))) + 1).alias("n"))))
 
     def runs(s: Column) -> Column:  # s: the lines by hash; equal lines have equally many words
@@ -90,31 +91,31 @@ def _lines(texts: DataFrame) -> DataFrame:
 
     folded = let(F.sort_array(line), lambda s: F.when(F.size(s) > 0, runs(s)))
     each = texts.select("host", "t1", "t2", "id", F.explode(folded).alias("l"))
-    return each.select("host", "t1", "t2", "id", "l.line", "l.n").groupBy("host", "t1", "t2", "line").agg(F.max("n").alias("n"), F.min("id").alias("first"))
+    return each.select("host", "t1", "t2", "id", "l.line", "l.n").groupBy("host", "t1", "t2", "line").agg(F.max("n").alias("n"), F.min("id").alias("first"), F.count("*").alias("docs"))
 
 
-def _often(texts: DataFrame, lines: DataFrame, max_docs: int, share: float) -> DataFrame:
+def _often(texts: DataFrame, lines: DataFrame, min_docs: int, share: float) -> DataFrame:
     """``host, line, n_docs, keeper`` of the lines above their host's limit."""
     # the words are named here too so that both uses of the lines have one shuffle
-    counted = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.max("n").alias("n_words"), F.min("first").alias("keeper"))
-    above = counted.filter((F.col("n_docs") > max_docs) & (F.col("n_words") > 0))
-    size = texts.select("host", "t1", "t2").distinct().groupBy("host").agg(F.count("*").alias("_size")).withColumnRenamed("host", "_of")
+    counted = lines.groupBy("host", "line").agg(F.sum("docs").alias("n_docs"), F.max("n").alias("n_words"), F.min("first").alias("keeper"))
+    above = counted.filter((F.col("n_docs") > min_docs) & (F.col("n_words") > 0))
+    size = texts.groupBy("host").agg(F.count("*").alias("_size")).withColumnRenamed("host", "_of")
     return above.join(size, above["host"].eqNullSafe(size["_of"])).filter(F.col("n_docs") > F.col("_size") * share).select("host", "line", "n_docs", "keeper")
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", max_docs: int = MAX_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
+def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
     """``host``, ``line`` (hash of the normalised line), ``n_docs`` and ``keeper`` (smallest id) of the lines that
-    more than ``max_docs`` distinct documents of the host hold, and more than ``share`` of them. A null host is a host."""
+    more than ``min_docs`` documents of the host hold, and more than ``share`` of them. A null host is a host."""
     texts = _texts(docs, host, text, doc_id)
-    return _often(texts, _lines(texts), max_docs, share)
+    return _often(texts, _lines(texts), min_docs, share)
 
 
-def lost_words(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", max_docs: int = MAX_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
+def lost_words(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
     """For each distinct host and text that holds frequent lines, but for those that it keeps: ``host, t1, t2``, the
     hashes of those lines, and the number of words in them."""
     texts = _texts(docs, host, text, doc_id)
     lines = _lines(texts)
-    often = _often(texts, lines, max_docs, share).select(F.col("host").alias("h"), F.col("line").alias("l"), "keeper")
+    often = _often(texts, lines, min_docs, share).select(F.col("host").alias("h"), F.col("line").alias("l"), "keeper")
     hit = lines.join(often, lines["host"].eqNullSafe(often["h"]) & (lines["line"] == often["l"])).filter(~F.col("first").eqNullSafe(F.col("keeper")) | F.col("first").isNull())
     return hit.groupBy("host", "t1", "t2").agg(F.collect_set("line").alias("lines"), F.sum("n").alias("lost"))
 
@@ -122,38 +123,38 @@ def lost_words(docs: DataFrame, host: str = "source", text: str = "text", doc_id
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _judged(docs: DataFrame, row: Column, host: str, text: str, doc_id: str, max_docs: int, share: float, max_lost: tuple[int, int]) -> DataFrame:
+def _judged(docs: DataFrame, row: Column, host: str, text: str, doc_id: str, min_docs: int, share: float, max_lost: tuple[int, int]) -> DataFrame:
     """``row``, ``host, t1, t2``, ``m`` (the metrics), ``lines``, ``lost``, ``base_failed`` and ``kept``."""
     t = F.coalesce(F.col(text), F.lit(""))
     own = docs.select(row.alias("row"), F.col(host).alias("host"), F.xxhash64(t).alias("t1"), F.hash(t).alias("t2"), base_metrics(F.col(text)).alias("m"))
-    lost = lost_words(docs, host, text, doc_id, max_docs, share).withColumnsRenamed({"host": "_h", "t1": "_t1", "t2": "_t2", "lost": "_lost"})
+    lost = lost_words(docs, host, text, doc_id, min_docs, share).withColumnsRenamed({"host": "_h", "t1": "_t1", "t2": "_t2", "lost": "_lost"})
     out = own.join(lost, own["host"].eqNullSafe(lost["_h"]) & (own["t1"] == lost["_t1"]) & (own["t2"] == lost["_t2"]), "left")
     failed = (F.col("m.n_words") < MIN_WORDS) | (F.col("m.n_repeat_words") * 100 > F.col("m.n_words") * MAX_REPEAT_PERCENT)
     out = out.select("row", "host", "t1", "t2", "m", "lines", F.coalesce("_lost", F.lit(0)).cast("bigint").alias("lost"), failed.alias("base_failed"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("lost") * max_lost[1] <= F.col("m.n_words") * max_lost[0]))
 
 
-def judge(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", max_docs: int = MAX_LINE_DOCS, share: float = LINE_SHARE, max_lost: tuple[int, int] = MAX_LOST) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_LINE_DOCS, share: float = LINE_SHARE, max_lost: tuple[int, int] = MAX_LOST) -> DataFrame:
     """The rows, without their text, with ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
     ``n_repeat_words``, ``base_failed``, ``n_lost_words`` (words in frequent lines that the document doesn't
     keep) and ``kept``. Columns of the input with these names are replaced.
 
-    Empty and null texts have no words, so they fail the base rules. Repeated rows and copies are one
-    document in the counts and are judged alike. A document without an id keeps no frequent line. An empty table
+    Empty and null texts have no words, so they fail the base rules. Each row counts as a document;
+    copies are judged alike. A document without an id keeps no frequent line. An empty table
     gives an empty result.
     """
     results = (*METRICS, "base_failed", "n_lost_words", "kept")
     names = [c for c in docs.columns if c != text and c not in results]
-    out = _judged(docs, F.struct(*[docs[c] for c in names]) if names else F.struct(F.lit(0)), host, text, doc_id, max_docs, share, max_lost)
+    out = _judged(docs, F.struct(*[docs[c] for c in names]) if names else F.struct(F.lit(0)), host, text, doc_id, min_docs, share, max_lost)
     return out.select(*[F.col("row").getField(c).alias(c) for c in names], *[F.col("m").getField(c).alias(c) for c in METRICS], "base_failed", F.col("lost").alias("n_lost_words"), "kept")
 
 
-def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", max_docs: int = MAX_LINE_DOCS, share: float = LINE_SHARE, max_lost: tuple[int, int] = MAX_LOST) -> DataFrame:
+def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_LINE_DOCS, share: float = LINE_SHARE, max_lost: tuple[int, int] = MAX_LOST) -> DataFrame:
     """The documents that the rules keep, with their columns, their frequent lines (but those they keep) removed
     from the text. What is left of a text keeps its other lines as they were, joined by line ends."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[host].alias("_source"), docs[text].alias("_text"))
     # the verdicts are written without the texts, for a filter on figures in one plan would compute them twice
-    verdict = _judged(docs, F.lit(0), host, text, doc_id, max_docs, share, max_lost)
+    verdict = _judged(docs, F.lit(0), host, text, doc_id, min_docs, share, max_lost)
     kept = written(verdict.select("host", "t1", "t2", "lines", "kept"), "verdicts").filter("kept").dropDuplicates(["host", "t1", "t2"])
     t = F.coalesce("_text", F.lit(""))
     rows = rows.withColumns({"_a": F.xxhash64(t), "_b": F.hash(t)})
@@ -183,9 +184,9 @@ def oracle() -> str:
     dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY rid),
     nl AS (SELECT rid, source, text, {normal} AS line FROM ln),
     first AS (SELECT source, text, min(doc_id) AS first FROM d GROUP BY source, text),
-    host AS (SELECT source, count(*) AS size FROM first GROUP BY source),
+    host AS (SELECT source, count(*) AS size FROM d GROUP BY source),
     often AS (SELECT nl.source, line, min(doc_id) AS keeper FROM nl JOIN d USING (rid) JOIN host ON nl.source IS NOT DISTINCT FROM host.source
-              GROUP BY nl.source, line HAVING count(DISTINCT nl.text) > greatest({MAX_LINE_DOCS}, {LINE_SHARE} * any_value(size))),
+              GROUP BY nl.source, line HAVING count(DISTINCT rid) > greatest({MIN_LINE_DOCS}, {LINE_SHARE} * any_value(size))),
     lost AS (SELECT rid, sum(len(string_split(nl.line, ' '))) AS n FROM nl JOIN often ON nl.source IS NOT DISTINCT FROM often.source AND nl.line = often.line
              JOIN first f ON f.source IS NOT DISTINCT FROM nl.source AND f.text = nl.text WHERE f.first IS NULL OR f.first <> keeper GROUP BY rid),
     m AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
