@@ -3,13 +3,15 @@
 An item of m bytes that occurs in a text with at most k edits shares at least m + 1 - q(k + 1)
 q-grams with it, on diagonals that lie within k of each other. So the shared q-grams of each item are
 counted in overlapping bands of diagonals; the bands that reach the bound are verified by a banded
-alignment, and what is within the edit budget is a leak. An item shorter than a q-gram has none to share: it is
-looked for exactly, as a whole word.
+alignment, and what is within the edit budget is a leak. An item that is too short for its budget at q = Q takes the
+largest q whose bound is at least one. An item shorter than Q bytes is looked for exactly, as a whole word.
 
 The benchmark is the query set: it is read in blocks of bounded size, each of them broadcast and held
-against all documents in one pass without a shuffle. A text goes through in segments, and its hits in batches:
-what a worker holds is bounded by the block, a segment and a batch, however long or repetitive the texts are.
-Counts of bands that no later hit can reach are settled and dropped.
+against all documents in one pass without a shuffle. Of several blocks, each has a job of its own, which writes the
+leaks of the texts that have some by the text's digest, and its broadcast ends with it: one index lives at a
+time. A text goes through in segments, and its hits in batches: what a worker holds is bounded by the block, a segment
+and a batch, however long or repetitive the texts are. Counts of bands that no later hit can reach are settled and
+dropped.
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ from __future__ import annotations
 from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noteweave.llm.common import read
+from noteweave.llm.common import read, written
 
 Q = 10
 #: Edits allowed for each byte of an item.
@@ -49,10 +53,16 @@ def fold(text: str | bytes) -> bytes:
     return _FOLD[np.frombuffer(raw, dtype=np.uint8)].tobytes() if raw else b""
 
 
-def gram_codes(b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the ten bytes that start at each place."""
-    if len(b) < Q:
+def gram_codes(b: np.ndarray, q: int = Q) -> np.ndarray:
+    """A 64-bit hash of the q bytes that start at each place."""
+    if len(b) < q:
         return np.zeros(0, dtype=np.uint64)
+    if q < Q:
+        h = np.full(len(b) - q + 1, q, dtype=np.uint64)
+        for j in range(q):
+            h = (h ^ b[j : j + len(h)]) * _U(0x9E3779B97F4A7C15)
+            h ^= h >> _U(32)
+        return h
     two = b[:-1].astype(np.uint64) | b[1:].astype(np.uint64) << _U(8)
     four = two[:-2] | two[2:] << _U(16)
     h = four[:-4] | four[4:] << _U(32)
@@ -70,6 +80,7 @@ class Items:
     ids: list[int]
     texts: list[bytes]
     edits: np.ndarray
+    q: np.ndarray
     least: np.ndarray
     codes: np.ndarray
     item: np.ndarray
@@ -86,16 +97,17 @@ def index_items(rows: list[tuple[int, str]], rate: float = EDIT_RATE) -> Items:
         if 0 < len(t) < Q:
             short.setdefault(t, []).append(i)
     size = np.array([len(t) for _, t in rows], dtype=np.int64)
-    # with that many edits the bound is still at least one
-    edits = np.minimum((size * rate).astype(np.int64), (size - Q) // Q)
-    grams = [gram_codes(np.frombuffer(t, dtype=np.uint8)) for _, t in rows]
+    edits = (size * rate).astype(np.int64)
+    # the largest q with which the bound is still at least one
+    q = np.minimum(Q, np.maximum(size // (edits + 1), 1))
+    grams = [gram_codes(np.frombuffer(t, dtype=np.uint8), n) for (_, t), n in zip(rows, q.tolist(), strict=True)]
     codes = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
     item = np.repeat(np.arange(len(rows), dtype=np.int32), [len(g) for g in grams])
     offset = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if grams else np.zeros(0, dtype=np.int32)
     order = np.argsort(codes, kind="stable")
     known = np.zeros(1 << _BITS, dtype=bool)
     known[(codes >> _U(64 - _BITS)).astype(np.int64)] = True
-    return Items([i for i, _ in rows], [t for _, t in rows], edits, size + 1 - Q * (edits + 1), codes[order], item[order], offset[order], known, short)
+    return Items([i for i, _ in rows], [t for _, t in rows], edits, q, size + 1 - q * (edits + 1), codes[order], item[order], offset[order], known, short)
 
 
 def align(item: bytes, text: bytes, k: int) -> tuple[int, int, int] | None:
@@ -119,11 +131,11 @@ def align(item: bytes, text: bytes, k: int) -> tuple[int, int, int] | None:
     return (edits, start, m + at) if edits <= k else None
 
 
-def _hits(data: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places, first entry in the index and number of entries, for the text's q-grams that items have; in the
-    order of places, in batches of some HITS entries."""
-    for at in range(0, len(data) - Q + 1, CHUNK):
-        codes = gram_codes(data[at : at + CHUNK + Q - 1])
+def _hits(data: np.ndarray, items: Items, q: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, first entry in the index and number of entries, for the text's grams of q bytes that items have; in
+    the order of places, in batches of some HITS entries."""
+    for at in range(0, len(data) - q + 1, CHUNK):
+        codes = gram_codes(data[at : at + CHUNK + q - 1], q)
         place = np.flatnonzero(items.known[(codes >> _U(64 - _BITS)).astype(np.int64)])
         found = codes[place]
         left, right = np.searchsorted(items.codes, found, "left"), np.searchsorted(items.codes, found, "right")
@@ -156,7 +168,6 @@ def _bands(data: np.ndarray, items: Items) -> list[tuple[int, int]]:
     # diagonals of a text of n bytes lie between -longest and n
     low = -longest - 2
     span = len(data) - low + 2
-    key, offset = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def settle(key: np.ndarray) -> None:
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else key
@@ -164,23 +175,25 @@ def _bands(data: np.ndarray, items: Items) -> list[tuple[int, int]]:
         band = band[n >= items.least[band // span]]
         out.extend(zip((band // span).tolist(), (band % span + low).tolist(), strict=True))
 
-    for place, left, count in _hits(data, items):
-        # nothing more comes to the bands that end before this batch's first place
-        over = (key % span + low + 2) * (items.edits[key // span] + 1) + longest < int(place[0])
-        settle(key[over])
-        entry = np.repeat(left - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
-        item, at = items.item[entry].astype(np.int64), items.offset[entry].astype(np.int64)
-        new = item * span + (np.repeat(place, count) - at) // (items.edits[item] + 1) - low
-        key, offset = _distinct(np.concatenate((key[~over], new, new - 1)), np.concatenate((offset[~over], at, at)), len(items.texts) * span, longest)
-    settle(key)
+    for q in np.unique(items.q).tolist():
+        key, offset = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for place, left, count in _hits(data, items, q):
+            # nothing more comes to the bands that end before this batch's first place
+            over = (key % span + low + 2) * (items.edits[key // span] + 1) + longest < int(place[0])
+            settle(key[over])
+            entry = np.repeat(left - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
+            item, at = items.item[entry].astype(np.int64), items.offset[entry].astype(np.int64)
+            new = item * span + (np.repeat(place, count) - at) // (items.edits[item] + 1) - low
+            key, offset = _distinct(np.concatenate((key[~over], new, new - 1)), np.concatenate((offset[~over], at, at)), len(items.texts) * span, longest)
+        settle(key)
     return out
 
 
-def shared_grams(item: bytes, text: bytes, start: int, k: int) -> int:
+def shared_grams(item: bytes, text: bytes, start: int, k: int, q: int = Q) -> int:
     """How many of the item's q-grams the text has on a diagonal within k of ``start``."""
-    own = gram_codes(np.frombuffer(item, dtype=np.uint8))
+    own = gram_codes(np.frombuffer(item, dtype=np.uint8), q)
     window = b"\xff" * max(0, k - start) + text[max(0, start - k) : start + k + len(item)]
-    codes = gram_codes(np.frombuffer(window + b"\xff" * (2 * k + len(item) - len(window)), dtype=np.uint8))
+    codes = gram_codes(np.frombuffer(window + b"\xff" * (2 * k + len(item) - len(window)), dtype=np.uint8), q)
     hit = np.zeros(len(own), dtype=bool)
     for d in range(2 * k + 1):
         hit |= codes[d : d + len(own)] == own
@@ -232,7 +245,7 @@ def leaks(texts: list[bytes], items: Items) -> list[list[tuple[int, int, int, in
             p = bisect(taken, s)
             if p % 2 == 0 and (p == len(taken) or t <= taken[p]):
                 taken[p:p] = [s, t]
-                out[d].append((items.ids[i], s, t, edits, shared_grams(items.texts[i], texts[d], s, int(items.edits[i]))))
+                out[d].append((items.ids[i], s, t, edits, shared_grams(items.texts[i], texts[d], s, int(items.edits[i]), int(items.q[i]))))
     return out
 
 
@@ -255,35 +268,48 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
 
     Null and empty texts hold no leaks; texts are searched whole; null and blank items are not looked for.
     Items of fewer than Q bytes are found exactly, where they first stand as a whole word, with 0 shared
-    q-grams. Repeated items are found each for itself, repeated rows alike. The leaks of one item in a text don't
+    q-grams; ``shared`` counts grams of the item's own q. Repeated items are found each for itself, repeated rows alike. The leaks of one item in a text don't
     overlap: where a periodic text holds it in overlapping places, some of these are given.
     A column of the input named ``leaks`` is replaced.
     """
-    out = docs.drop("leaks")
-    spark = docs.sparkSession
-    for block in _blocks(benchmark, item_id, item_text):
-        shared = spark.sparkContext.broadcast(index_items(block, rate))  # BLOCK_BYTES bounds it
-        names = [c for c in out.columns if c != "leaks"]
-        schema = T.StructType([*(out.schema[c] for c in names), T.StructField("leaks", LEAK)])
-        before = "leaks" in out.columns
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, names=names, schema=schema, before=before) -> Iterator[pa.RecordBatch]:
-            from pyspark.sql.pandas.types import to_arrow_schema
-
-            arrow = to_arrow_schema(schema)
-            for whole in batches:
-                sizes = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in whole.column(text).cast(pa.large_binary() if pa.types.is_large_string(whole.column(text).type) else pa.binary())])
-                cuts = [0, *(np.flatnonzero(np.diff(sizes // CHUNK)) + 1).tolist(), whole.num_rows] if whole.num_rows else []
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    batch = whole.slice(a, b - a)
-                    found = leaks([fold(t or "") for t in batch.column(text).to_pylist()], shared.value)
-                    rows = [[dict(zip(("item_id", "start", "end", "edits", "shared"), x, strict=True)) for x in xs] for xs in found]
-                    if before:
-                        rows = [x + y for x, y in zip(batch.column("leaks").to_pylist(), rows, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(arrow.field(c).type) for c in names), pa.array(rows, arrow.field("leaks").type)], schema=arrow)
-
-        out = out.mapInArrow(run, schema)
-    return out
+    docs = docs.drop("leaks")
+    blocks = _blocks(benchmark, item_id, item_text)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        return _search(docs, text, index_items(block, rate))[0]
+    each = docs.select(F.col(text).alias("t")).filter("t IS NOT NULL")
+    parts: list[DataFrame] = []
+    while block is not None:
+        marked, shared = _search(each, "t", index_items(block, rate))
+        parts.append(written(marked.filter(F.size("leaks") > 0).select(F.sha2("t", 256).alias("_d"), "leaks").dropDuplicates(["_d"]), "leaks"))
+        shared.unpersist()
+        block, after = after, next(blocks, None) if after is not None else None
+    found = reduce(DataFrame.unionByName, parts).groupBy("_d").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.sha2(docs[text], 256).alias("_of"))
+    out = rows.join(found, rows["_of"] == found["_d"], "left")
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns], F.coalesce("leaks", F.array().cast(LEAK)).alias("leaks"))
+
+
+def _search(docs: DataFrame, text: str, items: Items) -> tuple[DataFrame, Broadcast]:
+    """The rows with their leaks of one block, and the broadcast of its index."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)  # BLOCK_BYTES bounds it
+    names = docs.columns
+    schema = T.StructType([*docs.schema, T.StructField("leaks", LEAK)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for whole in batches:
+            sizes = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in whole.column(text).cast(pa.large_binary() if pa.types.is_large_string(whole.column(text).type) else pa.binary())])
+            cuts = [0, *(np.flatnonzero(np.diff(sizes // CHUNK)) + 1).tolist(), whole.num_rows] if whole.num_rows else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                batch = whole.slice(a, b - a)
+                found = leaks([fold(t or "") for t in batch.column(text).to_pylist()], shared.value)
+                rows = [[dict(zip(("item_id", "start", "end", "edits", "shared"), x, strict=True)) for x in xs] for xs in found]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(arrow.field(c).type) for c in names), pa.array(rows, arrow.field("leaks").type)], schema=arrow)
+
+    return docs.mapInArrow(run, schema), shared
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -80,18 +80,33 @@ def test_quality_rules(spark):
              (102, None, None, "k", 1), (103, "host", "", "k", 1), (104, "host", " ".join(["a b c d e f g h"] * 10), "k", 1), (None, "host", prose(3), "k", 1), (105, "host", "x " * 300_000, "k", 1)]
     rows += [(200 + i, "copied", "\n".join(f"line {chr(97 + j)} of it {i if j == 3 else ''} goes here" for j in range(20)), "k", 1) for i in range(60)]  # digits are one to the lines
     df = spark.createDataFrame(rows, "doc_id bigint, source string, text string, _lines string, kept int")
-    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    got = {r.doc_id: r for r in quality.judge(df, min_docs=50).collect()}
     assert got[0].kept and got[0].n_lost_words == 0 and got[1].kept and got[1].n_lost_words == 4 and got[1].n_words == 44 and got[1]._lines == "k"
     assert got[100].n_lost_words == 0 and got[100].kept
     assert not got[101].kept and not got[101].base_failed and got[101].n_lost_words == 24
     assert got[102].base_failed and got[103].base_failed and got[104].base_failed and got[104].n_repeat_words == 80 and got[105].n_repeat_words == 300_000
     assert [i for i in range(200, 260) if got[i].kept] == [200]  # one of the near copies stays whole
     assert {r.doc_id: r.n_lost_words for r in quality.judge(df, share=0.99).collect()}[1] == 0
-    out = {r.doc_id: r for r in quality.apply_rules(df).collect()}
+    out = {r.doc_id: r for r in quality.apply_rules(df, min_docs=50).collect()}
     assert set(out) == {*range(60), 100, 200, None} and out[5].text == prose(5) and out[0].text.startswith("Home") and out[100].text.startswith("Home") and out[5]._lines == "k"
     assert quality.apply_rules(df.filter("false")).collect() == [] == quality.judge(df.filter("false")).collect()
 
 
+def test_quality_counts_documents_by_host(spark):
+    name = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(3))
+    prose = lambda k: " ".join(f"w{name(k)}{name(j)}" for j in range(30))
+    rows = [(i, "small", f"Subscribe now!\n{prose(i)}" if i < 8 else prose(i)) for i in range(20)]  # 8 of 40, limit 5
+    rows += [(100 + i, "small", f"{prose(100)}\nSubscribe  NOW!") for i in range(20)]  # copies count as documents, the keeper's text isn't theirs
+    rows += [(200 + i, None, f"{prose(i)}\nmore") for i in range(5)] + [(300 + i, "copies", prose(300)) for i in range(30)]
+    rows += [(400 + i, "large", f"rare line of it\n{prose(400 + i)}" if i < 12 else prose(400 + i)) for i in range(120)]  # 12 of 120 is the share, not above it
+    df = spark.createDataFrame(rows, "doc_id int, source string, text string")
+    got = {r.doc_id: r.n_lost_words for r in quality.judge(df).collect()}
+    assert {i for i, n in got.items() if n} == {*range(1, 8), *range(100, 120)} and got[5] == got[105] == 2
+    lines = quality.frequent_lines(df)
+    assert {(r.host, r.n_docs, r.keeper) for r in lines.collect()} == {("small", 28, 0), ("small", 20, 100), ("copies", 30, 300)}
+    assert len(quality.apply_rules(df).collect()) == len(rows)
+
+
 def test_repeated_windows_equal_brute_force(spark):
     rng = random.Random(7)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(80)]
@@ -275,6 +290,38 @@ def test_decontamination_of_short_items_and_long_runs(spark, monkeypatch):
     assert got[2:7] == [{100, 102}, {101}, {103}, set(), set()] and 105 in got[7] and not got[8] - set(range(60))
 
 
+def test_decontamination_of_items_of_10_to_40_bytes(spark):
+    rng = random.Random(14)
+    letters = "abcdef "
+    items = ["x" + "".join(rng.choice(letters) for _ in range(n - 2)) + "y" for n in range(10, 41)]
+    own = decontam.index_items(list(enumerate(items)))
+    assert own.edits.tolist() == [int(len(x) * decontam.EDIT_RATE) for x in items] and own.least.min() >= 1
+    texts = []
+    for k in [*range(len(items))] * 2:
+        leak = list(items[k])
+        for _ in range(rng.randint(0, own.edits[k] + 1)):
+            at = rng.randrange(len(leak))
+            leak[at] = rng.choice(["", rng.choice(letters), leak[at] + rng.choice(letters)])
+        texts.append("".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) + "".join(leak) + "".join(rng.choice(letters) for _ in range(rng.randint(0, 50))))
+    for t, found in zip(texts, decontam.leaks([decontam.fold(t) for t in texts], own), strict=True):
+        want = {k for k, x in enumerate(items) if distance(decontam.fold(x), decontam.fold(t)) <= own.edits[k]}
+        assert {x[0] for x in found} == want, (t, found, want)
+
+
+def test_decontamination_in_twenty_blocks(spark, monkeypatch):
+    rng = random.Random(15)
+    items = [(i, "".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randint(60, 90)))) for i in range(40)]
+    docs = [(i, f"see {items[i % 40][1]} and {items[(i * 7) % 40][1][:-1]}" if i % 3 else "clean words", "x") for i in range(60)] + [(None, items[3][1], None), (None, None, "n"), (7, "", "e"), (8, items[3][1], "again")]
+    df = spark.createDataFrame(docs, "doc_id int, text string, _row string").withColumn("leaks", F.lit(1))
+    bench = spark.createDataFrame(items, "item_id int, text string").coalesce(1)
+    rows = lambda out: sorted((str((r.doc_id, r.text, r._row)), sorted((x.item_id, x.start, x.end, x.edits) for x in r.leaks)) for r in out.collect())
+    one = rows(decontam.mark_leaks(df, bench))
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 500)
+    assert len(list(decontam._blocks(bench, "item_id", "text"))) >= 20
+    assert rows(decontam.mark_leaks(df, bench)) == one and sum(len(x) for _, x in one) > 60
+    assert decontam.mark_leaks(df.filter("false"), bench).collect() == []
+
+
 # ---------------------------------------------------------------- language ID
 
 
