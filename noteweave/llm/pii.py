@@ -1,9 +1,10 @@
 """PII surrogates: detected entities get keyed replacements of the same type, script, gender and format.
 
 One expression finds e-mail addresses, IP addresses, keys, secrets, card numbers, IBANs, social security
-and phone numbers, and persons: names behind a form of address, or a known given name with a surname. An
-entity is made of units: an address of its local part and its host, a name of a given name and a surname,
-anything else of itself. Every distinct unit draws a surrogate from a keyed digest, so equal units in any form
+and phone numbers, and persons: names behind a form of address, a known given name with a surname, or two names
+behind words that announce one ("name is", "signed by"); initials may stand before the last name. An entity is made of
+units: an address of its local part and its host, a name of a given name and a surname, anything else of itself.
+Initials are moved along their alphabet by a step that the key gives. Every distinct unit draws a surrogate from a keyed digest, so equal units in any form
 and any document have equal surrogates: "Mr John Smith", "Dr Smith" and "John Smith" share theirs. A name
 without a gender takes that of the same surname in its text, else in all texts, if there is only one. Where a
 text holds a person, the bare full name and surname are replaced in it too.
@@ -19,6 +20,7 @@ joins are ones whose hot partitions Spark splits.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,22 +31,29 @@ from noteweave.llm.common import let, read, written
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Madame", "Señora", "Sra", "Госпожа"), "m": ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Господин"), "n": ("Dr", "Prof")}
 #: Given names that tell a person without a title, by gender. Names that are common words too are left out.
 GIVEN = {
-    "f": ("Alice", "Andrea", "Anna", "Barbara", "Carmen", "Caroline", "Catherine", "Charlotte", "Claudia", "Elena", "Elizabeth", "Emily", "Emma", "Hannah", "Helen", "Isabel", "Jennifer", "Jessica", "Julia", "Karen", "Katharina", "Laura", "Lucia", "Margaret", "Maria", "Marie", "Martha", "Mary", "Monika", "Nicole", "Olga", "Patricia", "Rachel", "Sabine", "Sandra", "Sarah", "Sophie", "Susan", "Ursula", "Анна", "Елена", "Мария", "Ольга"),
-    "m": ("Alexander", "Andrew", "Antonio", "Benjamin", "Carlos", "Charles", "Christian", "Daniel", "David", "Edward", "Francisco", "François", "George", "Hans", "Henry", "Jacques", "James", "Javier", "Jean", "John", "Joseph", "José", "Juan", "Jürgen", "Klaus", "Louis", "Luis", "Manuel", "Martin", "Matthew", "Michael", "Miguel", "Nicolas", "Paul", "Peter", "Philippe", "Pierre", "Richard", "Robert", "Stefan", "Thomas", "Wolfgang", "William", "Дмитрий", "Иван", "Сергей"),
+    "f": ("Aisha", "Alice", "Ana", "Andrea", "Angela", "Anna", "Barbara", "Carmen", "Caroline", "Catherine", "Charlotte", "Claudia", "Diana", "Elena", "Elizabeth", "Emily", "Emma", "Fatima", "Hannah", "Helen", "Isabel", "Jane", "Jennifer", "Jessica", "Julia", "Karen", "Katharina", "Laura", "Linda", "Lisa", "Lucia", "Margaret", "Maria", "Marie", "Martha", "Mary", "Mei", "Monika", "Nancy", "Natalia", "Nicole", "Nina", "Olga", "Patricia", "Priya", "Rachel", "Sabine", "Sandra", "Sarah", "Sofia", "Sophie", "Susan", "Ursula", "Yuki", "Анна", "Елена", "Мария", "Ольга"),
+    "m": ("Adam", "Ahmed", "Alan", "Alexander", "Ali", "Andrew", "Antonio", "Benjamin", "Brian", "Carlos", "Charles", "Christian", "Daniel", "David", "Diego", "Edward", "Eric", "Fernando", "Francisco", "François", "George", "Hans", "Henry", "Jacques", "James", "Javier", "Jean", "John", "Joseph", "José", "Juan", "Jürgen", "Kevin", "Klaus", "Louis", "Luis", "Manuel", "Martin", "Matthew", "Michael", "Miguel", "Mohammed", "Muhammad", "Nicolas", "Oliver", "Omar", "Pablo", "Paul", "Peter", "Philippe", "Pierre", "Raj", "Richard", "Robert", "Simon", "Stefan", "Steven", "Thomas", "Wei", "Wolfgang", "William", "Дмитрий", "Иван", "Сергей"),
 }
 _BY_GENDER = {g: [x for t in ts for x in dict.fromkeys((t, t.upper()))] for g, ts in TITLES.items()}
 _TITLE = "|".join(t for g in ("f", "m", "n") for t in _BY_GENDER[g])
 _GIVEN = "|".join(sorted(n for names in GIVEN.values() for n in names))
 _NAME = r"\p{Lu}[\p{L}'’-]+"
-_PERSON = rf"(?=\p{{Lu}})(?<![\p{{L}}\d])(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME})?|(?:{_GIVEN}) {_NAME})"
+_INITIAL = r"\p{Lu}\."
+_FULL = rf"{_NAME}(?: {_INITIAL}){{0,3}} {_NAME}"
+#: Words that announce a name, whatever the given name is.
+_CUE = r"[Nn]ame is|[Nn]ame:|[Ss]igned by|[Aa]uthor:|[Cc]ontact:|[Pp]atient:"
+_PERSON = rf"(?=\p{{Lu}})(?<![\p{{L}}\d])(?:(?:{_TITLE})\.? (?:{_INITIAL} ){{0,3}}{_NAME}(?:(?: {_INITIAL}){{0,3}} {_NAME})?|(?:{_GIVEN})(?: {_INITIAL}){{0,3}} {_NAME}|(?<=(?:{_CUE}) ){_FULL})"
 _SECRET_NAMES = ("password", "passwd", "token", "secret", "api_key", "apikey")
+#: Version 4, or version 6 written out or with one gap, of five digits and more.
+_IP = (r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)"
+       r"|(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?::{0,2}[0-9A-Fa-f]){5})(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])")
 #: In this order; where several could start at a place, the first does. A repeated group is possessive, for
 #: Java's matcher would recurse once for each repeat and end the executor on a long run.
 PATTERNS = (
     ("email", r"(?<![\w.+-])[\w.+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"),
     ("key", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
     ("secret", rf"(?<=(?i:{'|'.join(_SECRET_NAMES)})[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?)[A-Za-z0-9_+/-]{{8,}}"),
-    ("ip", r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)"),
+    ("ip", _IP),
     ("card", r"(?<![\d-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?!\d)"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
@@ -64,7 +73,7 @@ SYLLABLES = {
 def has_entities(text: Column) -> Column:
     """Whether a text can hold an entity: a few fast looks before the expression itself."""
     t = F.coalesce(text, F.lit(""))
-    quick = F.contains(t, F.lit("@")) | F.contains(t, F.lit("AKIA")) | F.rlike(t, F.lit(r"[0-9]{2}|[0-9]\.[0-9]")) | F.rlike(t, F.lit(rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_TITLE})\.?|{_GIVEN}) \p{{Lu}}"))
+    quick = F.contains(t, F.lit("@")) | F.contains(t, F.lit("AKIA")) | F.rlike(t, F.lit(r"[0-9]{2}|[0-9]\.[0-9]|::|:[0-9A-Fa-f]{1,4}:")) | F.rlike(t, F.lit(rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_TITLE})\.?|{_GIVEN}) \p{{Lu}}|(?:{_CUE}) \p{{Lu}}"))
     quick = quick | F.rlike(t, F.lit(f"(?i:{'|'.join(_SECRET_NAMES)})"))
     return quick & F.rlike(t, F.lit(ENTITY))
 
@@ -76,14 +85,24 @@ def _digits(c: Column) -> Column:
 def kind_of(entity: Column) -> Column:
     """The type of an entity by its own string."""
     whole = F.coalesce(*[F.when(F.rlike(entity, F.lit(f"^(?:{p})$")), F.lit(k)) for k, p in PATTERNS if k != "secret"])
-    return F.coalesce(whole, F.lit("secret"))
+    announced = F.when(F.rlike(entity, F.lit(f"^{_FULL}$")), F.lit("person"))  # what announces it is outside the string
+    return F.coalesce(whole, announced, F.lit("secret"))
+
+
+def _initial(word: Column) -> Column:
+    return F.rlike(word, F.lit(f"^{_INITIAL}$"))
+
+
+def _words(person: Column) -> Column:
+    """The names and initials of a person, without the form of address."""
+    return F.split(F.regexp_replace(person, rf"^(?:{_TITLE})\.? ", ""), " ")
 
 
 def _name_parts(entity: Column) -> Column:
-    """``struct<gender, given, surname>`` of a person; a single name is a surname unless it is a known given one."""
+    """``struct<gender, given, surname>`` of a person, without initials; a single name is a surname unless it is a known given one."""
     title = F.regexp_extract(entity, rf"^({_TITLE})\.? ", 1)
     of = lambda c, table: F.when(c.isin(list(table["f"])), "f").when(c.isin(list(table["m"])), "m")
-    parts = F.split(F.regexp_replace(entity, rf"^(?:{_TITLE})\.? ", ""), " ")
+    parts = F.filter(_words(entity), lambda w: ~_initial(w))
     def known(ws: Column) -> Column:
         alone = (F.size(ws) == 1) & of(ws[0], GIVEN).isNotNull()
         given, surname = F.when((F.size(ws) == 2) | alone, ws[0]), F.when(F.size(ws) == 2, F.get(ws, F.lit(1))).when(~alone, ws[0])
@@ -92,9 +111,9 @@ def _name_parts(entity: Column) -> Column:
 
 
 def normal_form(kind: Column, entity: Column) -> Column:
-    """What equal entities (but persons) have in common: e-mail addresses in lower case, numbers by their
+    """What equal entities (but persons) have in common: e-mail and IP addresses in lower case, numbers by their
     digits (phones by the last ten)."""
-    return (F.when(kind == "email", F.lower(entity)).when(kind.isin("card", "ssn"), _digits(entity))
+    return (F.when(kind.isin("email", "ip"), F.lower(entity)).when(kind.isin("card", "ssn"), _digits(entity))
             .when(kind == "phone", F.right(_digits(entity), F.lit(10))).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).otherwise(entity))
 
 
@@ -176,6 +195,10 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str, syllables:
         host = F.concat(_recast(F.regexp_extract(norm, r"^(.*)\.[^.]*$", 1), d), F.when(attempt >= 2, more).otherwise(F.lit("")), F.regexp_extract(norm, r"(\.[^.]*)$", 1))
         card = let(F.concat(F.substring(norm, F.lit(1), F.lit(1)), F.substring(_recast(norm, d), F.lit(2), F.length(norm) - 2)), lambda c: F.concat(c, ((luhn(norm) - luhn(F.concat(c, F.lit("0"))) + 10) % 10).cast("string")))
         ip = F.concat_ws(".", (_byte(d, F.lit(0)) % 223 + 1).cast("string"), _byte(d, F.lit(1)).cast("string"), _byte(d, F.lit(2)).cast("string"), (_byte(d, F.lit(3)) % 254 + 1).cast("string"))
+        # a version 6 address keeps its form; one that has lost twice gets all its 128 bits, so such never run out
+        hexed = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.when(c == ":", c).otherwise(_at(_HEX, _byte(d, i)))), "")
+        ip6 = F.when(attempt >= 2, F.concat_ws(":", *[F.substring(d, 4 * i + 1, 4) for i in range(8)])).otherwise(hexed)
+        ip = F.when(F.contains(norm, F.lit(":")), ip6).otherwise(ip)
         aws = F.concat(F.lit("AKIA"), *[_draw(_UPPER + "234567", _byte(d, F.lit(i))) for i in range(16)])
         phone = F.concat(_draw("23456789", _byte(d, F.lit(63))), F.substring(_recast(norm, d), F.lit(2), F.length(norm)))
         land, account = F.substring(norm, F.lit(1), F.lit(2)), F.substring(_recast(norm, d), F.lit(5), F.length(norm))
@@ -185,8 +208,19 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str, syllables:
     return let(_digest(key, kind, norm, attempt.cast("string")), drawn)
 
 
-def written_as(kind: Column, entity: Column, sur: Column) -> Column:
-    """Surrogates of an entity's units (an array) in its form: its separators, title, and capitals."""
+#: The capitals that initials are moved along, each in its own alphabet.
+_CAPITALS = (_UPPER, "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
+
+
+def _moved(word: Column, key: str) -> Column:
+    """An initial moved along its alphabet by the key's step (never by none)."""
+    step = int(hashlib.sha256(f"initials\x1f{key}".encode()).hexdigest(), 16)
+    to = "".join(a[1 + step % (len(a) - 1) :] + a[: 1 + step % (len(a) - 1)] for a in _CAPITALS)
+    return F.translate(word, "".join(_CAPITALS), to)
+
+
+def written_as(kind: Column, entity: Column, sur: Column, key: str) -> Column:
+    """Surrogates of an entity's units (an array) in its form: its separators, title, initials and capitals."""
     one = F.get(sur, F.lit(0))
     total = F.length(_digits(entity))
     skip = total - F.length(one)
@@ -194,11 +228,12 @@ def written_as(kind: Column, entity: Column, sur: Column) -> Column:
     spaced = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(one, F.length(F.replace(F.substring(entity, F.lit(1), i), F.lit(" "), F.lit(""))) + 1, F.lit(1)))), "")
     title = F.regexp_extract(entity, rf"^((?:{_TITLE})\.? )", 1)
     loud = lambda was, new: F.when((F.upper(was) == was) & (F.length(was) > 1), F.upper(new)).otherwise(new)
-    name = F.array_join(F.zip_with(F.split(F.regexp_replace(entity, rf"^(?:{_TITLE})\.? ", ""), " "), sur, loud), " ")
+    before = lambda ws, i: F.size(F.filter(F.slice(ws, F.lit(1), i), lambda w: ~_initial(w)))
+    name = let(_words(entity), lambda ws: F.array_join(F.transform(ws, lambda w, i: F.when(_initial(w), _moved(w, key)).otherwise(loud(w, F.get(sur, before(ws, i))))), " "))
     mail = F.concat(F.substring_index(one, "@", 1), F.lit("@"), F.get(sur, F.lit(1)))
     return (F.when(kind.isin("card", "ssn", "phone"), filled).when(kind == "iban", spaced)
             .when(kind == "email", F.when(F.upper(entity) == entity, F.upper(mail)).otherwise(mail))
-            .when(kind == "person", F.concat(title, name)).otherwise(one))
+            .when(kind == "person", F.concat(title, name)).when((kind == "ip") & F.rlike(entity, F.lit("[A-F]")), F.upper(one)).otherwise(one))
 
 
 def _real(kind: Column, norm: Column) -> Column:
@@ -262,8 +297,8 @@ def entity_units(entities: DataFrame) -> DataFrame:
 
 def _bare(put: DataFrame) -> DataFrame:
     """``tid, _bare``: for each text with persons, its full names and surnames with their surrogates, longer ones first."""
-    title = rf"^(?:{_TITLE})\.? "
-    was, new = F.split(F.regexp_replace("entity", title, ""), " "), F.split(F.regexp_replace("new", title, ""), " ")
+    names = lambda c: F.filter(_words(F.col(c)), lambda w: ~_initial(w))
+    was, new = names("entity"), names("new")
     pair = lambda a, b: F.struct(F.length(a).alias("size"), a.alias("was"), b.alias("new"))
     full = F.when(F.size(was) == 2, pair(F.array_join(was, " "), F.array_join(new, " ")))
     last = pair(F.element_at(was, -1), F.element_at(new, -1))
@@ -287,7 +322,7 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     units = written(entity_units(entities), "units")
     drawn = surrogates(units, key)
     sur = units.join(drawn, ["kind", "norm"]).groupBy("tid", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "sur"))), lambda x: x["sur"]).alias("sur"))
-    put = entities.join(sur, ["tid", "pos"]).select("tid", "pos", "kind", "entity", written_as(F.col("kind"), F.col("entity"), F.col("sur")).alias("new"))
+    put = entities.join(sur, ["tid", "pos"]).select("tid", "pos", "kind", "entity", written_as(F.col("kind"), F.col("entity"), F.col("sur"), key).alias("new"))
     put = written(put, "put")
     bare = _bare(put)
     put = put.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("_put")).join(bare, "tid", "left")
