@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -191,6 +192,31 @@ def test_suffix_array_of_long_runs():
         assert text[x : x + int(shared[y])] == text[y : y + int(shared[y])] and t[x + shared[y]] < t[y + shared[y]]
 
 
+def test_suffix_array_of_many_symbols_takes_no_step_for_each_suffix():
+    rng = np.random.default_rng(5)
+    part = rng.permutation(7_000) + 1
+    for t in (np.concatenate((np.tile(part, 3), rng.integers(1, 7_001, 9_000), [0])), np.concatenate((np.full(5_000, 90_000), part, np.full(5_000, 90_000), [0]))):
+        steps = 0
+
+        def count(frame, event, arg):
+            nonlocal steps
+            steps += event == "line"
+            return count
+
+        before = sys.gettrace()
+        sys.settrace(count)
+        try:
+            sa = suffix.suffix_array(t)
+        finally:
+            sys.settrace(before)
+        assert steps < len(t) // 10
+        rank = np.empty(len(t), dtype=np.int64)
+        rank[sa] = np.arange(len(t))
+        assert sorted(sa.tolist()) == list(range(len(t))) and sa[0] == len(t) - 1
+        own = list(zip(t[sa[1:]].tolist(), rank[sa[1:] + 1].tolist(), strict=True))  # first symbol, place of the rest
+        assert own == sorted(own)
+
+
 def test_suffix_dedup_with_hot_anchors_and_many_chunks(spark, monkeypatch):
     monkeypatch.setattr(suffix, "HOT", 3)
     monkeypatch.setattr(exchange, "LEAST_BYTES", 300)
