@@ -88,6 +88,21 @@ def test_products_in_small_steps_and_a_bounded_cache(monkeypatch):
     assert len(small.known) == 4  # the cache began anew
 
 
+def test_a_block_is_aligned_part_by_part(monkeypatch):
+    """What a worker holds at once are a part's pieces, however large the block, and the cache is bounded inside it."""
+    own, small = (crosstok.Aligner(open(A, "rb").read(), open(B, "rb").read()) for _ in range(2))
+    texts = [f"word{i} the cat {i % 7} sat" for i in range(60)] + ODD
+    want = own.aligned(texts)
+    monkeypatch.setattr(crosstok, "PART_BYTES", 100)
+    monkeypatch.setattr(crosstok, "PIECES", 3)
+    monkeypatch.setattr(crosstok, "CACHE", 20)
+    seen, links = [], small.links
+    monkeypatch.setattr(small, "links", lambda at, n: seen.append((len(n), len(small.known))) or links(at, n))
+    got = small.aligned(texts)
+    assert got[1] == want[1] and all((x == y).all() for x, y in zip((got[0], *got[2:]), (want[0], *want[2:]), strict=True))
+    assert len(seen) > 10 and max(n for n, _ in seen) < 30 and max(k for _, k in seen) < 100
+
+
 def test_token_groups(spark):
     own = crosstok.Aligner(open(A, "rb").read(), open(B, "rb").read())
     rows = [(i, t) for i, t in enumerate(ODD[:12])]
