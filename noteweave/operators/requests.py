@@ -16,7 +16,7 @@ from noteweave.functions.tables import settled
 from noteweave.functions.text import slices, strip
 from noteweave.operators.chunks import KEY, SHORT, build_chunks
 from noteweave.operators.labels import ingest_labels, inherit_labels, label_by_rules, overlay_labels
-from noteweave.operators.model import apply_model, render
+from noteweave.operators.model import apply_model, apply_model_within, render
 from noteweave.operators.overrides import EDGE, NODE, K
 from noteweave.sources.packs import Pack
 
@@ -45,15 +45,22 @@ def _ok(answers: DataFrame) -> DataFrame:
 def label_sentences(sentences: DataFrame, cases: DataFrame, pack: Pack, domain: DataFrame, fn: Model, template: str, around: int | None = None, **calls) -> DataFrame:
     """``text_hash, index, section_id, by``: the model's label where it gives one of the domain's, else the rules'.
     The request has ``{start}``, ``{end}``, ``{sentence}`` and ``{context}``: the whole note, or ``around`` characters of it on either
-    side. A note meets its sentences once, in one row, and is cut there by blocks. ``calls`` go to ``apply_model``."""
+    side. A note meets its sentences once, in one row, and is cut there by blocks. ``calls`` go to ``apply_model``.
+
+    With the whole note and no ``store`` the requests are written out where they are asked (``apply_model_within``), for all of them together are
+    as many times as long as the notes as these have sentences."""
     own = sentences.groupBy("text_hash").agg(F.collect_list(F.struct("index", "start_char", "end_char", "text")).alias("_s")).join(cases.select("text_hash", "raw_text"), "text_hash")
-    if around is None:
-        each = own.select("text_hash", "raw_text", F.explode("_s").alias("s")).withColumn("_around", F.col("raw_text"))
+    if around is None and not calls.keys() & {"store", "waves"}:
+        slots = {"start": "start_char", "end": "end_char", "sentence": "text"}
+        said, _ = ingest_labels(_ok(apply_model_within(own, "raw_text", "_s", "index", slots, template, fn, LABEL, **calls)), domain)
     else:
-        windows = F.transform("_s", lambda s: F.struct(F.greatest(s["start_char"] - around, F.lit(0)).alias("start"), (s["end_char"] + around).alias("end")))
-        each = own.select("text_hash", F.explode(F.zip_with("_s", slices(F.col("raw_text"), windows), lambda s, t: F.struct(s.alias("s"), t.alias("t")))).alias("x")).select("text_hash", "x.s", F.col("x.t").alias("_around"))
-    asked = each.select("text_hash", "s.index", render(template, start=F.col("s.start_char"), end=F.col("s.end_char"), sentence=F.col("s.text"), context=F.col("_around")).alias("request"))
-    said, _ = ingest_labels(_ok(apply_model(asked, "request", fn, LABEL, **calls)), domain)
+        if around is None:
+            each = own.select("text_hash", "raw_text", F.explode("_s").alias("s")).withColumn("_around", F.col("raw_text"))
+        else:
+            windows = F.transform("_s", lambda s: F.struct(F.greatest(s["start_char"] - around, F.lit(0)).alias("start"), (s["end_char"] + around).alias("end")))
+            each = own.select("text_hash", F.explode(F.zip_with("_s", slices(F.col("raw_text"), windows), lambda s, t: F.struct(s.alias("s"), t.alias("t")))).alias("x")).select("text_hash", "x.s", F.col("x.t").alias("_around"))
+        asked = each.select("text_hash", "s.index", render(template, start=F.col("s.start_char"), end=F.col("s.end_char"), sentence=F.col("s.text"), context=F.col("_around")).alias("request"))
+        said, _ = ingest_labels(_ok(apply_model(asked, "request", fn, LABEL, **calls)), domain)
     ruled = inherit_labels(label_by_rules(sentences, pack), pack).select("text_hash", "index", F.col("section_id").alias("_rule"))
     both = ruled.join(said.select("text_hash", "index", "section_id"), ["text_hash", "index"], "left")
     return both.select("text_hash", "index", F.coalesce("section_id", "_rule").alias("section_id"), F.when(F.col("section_id").isNotNull(), "model").otherwise("rule").alias("by"))
