@@ -19,13 +19,58 @@ def quote(literal: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", literal)
 
 
+_SPECIAL = set(".^$*+?{}[]|()")
+
+
+def needed_literal(pattern: str) -> str:
+    """The longest run of characters that every match of an expression holds, by reading it from the left: a run ends at anything
+    that isn't a plain character; a quantifier takes the last character off. Expressions with alternatives or flags at their top level have none
+    (empty)."""
+    runs, run, depth, i = [""], "", 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            follows = pattern[i + 1 : i + 2]
+            if follows in set("xu0ckQEN"):
+                return ""  # a character or a name written out
+            literal = follows if follows and not follows.isalnum() else None
+            i += 2
+        elif c == "[":
+            i += 2 if pattern[i + 1 : i + 2] != "^" else 3
+            while i < len(pattern) and pattern[i] != "]":
+                i += 2 if pattern[i] == "\\" else 1
+            literal, i = None, i + 1
+        elif c == "|" and depth == 0:
+            return ""
+        elif c == "(":
+            if depth == 0 and pattern.startswith("(?", i) and not pattern.startswith("(?:", i):
+                return ""
+            depth, literal, i = depth + 1, None, i + 1
+        elif c == ")":
+            depth, literal, i = depth - 1, None, i + 1
+        elif c in "*?{+":
+            if c == "{":
+                i = pattern.find("}", i)
+                if i < 0:
+                    return ""
+            run, literal, i = run[:-1] if depth == 0 else run, None, i + 1
+        else:
+            literal, i = (c if c not in _SPECIAL else None), i + 1
+        if literal is None or depth:
+            runs.append(run)
+            run = ""
+        else:
+            run += literal
+    return max([*runs, run], key=len)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value worked out once, however often the body names it."""
     return F.transform(F.array(value), body)[0]
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(c, F.lit(WS))  # from both ends; an expression would be tried at every character
 
 
 def is_blank(c: Column) -> Column:
@@ -131,7 +176,10 @@ def matches_sql(text: str, pattern: str) -> str:
     fold = f"flatten(aggregate({block}, named_struct('s', 0, 'out', cast(array() as array<array<int>>)), (a, b) -> transform(array({inner}), r -> named_struct('s', r.s, 'out', array_append(a.out, r.out)))[0]).out)"
     pieces = f"flatten(zip_with(split({text}, {p}, -1), f, (g, m) -> array(g, coalesce(m, ''))))"
     placed = f"transform(array({pieces}), p -> transform(array({fold}), o -> transform(f, (m, i) -> named_struct('start', get(o, 2 * i + 1), 'end', get(o, 2 * i + 1) + length(m), 'text', m)))[0])[0]"
-    return f"CASE WHEN rlike({text}, {p}) THEN transform(array(regexp_extract_all({text}, {p}, 0)), f -> {placed})[0] ELSE {empty} END"
+    literal = needed_literal(pattern)
+    may = f"contains({text}, {sql_string(literal)})" if literal else "true"
+    holds = may if quote(literal) == pattern else f"{may} AND rlike({text}, {p})"
+    return f"CASE WHEN {holds} THEN transform(array(regexp_extract_all({text}, {p}, 0)), f -> {placed})[0] ELSE {empty} END"
 
 
 def tiles(text: Column, pattern: str) -> Column:

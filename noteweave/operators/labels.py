@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteweave.functions.tables import settled
+from noteweave.functions.text import needed_literal
 from noteweave.sources.packs import Pack
 
 
@@ -19,7 +20,8 @@ def rule_label(text: Column, pack: Pack) -> Column:
     for _, (name, _, patterns) in ranked:
         hit = None
         for p in patterns:
-            one = F.rlike(text, F.lit(pack.flags + p))
+            one, literal = F.rlike(text, F.lit(pack.flags + p)), needed_literal(pack.flags + p)
+            one = F.contains(text, F.lit(literal)) & one if literal else one  # a plain search spares most texts the expression
             hit = one if hit is None else hit | one
         out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     return out if out is not None else F.lit(None).cast("string")
@@ -32,49 +34,6 @@ def label_by_rules(sentences: DataFrame, pack: Pack) -> DataFrame:
 #: Characters of a literal by which a rule is looked up, and rules without a literal that go in one expression.
 GRAM = 4
 BLOCK_RULES = 200
-_SPECIAL = set(".^$*+?{}[]|()")
-
-
-def needed_literal(pattern: str) -> str:
-    """The longest run of characters that every match of an expression holds, by reading it from the left: a run ends at anything
-    that isn't a plain character; a quantifier takes the last character off. Expressions with alternatives or flags at their top level have none
-    (empty)."""
-    runs, run, depth, i = [""], "", 0, 0
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\":
-            follows = pattern[i + 1 : i + 2]
-            if follows in set("xu0ckQEN"):
-                return ""  # a character or a name written out
-            literal = follows if follows and not follows.isalnum() else None
-            i += 2
-        elif c == "[":
-            i += 2 if pattern[i + 1 : i + 2] != "^" else 3
-            while i < len(pattern) and pattern[i] != "]":
-                i += 2 if pattern[i] == "\\" else 1
-            literal, i = None, i + 1
-        elif c == "|" and depth == 0:
-            return ""
-        elif c == "(":
-            if depth == 0 and pattern.startswith("(?", i) and not pattern.startswith("(?:", i):
-                return ""
-            depth, literal, i = depth + 1, None, i + 1
-        elif c == ")":
-            depth, literal, i = depth - 1, None, i + 1
-        elif c in "*?{+":
-            if c == "{":
-                i = pattern.find("}", i)
-                if i < 0:
-                    return ""
-            run, literal, i = run[:-1] if depth == 0 else run, None, i + 1
-        else:
-            literal, i = (c if c not in _SPECIAL else None), i + 1
-        if literal is None or depth:
-            runs.append(run)
-            run = ""
-        else:
-            run += literal
-    return max([*runs, run], key=len)
 
 
 def label_by_rule_table(sentences: DataFrame, rules: DataFrame) -> DataFrame:
