@@ -606,8 +606,8 @@ SELECT case_id, CAST(length(raw_text) AS INTEGER) AS n_chars, coalesce((SELECT n
 def case_graph_statistics(spark, sf_dir):
     """Changed labels, nodes and edges of each case; a label is changed where the inherited one isn't the rule's own."""
     cases = settled(_cases(spark, sf_dir), "cases")
-    both = N.labelled_sentences(cases, GENERIC)
     keys, none = ["case_id", "index"], F.lit("")
+    both = settled(N.labelled_sentences(cases, GENERIC).select(*keys, "rule_label", "section_id"), "labels")
     overlaid = labels.overlay_labels(both.select(*keys, F.coalesce("rule_label", none).alias("section_id"), none.alias("reasoning")), both.select(*keys, "section_id", none.alias("reasoning"), F.lit(0).alias("pos")))
     g = _sections(spark, sf_dir)
     return R.case_stats(cases, "case_id", changed=overlaid.filter("changed_in_review"), nodes=g["nodes"], edges=g["edges"])
